@@ -28,5 +28,6 @@ def load_all() -> None:
     """Import every plan module so their queries register."""
     from corpusflow.plans import (  # noqa: F401
         q_communities,
+        q_store,
         q_urls,
     )
