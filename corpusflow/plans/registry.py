@@ -29,5 +29,6 @@ def load_all() -> None:
     from corpusflow.plans import (  # noqa: F401
         q_communities,
         q_store,
+        q_text,
         q_urls,
     )
