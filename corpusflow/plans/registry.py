@@ -27,6 +27,7 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every plan module so their queries register."""
     from corpusflow.plans import (  # noqa: F401
+        q_batches,
         q_communities,
         q_store,
         q_text,
