@@ -141,3 +141,29 @@ def centroid_normalized(spark, sf_dir):
     pooled = masked_mean_pool(emb, ["label"], "embedding")
     return pooled.select("label", F.posexplode("vector").alias("dim", "value")) \
                  .select("label", F.col("dim").cast("long"), "value")
+
+
+@register("cluster_json_pairs", f"""WITH RECURSIVE {_PAIRS_SQL}
+SELECT input_text, output_text, output_text_score, file_path FROM pairs""")
+def cluster_json_pairs(spark, sf_dir):
+    """A11 + S7 + S8: communities written as cluster JSON lines, parsed back, paired (same result as sister_pairs)."""
+    from corpusflow.sources import clusters
+
+    rows = _rows(spark, sf_dir)
+    lines = clusters.cluster_lines(_members(spark, sf_dir), rows.select("window_id", "id", "title", "text",
+                                                                       "publish_date"),
+                                   standins.embedded_window_names(rows))
+    return clusters.pairs_from_lines(lines)
+
+
+@register("cluster_preview", f"""WITH RECURSIVE {_GREEDY_SQL},
+{standins.ARTICLES_SQL.strip()}
+SELECT m.cluster_no, m.member_no, m.id, a.title FROM members m LEFT JOIN articles a ON a.id = m.id
+WHERE m.member_no < 2""")
+def cluster_preview(spark, sf_dir):
+    """First two members of every cluster with their titles."""
+    from corpusflow.sources import clusters
+
+    rows = _rows(spark, sf_dir)
+    prev = clusters.cluster_preview(_members(spark, sf_dir), rows.select("window_id", "id", "title"))
+    return prev.select("cluster_no", "member_no", "id", "title")
