@@ -31,5 +31,6 @@ def load_all() -> None:
         q_communities,
         q_store,
         q_text,
+        q_tokenizer,
         q_urls,
     )
