@@ -126,3 +126,29 @@ def page_title_lang(spark, sf_dir):
     return pages.select("page_id", title.alias("title"),
                         F.regexp_extract("html", H.LANG_RE, 1).alias("lang"),
                         F.length(title).cast("long").alias("title_chars"))
+
+
+def _page_articles(spark, sf_dir):
+    from corpusflow.operators import crawl
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return crawl.page_articles(pages, G.allow_list_df(spark, PAGES_ALLOW), G.suffix_rules_df(spark))
+
+
+@register("page_quality_funnel")
+def page_quality_funnel(spark, sf_dir):
+    """X1 + P8 + A4: URL gate, HTML extraction (Arrow batches) and quality gate; pages per first failure.
+
+    The test pages carry no publish date, so every page that passes the URL
+    gate stops at ``date``; the gate's other reasons are covered by tests.
+    """
+    from corpusflow.operators import quality as Q
+    return Q.funnel(_page_articles(spark, sf_dir))
+
+
+@register("page_articles")
+def page_articles(spark, sf_dir):
+    """X1 output for URL-accepted pages: title, language, text and summary sizes, author count."""
+    a = _page_articles(spark, sf_dir).where(F.col("title").isNotNull())
+    return a.select("page_id", "title", "meta_lang", F.length("text").cast("long").alias("text_chars"),
+                    F.size("authors").cast("long").alias("n_authors"), "summary", "reject_reason")
