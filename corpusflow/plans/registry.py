@@ -31,6 +31,7 @@ def load_all() -> None:
         q_communities,
         q_mixture,
         q_store,
+        q_stream,
         q_text,
         q_tokenizer,
         q_urls,
