@@ -30,15 +30,30 @@ MAX_TEXT_CHARS = 1500
 SHUFFLE_BUFFER = 2000
 
 
+# above this cap the kept keys are numbered with distributed ordinals instead of a top-k
+TOPK_CAP_LIMIT = 5_000_000
+
+
 def cap_then_filter(df: DataFrame, order_by: Sequence[str], required: Sequence[str], cap: int = ROW_CAP,
                     text_col: str = "text", max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
-    """L3 + P13: rows with all ``required`` fields, the first ``cap`` of them, then ``len(text) < max_chars``."""
+    """L3 + P13: rows with all ``required`` fields, the first ``cap`` of them, then ``len(text) < max_chars``.
+
+    Only the order keys are ranked: a top-``cap`` (partial top-k per task, then
+    one merge of at most ``cap`` keys per task) picks the kept keys, which are
+    semi-joined back - broadcast, since their number is bounded by ``cap``.
+    Very large caps use the distributed ordinal plan instead.
+    """
     ok = df
     for c in required:
         ok = ok.where(F.col(c).isNotNull())
-    numbered = with_ordinal(ok, list(order_by), name="_cap_ordinal")
-    capped = numbered.where(F.col("_cap_ordinal") < cap)
-    return capped.where(F.length(text_col) < max_chars).drop("_cap_ordinal")
+    keys = list(order_by)
+    if cap <= TOPK_CAP_LIMIT:
+        kept = ok.select(*keys).orderBy(*keys).limit(cap)
+        capped = ok.join(F.broadcast(kept), keys, "left_semi")
+    else:
+        numbered = with_ordinal(ok.select(*keys), keys, name="_cap_ordinal")
+        capped = ok.join(numbered.where(F.col("_cap_ordinal") < cap).select(*keys), keys, "left_semi")
+    return capped.where(F.length(text_col) < max_chars)
 
 
 def split_train_val(df: DataFrame, id_col: str, seed: int = 0, train_pct: int = 90) -> DataFrame:

@@ -59,6 +59,8 @@ def byte_alphabet() -> list[str]:
 
 _ALPHABET = byte_alphabet()
 _BYTE_OF = {c: i for i, c in enumerate(_ALPHABET)}
+_LATIN1 = "".join(chr(b) for b in range(256))
+_ALPHABET_STR = "".join(_ALPHABET)
 
 
 @F.pandas_udf(T.StringType())
@@ -73,14 +75,9 @@ def pretokenize(text: str | Column, add_prefix_space: bool = True) -> Column:
     if add_prefix_space:
         t = F.when(F.startswith(t, F.lit(" ")), t).otherwise(F.concat(F.lit(" "), t))
     pieces = F.regexp_extract_all(t, F.lit(PRETOKEN_RE), 0)
-    lookup = F.array(*[F.lit(c) for c in _ALPHABET])
-
-    def to_bytes(p):
-        hexes = F.regexp_extract_all(F.hex(F.encode(p, "UTF-8")), F.lit("(..)"), 1)
-        return F.array_join(F.transform(hexes, lambda h: F.element_at(
-            lookup, F.conv(h, 16, 10).cast("int") + 1)), "")
-
-    return F.transform(pieces, to_bytes)
+    # bytes -> one Latin-1 char each -> the byte-level stand-in character (both JVM built-ins)
+    return F.transform(pieces, lambda p: F.translate(F.decode(F.encode(p, "UTF-8"), "ISO-8859-1"),
+                                                     _LATIN1, _ALPHABET_STR))
 
 
 def corpus_sequences(lines: DataFrame, col: str = "value", line_ending: str = "\n") -> DataFrame:
@@ -255,8 +252,7 @@ def decode_ids(df: DataFrame, ids_col: str, vocab: DataFrame, key_cols) -> DataF
     keys = list(key_cols)
     exploded = df.select(*keys, F.posexplode(ids_col).alias("pos", "id"))
     toks = exploded.join(F.broadcast(vocab.where(~F.col("token").isin(SPECIAL_TOKENS))), "id")
-    inverse = F.create_map(*[x for c, b in _BYTE_OF.items() for x in (F.lit(c), F.lit(b))])
     joined = toks.groupBy(*keys).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "").alias("s"))
-    hexed = F.array_join(F.transform(F.split("s", ""), lambda c: F.lpad(F.hex(F.element_at(inverse, c)), 2, "0")), "")
-    return joined.select(*keys, F.decode(F.unhex(hexed), "UTF-8").alias("text"))
+    latin1 = F.translate("s", _ALPHABET_STR, _LATIN1)
+    return joined.select(*keys, F.decode(F.encode(latin1, "ISO-8859-1"), "UTF-8").alias("text"))

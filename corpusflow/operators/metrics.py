@@ -135,3 +135,12 @@ def positional_encoding(pos: str | Column, d_model: int = D_MODEL) -> Column:
         return F.when(F.pmod(i, F.lit(2)) == 0, F.sin(angle)).otherwise(F.cos(angle))
 
     return F.transform(idx, val)
+
+
+def positional_long(positions: DataFrame, pos_col: str = "pos", d_model: int = D_MODEL) -> DataFrame:
+    """F14 in long form ``pos, i, value`` (M15): one row per (position, dimension), whole-stage codegen."""
+    x = positions.select(F.col(pos_col).cast("long").alias("pos"),
+                         F.explode(F.sequence(F.lit(0), F.lit(d_model - 1))).alias("i"))
+    angle = F.col("pos").cast("double") / F.pow(F.lit(POSITION_BASE),
+                                                (F.lit(2) * F.floor(F.col("i") / 2)).cast("double") / F.lit(float(d_model)))
+    return x.select("pos", "i", F.when(F.pmod("i", F.lit(2)) == 0, F.sin(angle)).otherwise(F.cos(angle)).alias("value"))

@@ -109,7 +109,7 @@ def batch_plan(config: DataFrame, arity: DataFrame, n_batches: int | F.Column, d
 
 _OUT = T.StructType([T.StructField("batch", T.LongType()), T.StructField("slot", T.LongType()),
                      T.StructField("pos", T.LongType()), T.StructField("dataset", T.StringType()),
-                     T.StructField("sample", T.LongType()), T.StructField("texts", PAIR_LIST)])
+                     T.StructField("sample", T.LongType()), T.StructField("skey", T.StringType())])
 
 
 def _greedy(per_slot: int):
@@ -121,21 +121,29 @@ def _greedy(per_slot: int):
         for r in pdf.itertuples(index=False):
             if taken.get(r.slot, 0) >= per_slot:
                 continue
-            texts = list(r.texts)
-            if any(t in seen for t in texts):
+            keys = list(r.tkeys)
+            if any(t in seen for t in keys):
                 continue
-            seen.update(texts)
+            seen.update(keys)
             taken[r.slot] = taken.get(r.slot, 0) + 1
-            rows.append((r.batch, r.slot, r.j, r.dataset, r.sample, texts))
+            rows.append((r.batch, r.slot, r.j, r.dataset, r.sample, r.skey))
         return pd.DataFrame(rows, columns=[f.name for f in _OUT.fields])
     return run
 
 
 def unique_text_batches(samples: DataFrame, plan: DataFrame, per_slot: int, seed: int = 0,
                         over_draw: int = 2) -> DataFrame:
-    """``batch, slot, pos, dataset, sample, texts`` with every text at most once per batch."""
-    numbered = with_ordinal(samples.withColumn("_h", seeded_hash(F.xxhash64(F.to_json("texts")), seed)),
-                            ["_h", F.to_json("texts")], partition_by=["dataset"], name="sample")
+    """``batch, slot, pos, dataset, sample, texts`` with every text at most once per batch.
+
+    Texts are compared through their SHA-256 digests, so only 64-character
+    keys move through the numbering, the candidate windows and the retries;
+    the texts are joined back for the accepted samples at the end.
+    """
+    keyed = (samples.withColumn("tkeys", F.transform("texts", lambda t: F.sha2(t, 256)))
+             .withColumn("skey", F.sha2(F.array_join("tkeys", "|"), 256)))
+    narrow = keyed.select("dataset", "tkeys", "skey",
+                          seeded_hash(F.xxhash64("skey"), seed).alias("_h"))
+    numbered = with_ordinal(narrow, ["_h", "skey"], partition_by=["dataset"], name="sample")
     sizes = numbered.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
     slots = plan.join(F.broadcast(sizes), "dataset").withColumn(
         "start", F.pmod(seeded_hash(F.col("batch") * 1000 + F.col("slot"), seed + 1), F.col("n")))
@@ -145,8 +153,8 @@ def unique_text_batches(samples: DataFrame, plan: DataFrame, per_slot: int, seed
     while True:
         cand = (pending.withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(window), F.col("n")) - 1)))
                 .withColumn("sample", F.pmod(F.col("start") + F.col("j"), F.col("n"))))
-        cand = cand.join(numbered.select("dataset", "sample", "texts"), ["dataset", "sample"])
-        picked = (cand.select("batch", "slot", "j", "dataset", "sample", "texts")
+        cand = cand.join(numbered.select("dataset", "sample", "tkeys", "skey"), ["dataset", "sample"])
+        picked = (cand.select("batch", "slot", "j", "dataset", "sample", "tkeys", "skey")
                   .groupBy("batch").applyInPandas(_greedy(per_slot), _OUT))
         picked = cut_lineage(picked)
         short = (picked.groupBy("batch", "slot").agg(F.count(F.lit(1)).alias("got"))
@@ -163,4 +171,5 @@ def unique_text_batches(samples: DataFrame, plan: DataFrame, per_slot: int, seed
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out
+    texts = keyed.select("dataset", "skey", "texts").dropDuplicates(["dataset", "skey"])
+    return out.join(texts, ["dataset", "skey"]).drop("skey")

@@ -175,7 +175,7 @@ def positional_table(spark, sf_dir):
     """sinusoidal encoding for every position up to the longest id row (512 wide)."""
     ids = table(spark, sf_dir, "documents").select(F.size(word_length_ids()).alias("n"))
     positions = ids.agg(F.max("n").alias("L")).select(F.explode(F.sequence(F.lit(0), F.col("L") - 1)).alias("pos"))
-    pe = positions.withColumn("pe", M.positional_encoding("pos"))
-    return pe.select(F.col("pos").cast("long"),
-                     F.aggregate("pe", F.lit(0.0), lambda a, x: a + x).alias("total"),
-                     F.get("pe", 0).alias("first"), F.get("pe", M.D_MODEL - 1).alias("last"))
+    pe = M.positional_long(positions.repartition(F.col("pos")))
+    return pe.groupBy("pos").agg(F.sum("value").alias("total"),
+                                 F.max(F.when(F.col("i") == 0, F.col("value"))).alias("first"),
+                                 F.max(F.when(F.col("i") == M.D_MODEL - 1, F.col("value"))).alias("last"))
