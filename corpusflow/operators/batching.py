@@ -56,6 +56,19 @@ def cap_then_filter(df: DataFrame, order_by: Sequence[str], required: Sequence[s
     return capped.where(F.length(text_col) < max_chars)
 
 
+def cap_counters(df: DataFrame, order_by: Sequence[str], required: Sequence[str], cap: int = ROW_CAP,
+                 text_col: str = "text", max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
+    """A3: ``seen`` (rows inside the cap having all fields) and ``accepted`` (of those, short enough), one pass."""
+    ok = df
+    for c in required:
+        ok = ok.where(F.col(c).isNotNull())
+    keys = list(order_by)
+    kept = ok.select(*keys).orderBy(*keys).limit(cap)
+    capped = ok.join(F.broadcast(kept), keys, "left_semi")
+    return capped.agg(F.count(F.lit(1)).alias("seen"),
+                      F.count_if(F.length(text_col) < max_chars).alias("accepted"))
+
+
 def split_train_val(df: DataFrame, id_col: str, seed: int = 0, train_pct: int = 90) -> DataFrame:
     """Deterministic hash split; adds ``split`` = ``train`` / ``validation``."""
     bucket = F.pmod(seeded_hash(id_col, seed), F.lit(100))

@@ -26,7 +26,8 @@ def articles_by_month(df: DataFrame, date_col: str = "publish_date", min_count:
     return (df.where(d.isNotNull())
             .groupBy(F.year(d).alias("year"), F.month(d).alias("month"))
             .agg(F.count(F.lit(1)).alias("n"))
-            .where((F.col("n") >= min_count) & (F.col("year") >= min_year)))
+            .where((F.col("n") >= min_count) & (F.col("year") >= min_year))
+            .orderBy("year", "month"))  # L2; one row per month
 
 
 def qualifying_dates(df: DataFrame, date_col: str = "publish_date", min_count: int = MIN_COUNT,
@@ -36,7 +37,8 @@ def qualifying_dates(df: DataFrame, date_col: str = "publish_date", min_count: i
     return (df.where(d.isNotNull())
             .groupBy(d.alias("publish_date"))
             .agg(F.count(F.lit(1)).alias("n"))
-            .where((F.col("n") >= min_count) & (F.year("publish_date") >= min_year)))
+            .where((F.col("n") >= min_count) & (F.year("publish_date") >= min_year))
+            .orderBy("publish_date"))  # L2; one row per day
 
 
 def date_windows(dates: DataFrame) -> DataFrame:

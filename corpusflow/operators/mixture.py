@@ -62,6 +62,13 @@ def check_arity(samples: DataFrame) -> DataFrame:
     return stats.drop("_max")
 
 
+def read_mixture_config(spark: SparkSession, path: str) -> DataFrame:
+    """The mixture config, a JSON list of ``{"name", "weight"}`` (small; broadcast where joined)."""
+    schema = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("weight", T.LongType())]))
+    raw = spark.read.option("wholetext", True).text(path)
+    return raw.select(F.explode(F.from_json("value", schema)).alias("c")).select("c.name", "c.weight")
+
+
 def sampling_probabilities(config: DataFrame) -> DataFrame:
     """``name, weight, probability`` (window over the small config table)."""
     w = Window.partitionBy()

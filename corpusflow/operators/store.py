@@ -52,3 +52,28 @@ def format_publish_date(d: str | Column, fmt: str = DATE_FORMAT) -> Column:
     """date to the crawl's text form."""
     c = F.col(d) if isinstance(d, str) else d
     return F.date_format(c, fmt)
+
+
+# fixed: the nine fields the store keeps
+STORE_FIELDS = ["publish_date", "title", "text", "summary", "authors", "url", "status", "domain", "warc_date"]
+
+
+def store_projection(df: DataFrame) -> DataFrame:
+    """The store's field projection (fields absent from ``df`` are skipped)."""
+    return df.select(*[c for c in STORE_FIELDS if c in df.columns])
+
+
+def append_unique(spark, store_path: str, batch: DataFrame, key: str = "text", order_by=("source_file", "source_offset")):
+    """Append the rows of ``batch`` whose text the parquet store at ``store_path`` does not hold yet.
+
+    Returns the number of rows appended (the frame itself would re-read the grown store).
+    """
+    from corpusflow.streaming.ingest import path_exists_any
+
+    stored = spark.read.parquet(store_path).select(key) if path_exists_any(spark, store_path) else \
+        spark.createDataFrame([], batch.select(key).schema)
+    fresh = insert_absent(stored, batch, key, list(order_by)).persist()
+    n = fresh.count()
+    fresh.write.mode("append").parquet(store_path)
+    fresh.unpersist()
+    return n

@@ -64,6 +64,17 @@ def capped_short_texts(spark, sf_dir):
     return out.select("doc_id", F.length("text").cast("long").alias("text_chars"))
 
 
+@register("cap_counters", f"""WITH {q_text._ART_SQL},
+ok AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM art
+       WHERE summary IS NOT NULL AND text IS NOT NULL)
+SELECT count(*) AS seen, count(*) FILTER (WHERE length(text) < {B.MAX_TEXT_CHARS}) AS accepted FROM ok
+WHERE o < {B.ROW_CAP}""")
+def cap_counters(spark, sf_dir):
+    """A3: rows seen inside the cap and rows accepted by the length test, in one pass."""
+    a = q_text.extracted_articles(spark, sf_dir).select("doc_id", "summary", "text")
+    return B.cap_counters(a, ["doc_id"], ["summary", "text"])
+
+
 @register("train_val_split", f"""SELECT doc_id,
   CASE WHEN {seeded_hash_sql('doc_id', SEED)} % 100 < {TRAIN_PCT} THEN 'train' ELSE 'validation' END AS split
 FROM documents""")

@@ -45,6 +45,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and len(fs.globStatus(jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/batch_id=*"))) > 0
 
 
+def path_exists_any(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def store_batch(store_path: str, text_col: str = "text", date_col: str | None = "publish_date"):
     """The ``foreachBatch`` function: W1 + J5 + F7 + idempotent partition write."""
 

@@ -86,3 +86,18 @@ def test_window_file_name(spark):
     df = spark.createDataFrame([(dt.date(2021, 4, 1), dt.date(2021, 4, 12))], "s date, e date")
     assert df.select(window_file_name("s", "e")).first()[0] == "2021-4-1-to-2021-4-12-sister-articles.jsonl"
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_append_unique_store(spark):
+    import os
+    import tempfile
+    path = os.path.join(tempfile.mkdtemp(prefix="cf-store-", dir="/tmp"), "store")
+    b1 = spark.createDataFrame([("f1", 0, "a"), ("f1", 1, "b"), ("f1", 2, "a")], "source_file string, source_offset long, text string")
+    b2 = spark.createDataFrame([("f2", 0, "b"), ("f2", 1, "c"), ("f2", 2, None), ("f2", 3, None)],
+                               "source_file string, source_offset long, text string")
+    assert S.append_unique(spark, path, b1) == 2
+    assert S.append_unique(spark, path, b2) == 2
+    assert S.append_unique(spark, path, b2) == 0
+    got = sorted((r["text"] or "") for r in spark.read.parquet(path).collect())
+    assert got == ["", "a", "b", "c"]
+    assert S.store_projection(b1).columns == ["text"]
