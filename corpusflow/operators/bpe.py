@@ -10,11 +10,12 @@ Training (B1) works on the distinct-word table, never on the corpus:
 every round counts adjacent pairs weighted by word count (explode +
 groupBy), takes the top pairs (count desc, then smaller pair) and applies a
 *prefix* of them in one round.  A prefix is exact - identical to merging one
-pair at a time - as long as no accepted pair shares a token with an earlier
-accepted pair in the round: merging (a, b) only changes counts of pairs that
-contain ``a`` or ``b``, and new pairs with the merged token are bounded by
-such pairs' counts and lose ties (the new token has the largest id).  The
-walk stops at the first pair touching an accepted one.  The word table is
+pair at a time: merging (a, b) only changes the counts of pairs ending in
+``a`` and pairs starting with ``b`` (every pair holding ``a`` when a == b);
+all other counts stay exact, and new pairs with the merged token are bounded
+by the counts of those changed pairs and lose ties (the new token has the
+largest id).  The walk over the ranked pairs therefore stops at the first
+pair whose count an accepted merge may have changed.  The word table is
 cached between rounds and checkpointed reliably every few rounds.
 
 Encoding (B2) runs the merges by rank on each *distinct* word (Arrow UDF
@@ -147,14 +148,18 @@ def train_bpe(words: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int
     parts = max(1, -(-n_words // rows_per_partition))
     state = cut_lineage(state.repartition(parts) if parts > 1 else state.coalesce(1))
     # the per-round pair count shuffles into as many partitions as the word table has
-    conf_key = "spark.sql.shuffle.partitions"
-    saved = spark.conf.get(conf_key)
-    spark.conf.set(conf_key, str(parts))
+    # Round jobs are tiny and identical in shape: size their shuffle to the word table and
+    # skip adaptive re-planning (nothing to adapt), restoring the session settings after.
+    overrides = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.enabled": "false"}
+    saved = {k: spark.conf.get(k) for k in overrides}
+    for k, v in overrides.items():
+        spark.conf.set(k, v)
     try:
         vocab, merges = _merge_rounds(state, vocab, ids, vocab_size, min_frequency, top_k,
                                       checkpoint_every, max_rounds, stats)
     finally:
-        spark.conf.set(conf_key, saved)
+        for k, v in saved.items():
+            spark.conf.set(k, v)
     vocab_df = spark.createDataFrame(list(enumerate(vocab)), "id long, token string")
     merges_df = spark.createDataFrame(merges, "rank long, left string, right string")
     return vocab_df, merges_df
@@ -172,10 +177,13 @@ def _merge_rounds(state, vocab, ids, vocab_size, min_frequency, top_k, checkpoin
         if stats is not None:
             stats.setdefault("round_sec", []).append(round(time.time() - t0, 3))
             stats["rounds"] = rounds
-        touched: set[int] = set()
+        # merging (a, b) changes the counts of pairs ending in a and pairs starting with b
+        # (for a == b that is every pair holding a); the walk stops at the first such pair
+        ends_in: set[int] = set()
+        starts_with: set[int] = set()
         accepted = []
         for r in top:
-            if r["c"] < min_frequency or r["a"] in touched or r["b"] in touched:
+            if r["c"] < min_frequency or r["b"] in ends_in or r["a"] in starts_with:
                 break
             if len(vocab) >= vocab_size:
                 break
@@ -185,7 +193,8 @@ def _merge_rounds(state, vocab, ids, vocab_size, min_frequency, top_k, checkpoin
                 vocab.append(tok)
             accepted.append((r["a"], r["b"], ids[tok]))
             merges.append((len(merges), vocab[r["a"]], vocab[r["b"]]))
-            touched.update((r["a"], r["b"]))
+            ends_in.add(r["a"])
+            starts_with.add(r["b"])
         if not accepted:
             break
         expr = "w"

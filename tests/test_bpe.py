@@ -11,19 +11,21 @@ from corpusflow.operators import bpe
 
 tokenizers = pytest.importorskip("tokenizers")
 
+REPEATS = ["aaaa aaa aa abab ababab baba", "aaaaaa bbbb abba aabb", "zzzz zz zzz abab aaaa"] * 4 + ["aa ab ba bb"]
 RECORDS = ["Hello world, hello there![start] A new day's news [end]",
            "Café été 2021 -- numbers 12345 and  spaces\tTabs[start] ok ok ok [end]",
            "The quick brown fox jumps[start] over the lazy dog's back [end]"] * 3 + \
           ["Hello again world[start] news again [end]", "ﬁne ligature ①[start] x [end]"]
 
 
-def reference(vocab_size):
+def reference(vocab_size, records=None):
+    records = records or RECORDS
     from tokenizers import Tokenizer, models, pre_tokenizers, trainers
     from tokenizers.normalizers import NFKC
     folder = tempfile.mkdtemp(prefix="cf-bpe-", dir="/tmp")
     path = os.path.join(folder, "corpus.txt")
     with open(path, "w") as f:
-        f.write("".join(r + "\n\n" for r in RECORDS))
+        f.write("".join(r + "\n\n" for r in records))
     tok = Tokenizer(models.BPE())
     tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
     tok.normalizer = NFKC()
@@ -52,3 +54,12 @@ def test_train_encode_decode_equal_reference(spark, vocab_size):
 def test_byte_alphabet_rule():
     a = bpe.byte_alphabet()
     assert len(set(a)) == 256 and a[ord("A")] == "A" and a[ord(" ")] == "Ġ" and a[ord("\n")] == "Ċ"
+
+
+@pytest.mark.parametrize("vocab_size", [40, 80])
+def test_repeated_tokens_equal_reference(spark, vocab_size):
+    _, ref = reference(vocab_size, REPEATS)
+    lines = spark.createDataFrame([(r,) for r in REPEATS], "value string")
+    vocab, merges = bpe.train_bpe(bpe.word_counts(bpe.corpus_sequences(lines)), vocab_size=vocab_size)
+    ref_merges = [m if isinstance(m, list) else m.split(" ") for m in ref["model"]["merges"]]
+    assert [[r["left"], r["right"]] for r in merges.orderBy("rank").collect()] == ref_merges
