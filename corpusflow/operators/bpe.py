@@ -111,11 +111,22 @@ def _merge_expr(w: Column, a: int, b: int, t: int) -> Column:
     return F.aggregate(w, empty, step)
 
 
-def _merge_sql(w: str, a: int, b: int, t: int) -> str:
-    """SQL form of :func:`_merge_expr` (one expression string per round keeps planning cheap)."""
+_PAIR_KEY = 1 << 32  # token ids stay below 2^32, so a * 2^32 + b names a pair
+
+
+def _merge_sql(w: str, merges) -> str:
+    """One left-to-right pass applying a round's merges ``(a, b, t)`` at once.
+
+    Pairs accepted in one round never overlap in a sequence (an overlap needs
+    b == c or d == a, which the stop rule excludes), so a single pass that
+    replaces each adjacent accepted pair equals applying them one by one.
+    """
+    entries = ", ".join(f"{a * _PAIR_KEY + b}L, {t}" for a, b, t in merges)
+    m = f"map({entries})"
+    key = f"cast(element_at(acc, -1) as bigint) * {_PAIR_KEY}L + x"
     return (f"aggregate({w}, cast(array() as array<int>), (acc, x) -> "
-            f"if(size(acc) > 0 and element_at(acc, -1) = {a} and x = {b}, "
-            f"concat(slice(acc, 1, size(acc) - 1), array({t})), concat(acc, array(x))))")
+            f"if(size(acc) > 0 and try_element_at({m}, {key}) is not null, "
+            f"concat(slice(acc, 1, size(acc) - 1), array(try_element_at({m}, {key}))), concat(acc, array(x))))")
 
 
 def train_bpe(words: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int = MIN_FREQUENCY,
@@ -197,10 +208,7 @@ def _merge_rounds(state, vocab, ids, vocab_size, min_frequency, top_k, checkpoin
             starts_with.add(r["b"])
         if not accepted:
             break
-        expr = "w"
-        for a, b, t in accepted:
-            expr = _merge_sql(expr, a, b, t)
-        nxt = state.select(F.expr(expr).alias("w"), "n")
+        nxt = state.select(F.expr(_merge_sql("w", accepted)).alias("w"), "n")
         # lazy between checkpoints: a round re-applies at most a few rounds of merges
         # to the small word table instead of caching every intermediate table
         state = cut_lineage(nxt) if rounds % checkpoint_every == 0 else nxt
