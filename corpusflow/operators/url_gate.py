@@ -152,55 +152,59 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
-def split_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """J1 / F4 on a table of distinct ``host``: ``host, subdomain, domain, suffix``.
+def matched_suffixes(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """J1 core on distinct ``host`` rows: ``host, subdomain, domain, suffix`` for hosts some rule matches.
 
     Prevailing rule: an exception rule if one matches (its suffix is the rule
-    minus its first label), else the matching rule with the most labels.  No
-    match -> null suffix and domain (the URL is rejected).
+    minus its first label), else the matching rule with the most labels.  The
+    host labels travel with the candidates, so the distinct-host table is
+    computed once.
     """
-    labels = hosts.select("host", F.split("host", r"\.").alias("labels")) \
-                  .withColumn("n", F.size("labels"))
-    cands = labels.select(
-        "host", "n", "labels",
-        F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    labels = hosts.select("host", F.split("host", r"\.").alias("labels")).withColumn("n", F.size("labels"))
+    cands = labels.select("host", "n", "labels", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     cands = cands.select(
-        "host", "n", "i",
+        "host", "n", "labels", "i",
         F.array_join(F.slice("labels", F.col("i") + 1, F.col("n") - F.col("i")), ".").alias("cand"),
         F.when(F.col("i") < F.col("n") - 1,
                F.array_join(F.slice("labels", F.col("i") + 2, F.greatest(F.col("n") - F.col("i") - 1, F.lit(1))), "."))
          .alias("tail"))
-    keyed = cands.select("host", "n", "i", F.col("cand").alias("key"), F.lit("direct").alias("mode")) \
+    keyed = cands.select("host", "n", "labels", "i", F.col("cand").alias("key"), F.lit("direct").alias("mode")) \
         .unionByName(cands.where(F.col("tail").isNotNull())
-                     .select("host", "n", "i", F.col("tail").alias("key"), F.lit("wild").alias("mode")))
+                     .select("host", "n", "labels", "i", F.col("tail").alias("key"), F.lit("wild").alias("mode")))
     r = rules.select(F.col("name").alias("key"), "kind",
                      F.when(F.col("kind") == "wildcard", "wild").otherwise("direct").alias("mode"))
     matched = keyed.join(checked_broadcast(r), ["key", "mode"])
     scored = matched.select(
-        "host",
+        "host", "n", "labels",
         (F.col("kind") == "exception").alias("exc"),
         F.when(F.col("kind") == "exception", F.col("n") - F.col("i") - 1)
          .otherwise(F.col("n") - F.col("i")).alias("nl"))
-    best = scored.groupBy("host").agg(F.max(F.struct("exc", "nl")).alias("b")) \
-                 .select("host", F.col("b.nl").alias("nl"))
-    out = labels.join(best, "host", "left")
-    has = F.col("nl").isNotNull() & (F.col("nl") > 0)
-    return out.select(
+    best = (scored.groupBy("host").agg(F.max(F.struct("exc", "nl")).alias("b"), F.first("n").alias("n"),
+                                       F.first("labels").alias("labels"))
+            .select("host", "n", "labels", F.col("b.nl").alias("nl"))
+            .where(F.col("nl") > 0))
+    return best.select(
         "host",
-        F.when(has, F.array_join(F.slice("labels", 1, F.greatest(F.col("n") - F.col("nl") - 1, F.lit(0))), "."))
-         .alias("subdomain"),
-        F.when(has, F.when(F.col("n") > F.col("nl"), F.element_at("labels", F.col("n") - F.col("nl")))
-               .otherwise(F.lit(""))).alias("domain"),
-        F.when(has, F.array_join(F.slice("labels", F.col("n") - F.col("nl") + 1, F.col("nl")), "."))
-         .alias("suffix"))
+        F.array_join(F.slice("labels", 1, F.greatest(F.col("n") - F.col("nl") - 1, F.lit(0))), ".").alias("subdomain"),
+        F.when(F.col("n") > F.col("nl"), F.element_at("labels", F.col("n") - F.col("nl"))).otherwise(F.lit(""))
+         .alias("domain"),
+        F.array_join(F.slice("labels", F.col("n") - F.col("nl") + 1, F.col("nl")), ".").alias("suffix"))
+
+
+def split_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """J1 / F4 on a table of distinct ``host``: ``host, subdomain, domain, suffix`` (nulls: no rule matched)."""
+    return hosts.select("host").join(matched_suffixes(hosts, rules), "host", "left")
 
 
 def url_parts(df: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """Add ``host, subdomain, domain, suffix, registered_domain`` to ``df``."""
+    """Add ``host, subdomain, domain, suffix, registered_domain`` to ``df``.
+
+    Suffixes are matched once per distinct host; rows join the matched parts
+    (left join: unmatched hosts get nulls and are rejected by the gate).
+    """
     with_host = df.withColumn("host", U.host(url_col))
     hosts = with_host.select("host").where(F.col("host") != "").distinct()
-    parts = split_hosts(hosts, rules)
-    out = with_host.join(parts, "host", "left")
+    out = with_host.join(matched_suffixes(hosts, rules), "host", "left")
     return out.withColumn(
         "registered_domain",
         F.when(F.col("suffix").isNotNull(), F.concat_ws(".", "domain", "suffix")))
