@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title>"
 LANG_RE = r"(?is)<html[^>]*\slang=\"([^\"]*)\""
-META_RE = r"(?is)<meta\s+(?:property|name)=\"{name}\"\s+content=\"([^\"]*)\""
 
 # fixed: the five predefined XML entities, decoded with &amp; last
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
@@ -27,7 +26,3 @@ def unescape_sql(expr: str) -> str:
         expr = f"replace({expr}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
     return expr
 
-
-def meta_content(html: str | Column, name: str) -> Column:
-    h = F.col(html) if isinstance(html, str) else html
-    return unescape(F.regexp_extract(h, META_RE.format(name=name), 1))

@@ -35,6 +35,3 @@ def encode(model, df: DataFrame, text_col: str, out_col: str = "vector") -> Data
 def encode_column(df: DataFrame, text_col: str, out_col: str = "vector") -> DataFrame:
     return encode(fit_encoder(df, text_col), df, text_col, out_col)
 
-
-def nonzero(vec_col: str = "vector"):
-    return F.exists(vec_col, lambda x: x != 0)
