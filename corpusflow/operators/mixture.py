@@ -79,38 +79,50 @@ def _uniform(key: F.Column, seed: int) -> F.Column:
     return seeded_hash(key, seed).cast("double") / float(MODULUS)
 
 
-def batch_plan(config: DataFrame, arity: DataFrame, n_batches: int | F.Column, datasets_per_batch: int,
+def batch_plan(config: DataFrame, arity: DataFrame, n_batches: int | DataFrame, datasets_per_batch: int,
                seed: int = 0) -> DataFrame:
-    """``batch, slot, dataset`` for ``n_batches`` global batches.
+    """``batch, slot, dataset, arity`` for ``n_batches`` global batches.
 
-    ``config``: name, weight (bounded: one row per dataset, broadcast);
-    ``arity``: dataset, arity.
+    Each dataset is listed ``weight`` times (one slot per weight unit, the
+    reference's index list), so a weighted draw is a uniform integer ``k`` and
+    an equi-join on it.  Slot 0 draws over all datasets; later slots draw over
+    the datasets of slot 0's arity.  The slot tables hold one row per weight
+    unit (bounded by the config), so they are broadcast.
     """
     spark = config.sparkSession
-    cfg = config.join(arity.withColumnRenamed("dataset", "name"), "name").where(F.col("weight") > 0)
-    cfg = F.broadcast(cfg.select("name", "weight", "arity"))
+    cfg = (config.join(arity.withColumnRenamed("dataset", "name"), "name").where(F.col("weight") > 0)
+           .select("name", "weight", "arity"))
     w_all = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     w_ar = Window.partitionBy("arity").orderBy("name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = cfg.select("name", "arity",
+    cum = cfg.select("name", "arity", "weight",
                      (F.sum("weight").over(w_all) - F.col("weight")).alias("lo_all"),
-                     F.sum("weight").over(w_all).alias("hi_all"),
                      F.sum("weight").over(Window.partitionBy()).alias("tot_all"),
                      (F.sum("weight").over(w_ar) - F.col("weight")).alias("lo_ar"),
-                     F.sum("weight").over(w_ar).alias("hi_ar"),
                      F.sum("weight").over(Window.partitionBy("arity")).alias("tot_ar"))
-    cum = F.broadcast(cum)
-    batches = spark.range(n_batches).select(F.col("id").alias("batch")) if isinstance(n_batches, int) else n_batches
-    first = batches.withColumn("u", _uniform(F.col("batch") * datasets_per_batch, seed))
-    first = first.join(cum, (F.col("u") * F.col("tot_all") >= F.col("lo_all"))
-                       & (F.col("u") * F.col("tot_all") < F.col("hi_all")))
-    first = first.select("batch", F.lit(0).alias("slot"), F.col("name").alias("dataset"), "arity")
+    units = cum.select("name", "arity", "lo_all", "lo_ar", "tot_all", "tot_ar",
+                       F.explode(F.sequence(F.lit(0), F.col("weight") - 1)).alias("unit"))
+    slots_all = F.broadcast(units.select(F.col("name").alias("dataset"), "arity", "tot_all",
+                                         (F.col("lo_all") + F.col("unit")).alias("k")))
+    slots_ar = F.broadcast(units.select(F.col("name").alias("dataset"), "arity", "tot_ar",
+                                        (F.col("lo_ar") + F.col("unit")).alias("k")))
+    # totals of the config table (one row per arity at most) become literals
+    totals = {r["arity"]: (int(r["tot_all"]), int(r["tot_ar"]))
+              for r in cum.select("arity", "tot_all", "tot_ar").distinct().collect()}
+    if not totals:
+        return spark.createDataFrame([], "batch long, slot long, dataset string, arity int")
+    total_all = next(iter(totals.values()))[0]
+    by_arity = F.create_map(*[x for a, (_, t) in totals.items() for x in (F.lit(a), F.lit(t))])
+    batches = (spark.range(n_batches).select(F.col("id").alias("batch")) if isinstance(n_batches, int)
+               else n_batches)
+    first = batches.withColumn("k", F.floor(_uniform(F.col("batch") * datasets_per_batch, seed)
+                                            * F.lit(total_all)).cast("long"))
+    first = first.join(slots_all.drop("tot_all"), "k").select("batch", F.lit(0).alias("slot"), "dataset", "arity")
     rest = (first.select("batch", "arity")
             .withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(max(1, datasets_per_batch - 1)))))
-            .where(F.col("slot") < datasets_per_batch)
-            .withColumn("u", _uniform(F.col("batch") * datasets_per_batch + F.col("slot"), seed)))
-    rest = rest.join(cum, ["arity"]).where((F.col("u") * F.col("tot_ar") >= F.col("lo_ar"))
-                                           & (F.col("u") * F.col("tot_ar") < F.col("hi_ar")))
-    rest = rest.select("batch", "slot", F.col("name").alias("dataset"), "arity")
+            .where(F.col("slot") < datasets_per_batch))
+    rest = rest.withColumn("k", F.floor(_uniform(F.col("batch") * datasets_per_batch + F.col("slot"), seed)
+                                        * F.element_at(by_arity, F.col("arity"))).cast("long"))
+    rest = rest.join(slots_ar.drop("tot_ar"), ["arity", "k"]).select("batch", "slot", "dataset", "arity")
     return first.unionByName(rest).withColumn("slot", F.col("slot").cast("long"))
 
 
