@@ -90,7 +90,9 @@ def similarity_edges(df: DataFrame, threshold: float, id_col: str = "id", vec_co
     win = F.col(window_col).cast("long") if window_col else F.lit(0).cast("long")
     rows = df.select(win.alias("window_id"), F.col(id_col).cast("long").alias("id"),
                      F.col(vec_col).alias("vec"))
-    # one row per window: its block count.  Bounded by the number of windows.
+    # one row per window: its block count.  Bounded by the number of windows.  (With a
+    # constant window column Catalyst folds the join key and joins this one-row table by
+    # nested loop; the cost is that of a broadcast hash join.)
     blocks = (rows.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"))
               .select("window_id",
                       F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("int").alias("nb")))
