@@ -99,6 +99,15 @@ def _pairs_expr(w: Column) -> Column:
     return F.transform(idx, lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b")))
 
 
+def pair_counts(words: DataFrame) -> DataFrame:
+    """Adjacent symbol pairs of the byte-level words, weighted by word count: ``left, right, n``."""
+    chars = F.split("word", "")
+    pairs = F.transform(F.sequence(F.lit(0), F.size(chars) - 2),
+                        lambda i: F.struct(F.get(chars, i).alias("l"), F.get(chars, i + 1).alias("r")))
+    return (words.where(F.length("word") >= 2).select(F.explode(pairs).alias("p"), "n")
+            .groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum("n").alias("n")))
+
+
 def _merge_expr(w: Column, a: int, b: int, t: int) -> Column:
     """Left-to-right, non-overlapping replacement of adjacent (a, b) by t."""
     empty = F.array().cast("array<int>")

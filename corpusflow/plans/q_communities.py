@@ -167,3 +167,14 @@ def cluster_preview(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     prev = clusters.cluster_preview(_members(spark, sf_dir), rows.select("window_id", "id", "title"))
     return prev.select("cluster_no", "member_no", "id", "title")
+
+
+@register("cluster_json")
+def cluster_json(spark, sf_dir):
+    """The cluster JSON lines themselves (one per cluster and chunk of at most 1,000 members)."""
+    from corpusflow.sources import clusters
+
+    rows = _rows(spark, sf_dir)
+    return clusters.cluster_lines(_members(spark, sf_dir), rows.select("window_id", "id", "title", "text",
+                                                                      "publish_date"),
+                                  standins.embedded_window_names(rows))

@@ -47,3 +47,10 @@ def bpe_encode(spark, sf_dir):
     return out.select("file_path", F.size("input_ids").cast("long").alias("input_tokens"),
                       F.size("output_ids").cast("long").alias("output_tokens"),
                       (F.ltrim("decoded") == F.ltrim(bpe.nfkc(F.col("output_text")))).alias("round_trip"))
+
+
+@register("bpe_pair_counts")
+def bpe_pair_counts(spark, sf_dir):
+    """B1 first round: adjacent byte-symbol pair counts, weighted by word frequency, over every document."""
+    docs = table(spark, sf_dir, "documents").select(F.col("text").alias("line"))
+    return bpe.pair_counts(bpe.word_counts(docs))

@@ -152,3 +152,35 @@ def page_articles(spark, sf_dir):
     a = _page_articles(spark, sf_dir).where(F.col("title").isNotNull())
     return a.select("page_id", "title", "meta_lang", F.length("text").cast("long").alias("text_chars"),
                     F.size("authors").cast("long").alias("n_authors"), "summary", "reject_reason")
+
+
+# Stand-in crawl manifest: one archive path per page (month and segment are fixed text; the file is the page).
+_MONTH = "CC-MAIN-2024-10"
+
+
+def _manifest_lines(pages):
+    return pages.select(F.concat(F.lit(f"crawl-data/{_MONTH}/segments/0/warc/p"), F.col("page_id").cast("string"),
+                                 F.lit(".warc.gz")).alias("value"))
+
+
+@register("resume_archives", f"""WITH {_PARTS_SQL},
+man AS (SELECT 'crawl-data/{_MONTH}/segments/0/warc/p' || CAST(page_id AS VARCHAR) || '.warc.gz' AS path, page_id
+        FROM pages),
+keyed AS (SELECT path, page_id, split_part(path, '/', 2) AS month,
+                 split_part(path, '/', 2) || '/' || array_to_string(string_split(path, '/')[3:], '_') || '.jsonl' AS out_key
+          FROM man),
+done AS (SELECT k.out_key FROM keyed k JOIN gated g USING (page_id) WHERE g.reject_reason IS NULL)
+SELECT path, month, out_key FROM keyed WHERE out_key NOT IN (SELECT out_key FROM done)""")
+def resume_archives(spark, sf_dir):
+    """S2 + J4: manifest lines -> (month, output key); archives whose output already exists are skipped.
+
+    Stand-in: one archive per page, and the previous run's outputs are those of
+    the pages the URL gate accepted.
+    """
+    from corpusflow.sources import files
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    manifest = files.manifest_keys(_manifest_lines(pages))
+    accepted = _gated(spark, sf_dir).where(F.col("reject_reason").isNull()).select("page_id")
+    done = files.manifest_keys(_manifest_lines(pages.join(accepted, "page_id", "left_semi"))).select("out_key")
+    return files.pending_archives(manifest, done).select("path", "month", "out_key")

@@ -67,15 +67,15 @@ def write_articles(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).partitionBy("month", "archive").json(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Archive paths (blank lines dropped) with month and output key.
+def manifest_keys(lines: DataFrame, col: str = "value") -> DataFrame:
+    """S2 on manifest lines: ``path, month, out_key`` (blank lines dropped).
 
     ``crawl-data/<month>/segments/<seg>/warc/<file>`` -> month = second part,
     out_key = ``<month>/<parts 3.. joined by _>.jsonl``.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("path")).where(F.length("path") > 0)
+    paths = lines.select(F.trim(col).alias("path")).where(F.length("path") > 0)
     parts = F.split("path", "/")
-    return lines.select(
+    return paths.select(
         "path",
         F.get(parts, 1).alias("month"),
         F.concat(F.get(parts, 1), F.lit("/"),
@@ -83,6 +83,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
                  F.lit(".jsonl")).alias("out_key"))
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A manifest file of archive paths -> ``path, month, out_key``."""
+    return manifest_keys(spark.read.text(path))
+
+
 def pending_archives(manifest: DataFrame, done: DataFrame) -> DataFrame:
     """Manifest rows whose ``out_key`` is not in ``done`` (left anti join)."""
     return manifest.join(done.select("out_key").distinct(), "out_key", "left_anti")
