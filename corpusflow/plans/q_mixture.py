@@ -59,7 +59,7 @@ samples AS (
   UNION ALL SELECT 'articles', [split_part(text, chr(10), 1), substr(text, length(split_part(text, chr(10), 1)) + 2)]
     FROM documents WHERE length(substr(text, length(split_part(text, chr(10), 1)) + 2)) > 0)"""
 
-_CFG_SQL = "cfg(name, weight) AS (VALUES " + ", ".join(f"({s(k)}, {v})" for k, v in WEIGHTS.items()) + ")"
+_CFG_SQL = "cfg(name, weight) AS (VALUES " + ", ".join(f"({s(k)}, CAST({v} AS BIGINT))" for k, v in WEIGHTS.items()) + ")"
 
 
 def _config(spark):

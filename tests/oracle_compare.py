@@ -55,6 +55,16 @@ def _norm(v):
     return v
 
 
+SPARK_TO_DUCKDB = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                   "float": "FLOAT", "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
+def _types(sdf, con, sql):
+    sp = {f.name: SPARK_TO_DUCKDB.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    dd = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return {k: (sp.get(k), dd.get(k)) for k in set(sp) | set(dd) if sp.get(k) != dd.get(k)}
+
+
 def _rows(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     out = [tuple(_norm(r[i]) for i in order) for r in rows]
@@ -75,6 +85,10 @@ def compare(spark, sf_dir: str, name: str, query, sql: str, con=None) -> dict:
     out = {"query": name, "spark_rows": len(s_rows), "oracle_rows": len(d_rows),
            "spark_sec": round(t1 - t0, 2), "oracle_sec": round(t2 - t1, 2),
            "names_match": sorted(s_names) == sorted(d_names)}
+    type_diff = _types(sdf, con, sql)
+    out["types_match"] = not type_diff
+    if type_diff:
+        out["type_diff"] = type_diff
     out["values_match"] = out["names_match"] and _rows(s_names, s_rows) == _rows(d_names, d_rows)
     if not out["values_match"]:
         out["spark_names"], out["oracle_names"] = s_names, d_names

@@ -23,6 +23,7 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, SF, name, QUERIES[name], ORACLE[name], con)
     assert r["names_match"], r
+    assert r["types_match"], r
     assert r["spark_rows"] == r["oracle_rows"], r
     assert r["values_match"], r
 
