@@ -71,17 +71,13 @@ def degree_candidates(spark, sf_dir):
 
 
 def _members(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
-    centers = community.star_cover(edges, MIN_SIZE)
-    return community.community_members(edges, centers)
+    return community.communities(_edges(spark, sf_dir), MIN_SIZE)
 
 
 @register("star_communities", f"WITH RECURSIVE {_GREEDY_SQL} SELECT window_id, cluster_no, center, size FROM accepted")
 def star_communities(spark, sf_dir):
     """Exact distributed greedy star cover, numbered in acceptance order."""
-    edges = _edges(spark, sf_dir)
-    centers = community.star_cover(edges, MIN_SIZE)
-    members = community.community_members(edges, centers)
+    members = community.communities(_edges(spark, sf_dir), MIN_SIZE)
     return (members.groupBy("window_id", "cluster_no", "center")
             .agg(F.count(F.lit(1)).alias("size")))
 
