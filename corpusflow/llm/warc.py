@@ -157,8 +157,9 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         del data[:length]
 
 
+#: ``block`` is the text of request and metadata records, ``payload`` what a response holds.
 RECORD = ("archive string, kind string, record_id string, concurrent_to string, refers_to string, uri string, date string, "
-          "payload binary, payload_bytes bigint, payload_digest string, declared_digest string, error string")
+          "block string, payload binary, payload_bytes bigint, payload_digest string, declared_digest string, error string")
 
 
 def _row(archive: str, headers: dict[str, str], block: bytes) -> tuple:
@@ -166,12 +167,14 @@ def _row(archive: str, headers: dict[str, str], block: bytes) -> tuple:
 
     kind = headers.get("warc-type", "")
     payload = block
-    if headers.get("content-type", "").startswith("application/http"):
-        payload = block.partition(b"\r\n\r\n")[2] if kind != "request" else block
+    if headers.get("content-type", "").startswith("application/http") and kind != "request":
+        payload = block.partition(b"\r\n\r\n")[2]
+    about = kind in ("request", "metadata", "warcinfo")
     bare = lambda k: headers[k].strip("<>") if k in headers else None
     return (archive, kind, bare("warc-record-id"), bare("warc-concurrent-to"), bare("warc-refers-to"),
-            headers.get("warc-target-uri"), headers.get("warc-date"), payload, len(payload),
-            base64.b32encode(hashlib.sha1(payload).digest()).decode(),
+            headers.get("warc-target-uri"), headers.get("warc-date"), block.decode("utf-8", "replace") if about else None,
+            None if about else payload, len(payload),
+            None if about else base64.b32encode(hashlib.sha1(payload).digest()).decode(),
             headers.get("warc-payload-digest", "").removeprefix("sha1:") or None, None)
 
 
@@ -203,7 +206,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                             yield batch(rows)
                             rows, held = [], 0
                 except (ValueError, zlib.error) as e:
-                    rows.append((name, "damaged", *[None] * 9, str(e)))
+                    rows.append((name, "damaged", *[None] * 10, str(e)))
                 if rows:
                     yield batch(rows)
 
@@ -216,16 +219,19 @@ def assemble(records: DataFrame) -> DataFrame:
     Of several requests (or metadata records) for one capture that with the
     smallest record id is taken; captures without one have a null struct.
     Records that name no capture of the table are left out.  Captures are kept
-    as often as they occur.
+    as often as they occur.  Without a column ``payload`` the rows carry none
+    (and none is shuffled).
     """
+    held = [c for c in ("payload",) if c in records.columns]
+
     def side(kind: str) -> DataFrame:
-        body = F.struct("record_id", "date", F.col("payload").cast("string").alias("block"))
+        body = F.struct("record_id", "date", "block")
         return (records.where((F.col("kind") == kind) & F.col("concurrent_to").isNotNull())
                 .groupBy(F.col("concurrent_to").alias("capture_id")).agg(F.min(body).alias(kind)))
 
     main = records.where(F.col("kind").isin("response", "revisit")).select(
         F.col("record_id").alias("capture_id"), "uri", "date",
-        F.struct("kind", "refers_to", "payload", "payload_bytes", "payload_digest", "declared_digest").alias("response"))
+        F.struct("kind", "refers_to", *held, "payload_bytes", "payload_digest", "declared_digest").alias("response"))
     return main.join(side("request"), "capture_id", "left").join(side("metadata"), "capture_id", "left")
 
 
@@ -240,7 +246,7 @@ def page_captures(pages: DataFrame, *, path: str | None = None, **options) -> Da
     spark = pages.sparkSession
     path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
     write_archives(pages, path, **options)
-    c = assemble(read_archives(spark, path))
+    c = assemble(checkpoint(read_archives(spark, path).drop("payload")))  # parsed once; payloads stay in the archives
     fact = lambda name: F.regexp_extract(F.col("metadata.block"), f"(?:^|\r\n){name}: ([^\r]*)", 1)
     revisit = F.col("response.kind") == "revisit"
     return c.select(
