@@ -27,8 +27,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     name, also one that differs only in case or that an operator uses inside.
     """
     names = df.columns
-    plain = df.toDF(*[f"_in{i}" for i in range(len(names))])
-    return plain.select(*[F.col(f"_in{names.index(old)}").alias(new) for new, old in columns.items()])
+    return positional(df).select(*[F.col(f"_in{names.index(old)}").alias(new) for new, old in columns.items()])
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with columns named ``_in0``, ``_in1``, ... by position; ``.toDF(*df.columns)`` names them back."""
+    return df.toDF(*[f"_in{i}" for i in range(len(df.columns))])
 
 
 def words_of(text: Column) -> Column:

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, pick, small
+from .common import checkpoint, pick, positional, small
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -128,7 +128,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no item."""
     id_col = options.get("id_col", "doc_id")
     hit = checkpoint(contained_items(docs, items, **options).select(F.col(id_col).alias("_hit")).distinct())
-    return docs.join(small(hit, BROADCAST_ROWS), docs[id_col].eqNullSafe(F.col("_hit")), "left_anti")
+    own = F.col(f"_in{docs.columns.index(id_col)}")
+    return positional(docs).join(small(hit, BROADCAST_ROWS), own.eqNullSafe(F.col("_hit")), "left_anti").toDF(*docs.columns)
 
 
 #: DuckDB: containment of every item in every document, by brute force over all shingles.

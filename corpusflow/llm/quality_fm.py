@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, pick, slices
+from .common import held_out, map_texts, pick, positional, slices
 from .training import labelled_sample
 
 WORD_BITS = 16
@@ -192,4 +192,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
                 texts = part.column(at).to_pylist()
                 yield part.filter(pa.array([score(t or "") >= cut for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = positional(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

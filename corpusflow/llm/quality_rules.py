@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import SPACES, checkpoint, pick, words_of
 
 STEPS = 25
-SMOOTH = 1.0
+#: Belief that EM starts from, and its weight: as many votes per rule and class as this share of all documents.
+START_GOOD, START_BAD, START_SHARE = 0.02, 0.3, 0.8
+WEIGHT = 0.1
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -119,7 +121,9 @@ def fit(patterns: DataFrame, names: list[str], steps: int = STEPS) -> list[float
 
     Starts from the belief that a rule seldom votes bad on a good document
     (1 in 50) and misses most kinds of bad ones (votes bad on 3 in 10), with a
-    share of good documents of 0.7.  Abstaining says nothing about the class.
+    share of good documents of 0.8.  The belief stays as a prior that weighs as
+    much as a tenth of the documents, so a rare kind of bad document that only
+    one or two rules know is not taken for good ones' noise.  Abstaining says nothing about the class.
     Each step is one small aggregation: the expected number of good documents
     by slot.  No document: the start values.
     """
@@ -129,20 +133,20 @@ def fit(patterns: DataFrame, names: list[str], steps: int = STEPS) -> list[float
             out += [math.log(g / b), 0.0, math.log((1 - g) / (1 - b))]
         return out
 
-    share, good, bad = 0.7, [0.02] * len(names), [0.3] * len(names)
+    share, good, bad = START_SHARE, [START_GOOD] * len(names), [START_BAD] * len(names)
     sums = lambda df, x: {r[0]: float(r[1]) for r in (
         df.select(F.explode("slots").alias("s"), x.alias("x")).groupBy("s").agg(F.sum("x")).collect())}
     every = sums(patterns, F.col("n"))
     total = every.get(0, 0.0)
     for _ in range(steps if total else 0):
         g = sums(patterns, F.col("n") * _posterior(table(share, good, bad)))
-        before, share = share, (g[0] + SMOOTH) / (total + 2 * SMOOTH)
+        before, share = share, (g[0] + START_SHARE * WEIGHT * total) / ((1 + WEIGHT) * total)
         for k in range(len(names)):
             lo, hi = 3 * k + 1, 3 * k + 3
             in_good = [g.get(lo, 0.0), g.get(hi, 0.0)]
             in_bad = [max(0.0, every.get(s, 0.0) - g.get(s, 0.0)) for s in (lo, hi)]
-            good[k] = (in_good[0] + SMOOTH) / (sum(in_good) + 2 * SMOOTH)
-            bad[k] = (in_bad[0] + SMOOTH) / (sum(in_bad) + 2 * SMOOTH)
+            good[k] = (in_good[0] + START_GOOD * WEIGHT * total) / (sum(in_good) + WEIGHT * total)
+            bad[k] = (in_bad[0] + START_BAD * WEIGHT * total) / (sum(in_bad) + WEIGHT * total)
         if abs(share - before) < 1e-4:
             break
     return table(share, good, bad)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, pick
+from .common import map_texts, pick, positional
 
 #: Fixed by the contract: keywords, patterns and least lengths of the base kinds, in order of listing.
 BASE_KINDS = ("assign", "access", "hex")
@@ -218,5 +218,4 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     names = docs.columns
     k = names.index(text_col)
-    plain = docs.toDF(*[f"_in{i}" for i in range(len(names))])
-    return plain.withColumn(f"_in{k}", clean(F.col(f"_in{k}"))).toDF(*names)
+    return positional(docs).withColumn(f"_in{k}", clean(F.col(f"_in{k}"))).toDF(*names)

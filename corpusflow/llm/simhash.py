@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_texts, pick, small
+from .common import checkpoint, map_texts, pick, positional, small
 from .components import components
 
 SHINGLE = 4
@@ -235,8 +235,9 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     gone = checkpoint(found.where("_id <> _component").select("_id").distinct())
     again = checkpoint(found.where("_id = _component").groupBy("_id").count().where("count > 1").select("_id"))
     gone_, again_ = small(gone, BROADCAST_ROWS), small(again, BROADCAST_ROWS)
-    on = docs[id_col] == F.col("_id")
-    left = docs.join(gone_, on, "left_anti")
-    if again.isEmpty():
-        return left
-    return left.join(again_, on, "left_anti").unionByName(docs.join(again_, on, "left_semi").dropDuplicates([id_col]))
+    rows, own = positional(docs), f"_in{docs.columns.index(id_col)}"
+    on = F.col(own) == F.col("_id")
+    left = rows.join(gone_, on, "left_anti")
+    if not again.isEmpty():
+        left = left.join(again_, on, "left_anti").unionByName(rows.join(again_, on, "left_semi").dropDuplicates([own]))
+    return left.toDF(*docs.columns)
