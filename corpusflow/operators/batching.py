@@ -1,7 +1,8 @@
 """Training input shaping as column expressions and ordinals.
 
-* L3 cap: the first ``cap`` rows (load order) having both fields, *then* the
-  length test - the cap counts rows the length test later drops.
+* L3 cap: with an explicit ``cap``, the first ``cap`` rows (load order) having
+  both fields, *then* the length test - the cap counts rows the length test
+  later drops.  By default there is no cap.
 * L5 shuffle: order by a seeded hash of the id (per epoch); stable per seed.
 * L6 split: ``hash mod 100 < train_pct``.
 * R6 batches: consecutive rows of the shuffled order, ``batch_size`` per
@@ -22,51 +23,38 @@ from pyspark.sql import functions as F
 from corpusflow.functions.hashing import seeded_hash
 from corpusflow.operators.ordinals import with_ordinal
 
-# fixed values of the training input: batch size, row cap, text length bound,
-# shuffle buffer (our shuffle is a full one, so the buffer only documents intent)
+# fixed values of the training input: batch size and text length bound
 BATCH_SIZE = 32
-ROW_CAP = 100_000
 MAX_TEXT_CHARS = 1500
-SHUFFLE_BUFFER = 2000
 
 
-# above this cap the kept keys are numbered with distributed ordinals instead of a top-k
-TOPK_CAP_LIMIT = 5_000_000
+def first_rows(df: DataFrame, order_by: Sequence[str], required: Sequence[str], cap: int | None) -> DataFrame:
+    """Rows with all ``required`` fields; with a ``cap``, the first ``cap`` of them by ``order_by`` (a unique key).
 
-
-def cap_then_filter(df: DataFrame, order_by: Sequence[str], required: Sequence[str], cap: int = ROW_CAP,
-                    text_col: str = "text", max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
-    """L3 + P13: rows with all ``required`` fields, the first ``cap`` of them, then ``len(text) < max_chars``.
-
-    Only the order keys are ranked: a top-``cap`` (partial top-k per task, then
-    one merge of at most ``cap`` keys per task) picks the kept keys, which are
-    semi-joined back - broadcast, since their number is bounded by ``cap``.
-    Very large caps use the distributed ordinal plan instead.
+    Only the order keys are numbered (distributed ordinals); the rows are
+    semi-joined on them, at every size by the same plan.
     """
     ok = df
     for c in required:
         ok = ok.where(F.col(c).isNotNull())
+    if cap is None:
+        return ok
     keys = list(order_by)
-    if cap <= TOPK_CAP_LIMIT:
-        kept = ok.select(*keys).orderBy(*keys).limit(cap)
-        capped = ok.join(F.broadcast(kept), keys, "left_semi")
-    else:
-        numbered = with_ordinal(ok.select(*keys), keys, name="_cap_ordinal")
-        capped = ok.join(numbered.where(F.col("_cap_ordinal") < cap).select(*keys), keys, "left_semi")
-    return capped.where(F.length(text_col) < max_chars)
+    numbered = with_ordinal(ok.select(*keys), keys, name="_cap_ordinal")
+    return ok.join(numbered.where(F.col("_cap_ordinal") < cap).select(*keys), keys, "left_semi")
+
+
+def cap_then_filter(df: DataFrame, order_by: Sequence[str], required: Sequence[str], cap: int | None = None,
+                    text_col: str = "text", max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
+    """L3 + P13: :func:`first_rows` (all of them by default), then ``len(text) < max_chars``."""
+    return first_rows(df, order_by, required, cap).where(F.length(text_col) < max_chars)
 
 
-def cap_counters(df: DataFrame, order_by: Sequence[str], required: Sequence[str], cap: int = ROW_CAP,
+def cap_counters(df: DataFrame, order_by: Sequence[str], required: Sequence[str], cap: int | None = None,
                  text_col: str = "text", max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
-    """A3: ``seen`` (rows inside the cap having all fields) and ``accepted`` (of those, short enough), one pass."""
-    ok = df
-    for c in required:
-        ok = ok.where(F.col(c).isNotNull())
-    keys = list(order_by)
-    kept = ok.select(*keys).orderBy(*keys).limit(cap)
-    capped = ok.join(F.broadcast(kept), keys, "left_semi")
-    return capped.agg(F.count(F.lit(1)).alias("seen"),
-                      F.count_if(F.length(text_col) < max_chars).alias("accepted"))
+    """A3: ``seen`` (rows of :func:`first_rows`) and ``accepted`` (of those, short enough), one pass."""
+    return first_rows(df, order_by, required, cap).agg(
+        F.count(F.lit(1)).alias("seen"), F.count_if(F.length(text_col) < max_chars).alias("accepted"))
 
 
 def split_train_val(df: DataFrame, id_col: str, seed: int = 0, train_pct: int = 90) -> DataFrame:
@@ -83,13 +71,16 @@ def shuffle_key(id_col: str, seed: int = 0, epoch: int | Column = 0) -> Column:
 
 def shuffled_batches(df: DataFrame, id_col: str, seed: int = 0, epoch: int = 0,
                      batch_size: int = BATCH_SIZE) -> DataFrame:
-    """L5 + R6: ``batch_id``, ``row`` (position in batch) over the shuffled order."""
-    keyed = df.withColumn("_shuffle", shuffle_key(id_col, seed, epoch))
-    numbered = with_ordinal(keyed, ["_shuffle", id_col], name="_ord")
-    return (numbered
-            .withColumn("batch_id", F.floor(F.col("_ord") / batch_size).cast("long"))
-            .withColumn("row", F.pmod(F.col("_ord"), F.lit(batch_size)).cast("long"))
-            .drop("_shuffle", "_ord"))
+    """L5 + R6: ``batch_id``, ``row`` (position in batch) over the shuffled order of the unique ``id_col``.
+
+    Only ids are shuffled and numbered; the other columns join their place.
+    """
+    ids = df.select(id_col).withColumn("_shuffle", shuffle_key(id_col, seed, epoch))
+    numbered = with_ordinal(ids, ["_shuffle", id_col], name="_ord")
+    placed = numbered.select(id_col, F.floor(F.col("_ord") / batch_size).cast("long").alias("batch_id"),
+                             F.pmod(F.col("_ord"), F.lit(batch_size)).cast("long").alias("row"))
+    rest = [c for c in df.columns if c != id_col]
+    return df.join(placed, id_col).select(id_col, *rest, "batch_id", "row") if rest else placed
 
 
 def pad_batch(df: DataFrame, ids_col: str, batch_col: str = "batch_id", out_col: str = "padded") -> DataFrame:

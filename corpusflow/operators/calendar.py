@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 MIN_COUNT = 10
 MIN_YEAR = 1990
 KEY_SEPARATOR = " -- "
-KEY_TEXT_CHARS = 100
 
 
 def articles_by_month(df: DataFrame, date_col: str = "publish_date", min_count: int = MIN_COUNT,
@@ -71,11 +70,11 @@ def window_articles(articles: DataFrame, windows: DataFrame, date_col: str = "pu
     return articles.join(days, articles[date_col] == days["day"]).drop("day")
 
 
-def dedup_key(title: str | Column, text: str | Column) -> Column:
-    """F8: title, ``' -- '``, first 100 characters of the text."""
+def dedup_key(title: str | Column, text: str | Column, text_chars: int | None = None) -> Column:
+    """F8: title, ``' -- '``, and a digest of the whole text (with ``text_chars``: its first so many characters)."""
     t = F.col(title) if isinstance(title, str) else title
     x = F.col(text) if isinstance(text, str) else text
-    return F.concat(t, F.lit(KEY_SEPARATOR), F.substring(x, 1, KEY_TEXT_CHARS))
+    return F.concat(t, F.lit(KEY_SEPARATOR), F.sha2(x, 256) if text_chars is None else F.substring(x, 1, text_chars))
 
 
 def key_title(key: str | Column) -> Column:
@@ -85,7 +84,7 @@ def key_title(key: str | Column) -> Column:
 
 
 def window_dedup(rows: DataFrame, id_col: str = "id", date_col: str = "publish_date",
-                 title_col: str = "title", text_col: str = "text") -> DataFrame:
+                 title_col: str = "title", text_col: str = "text", text_chars: int | None = None) -> DataFrame:
     """One article per (window, dedup key): the earliest date, then the smallest id.
 
     Rows with a null title or text are dropped (the reference aborts the whole
@@ -93,7 +92,7 @@ def window_dedup(rows: DataFrame, id_col: str = "id", date_col: str = "publish_d
     third of the rows is reduced map-side.  Adds ``dedup_key`` and ``copies``.
     """
     ok = rows.where(F.col(title_col).isNotNull() & F.col(text_col).isNotNull())
-    keyed = ok.withColumn("dedup_key", dedup_key(title_col, text_col))
+    keyed = ok.withColumn("dedup_key", dedup_key(title_col, text_col, text_chars))
     others = [c for c in keyed.columns if c not in ("window_id", "dedup_key")]
     return (keyed.groupBy("window_id", "dedup_key")
             .agg(F.min_by(F.struct(*others), F.struct(date_col, id_col)).alias("_r"),

@@ -28,10 +28,14 @@ from corpusflow.session import cut_lineage
 _PID, _LOCAL, _N, _OFF, _FIRST = "_cf_pid", "_cf_local", "_cf_n", "_cf_off", "_cf_first"
 
 
+ROWS_PER_PARTITION = 2_000_000
+
+
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """The session's shuffle partitions, or as many as hold ``ROWS_PER_PARTITION`` rows each if those are more."""
     if num_partitions:
         return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_PARTITION))
 
 
 def sorted_tagged(df: DataFrame, keys: Sequence[str | Column],

@@ -96,7 +96,6 @@ ALLOW_SCHEMA = T.StructType([
     T.StructField("all_subdomains", T.BooleanType()),
     T.StructField("subdomains", T.ArrayType(T.StringType())),
 ])
-MAX_BROADCAST_ROWS = 2_000_000
 
 
 def parse_suffix_rule(line: str):
@@ -146,12 +145,6 @@ def read_allow_list(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.trim("v").startswith("["), F.from_json("v", "array<string>")).alias("subdomains"))
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a lookup table only after checking its row count (bounded input tables only)."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def matched_suffixes(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """J1 core on distinct ``host`` rows: ``host, subdomain, domain, suffix`` for hosts some rule matches.
 
@@ -173,7 +166,7 @@ def matched_suffixes(hosts: DataFrame, rules: DataFrame) -> DataFrame:
                      .select("host", "n", "labels", "i", F.col("tail").alias("key"), F.lit("wild").alias("mode")))
     r = rules.select(F.col("name").alias("key"), "kind",
                      F.when(F.col("kind") == "wildcard", "wild").otherwise("direct").alias("mode"))
-    matched = keyed.join(checked_broadcast(r), ["key", "mode"])
+    matched = keyed.join(r, ["key", "mode"])
     scored = matched.select(
         "host", "n", "labels",
         (F.col("kind") == "exception").alias("exc"),
@@ -218,8 +211,7 @@ def url_gate(df: DataFrame, allow: DataFrame, rules: DataFrame, url_col: str = "
     test compares the dotted extension with undotted names and never fires.
     """
     parts = url_parts(df, rules, url_col)
-    al = checked_broadcast(allow.select(F.col("domain").alias("registered_domain"),
-                                        "all_subdomains", "subdomains"))
+    al = allow.select(F.col("domain").alias("registered_domain"), "all_subdomains", "subdomains")
     x = parts.join(al, "registered_domain", "left")
     allowed = (F.col("all_subdomains") == F.lit(True)) | \
         F.coalesce(F.array_contains("subdomains", F.col("subdomain")), F.lit(False))

@@ -53,24 +53,23 @@ def _wsum_sql(arr: str) -> str:
 
 
 @register("capped_short_texts", f"""WITH {q_text._ART_SQL},
-ok AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM art
+ok AS (SELECT doc_id, text FROM art
        WHERE summary IS NOT NULL AND text IS NOT NULL)
 SELECT doc_id, CAST(length(text) AS BIGINT) AS text_chars FROM ok
-WHERE o < {B.ROW_CAP} AND length(text) < {B.MAX_TEXT_CHARS}""")
+WHERE length(text) < {B.MAX_TEXT_CHARS}""")
 def capped_short_texts(spark, sf_dir):
-    """L3 + P13: first 100,000 rows with summary and text, then text shorter than 1500."""
+    """P13 after L3 (no cap): rows with summary and text, text shorter than 1500."""
     a = q_text.extracted_articles(spark, sf_dir).select("doc_id", "summary", "text")
     out = B.cap_then_filter(a, ["doc_id"], ["summary", "text"])
     return out.select("doc_id", F.length("text").cast("long").alias("text_chars"))
 
 
 @register("cap_counters", f"""WITH {q_text._ART_SQL},
-ok AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM art
+ok AS (SELECT doc_id, text FROM art
        WHERE summary IS NOT NULL AND text IS NOT NULL)
-SELECT count(*) AS seen, count(*) FILTER (WHERE length(text) < {B.MAX_TEXT_CHARS}) AS accepted FROM ok
-WHERE o < {B.ROW_CAP}""")
+SELECT count(*) AS seen, count(*) FILTER (WHERE length(text) < {B.MAX_TEXT_CHARS}) AS accepted FROM ok""")
 def cap_counters(spark, sf_dir):
-    """A3: rows seen inside the cap and rows accepted by the length test, in one pass."""
+    """A3: rows seen and rows accepted by the length test, in one pass (no cap)."""
     a = q_text.extracted_articles(spark, sf_dir).select("doc_id", "summary", "text")
     return B.cap_counters(a, ["doc_id"], ["summary", "text"])
 

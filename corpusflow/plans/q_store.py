@@ -102,11 +102,11 @@ def window_articles(spark, sf_dir):
 
 
 @register("window_dedup", f"""WITH {_DATES_SQL},
-keyed AS (SELECT *, title || ' -- ' || substr(text, 1, 100) AS k FROM wa WHERE title IS NOT NULL AND text IS NOT NULL)
+keyed AS (SELECT *, title || ' -- ' || sha256(text) AS k FROM wa WHERE title IS NOT NULL AND text IS NOT NULL)
 SELECT window_id, arg_min(id, (publish_date, id)) AS id, min(publish_date) AS publish_date, count(*) AS copies
 FROM keyed GROUP BY window_id, k""")
 def window_dedup(spark, sf_dir):
-    """One article per (window, title -- first 100 chars), earliest date wins."""
+    """One article per (window, title, whole text), earliest date wins."""
     a = standins.articles(spark, sf_dir)
     rows = C.window_articles(a, _windows(spark, sf_dir))
     return C.window_dedup(rows).select("window_id", "id", "publish_date", "copies")

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from corpusflow.sources.tables import table
 
 # fixed values of the stand-in article table: title is the first
-# 60 characters, the publish date is spread over 211 days from 2024-01-01.
-TITLE_CHARS = 60
+# line, the publish date is spread over 211 days from 2024-01-01.
 DATE_ORIGIN = "2024-01-01"
 DATE_SPREAD = 211
 
@@ -24,7 +23,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id").alias("id"),
-        F.substring("text", 1, TITLE_CHARS).alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         "text",
         F.date_add(F.lit(DATE_ORIGIN).cast("date"),
                    F.pmod(F.col("doc_id") * F.col("doc_id"), F.lit(DATE_SPREAD)).cast("int")).alias("publish_date"),
@@ -33,7 +32,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ARTICLES_SQL = f"""
 articles AS (
-  SELECT doc_id AS id, substr(text, 1, {TITLE_CHARS}) AS title, text,
+  SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text,
          CAST(DATE '{DATE_ORIGIN}' + CAST(((doc_id * doc_id) % {DATE_SPREAD}) AS INTEGER) AS DATE) AS publish_date,
          lang, source, n_chars
   FROM documents)"""

@@ -6,10 +6,12 @@ Line format (one object per line, per window file)::
               summary?, domain?, authors?, split?, status?, text, score}, ...}}
 
 Missing optional fields are left out (``to_json`` drops nulls).  A line holds
-the centre plus at most ``max_members`` later members: a bigger cluster is
-written as several lines, each repeating ``S0`` first, so the consumer (which
-pairs the first member of a line with every other one) produces exactly the
-same pairs and lineage paths, while no task ever collects an unbounded group.
+one pair: the centre ``S0`` and one later member (a cluster of one has a line
+with its centre alone).  The consumer pairs the first member of a line with
+every other one, so this gives the same pairs and lineage paths as a line per
+cluster would, clusters of every size are written alike, and no task collects a
+group.  ``max_members`` packs more members to a line where a file's reader
+wants fewer lines; ``chunk`` numbers a cluster's lines in either case.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 
 from corpusflow.operators.pairs import SCORE_HIGH, SCORE_LOW
 
-MAX_MEMBERS_PER_LINE = 1000
+MEMBERS_PER_LINE = 1
 
 MEMBER_STRUCT = T.StructType([
     T.StructField("title", T.StringType()), T.StructField("url", T.StringType()),
@@ -45,7 +47,7 @@ def _member_struct(df: DataFrame):
 
 
 def cluster_lines(members: DataFrame, articles: DataFrame, window_names: DataFrame,
-                  max_members: int = MAX_MEMBERS_PER_LINE) -> DataFrame:
+                  max_members: int = MEMBERS_PER_LINE) -> DataFrame:
     """``file_name, cluster_no, chunk, value`` (the JSON line).
 
     ``members``: window_id, cluster_no, member_no, id, score (C4);
