@@ -23,7 +23,7 @@ from .common import SPACES, checkpoint, pick, words_of
 
 STEPS = 25
 #: Belief that EM starts from, and its weight: as many votes per rule and class as this share of all documents.
-START_GOOD, START_BAD, START_SHARE = 0.02, 0.3, 0.8
+START_GOOD, START_BAD, START_SHARE = 0.02, 0.3, 0.7
 WEIGHT = 0.1
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -90,7 +90,7 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "symbols": (10 * c("n_symbols") > n, 50 * c("n_symbols") <= n),
         "symbol_share": (50 * c("n_symbols") > chars, 200 * c("n_symbols") <= chars),
         "dup_lines": (10 * c("n_dup_lines") > 3 * c("n_lines"), (c("n_dup_lines") == 0) & (c("n_lines") >= 3)),
-        "repeats": (100 * c("n_repeat_words") > 10 * n, 100 * c("n_repeat_words") <= n),
+        "repeats": (100 * c("n_repeat_words") > 15 * n, 100 * c("n_repeat_words") <= n),
         "shouting": (5 * c("n_upper") > 2 * chars, 10 * c("n_upper") <= chars),
         "marks": (10 * c("n_shouts") > 3 * n, 50 * c("n_shouts") <= n),
         "variety": (4 * c("n_distinct") < n, 5 * c("n_distinct") >= 2 * n),
@@ -121,7 +121,7 @@ def fit(patterns: DataFrame, names: list[str], steps: int = STEPS) -> list[float
 
     Starts from the belief that a rule seldom votes bad on a good document
     (1 in 50) and misses most kinds of bad ones (votes bad on 3 in 10), with a
-    share of good documents of 0.8.  The belief stays as a prior that weighs as
+    share of good documents of 0.7.  The belief stays as a prior that weighs as
     much as a tenth of the documents, so a rare kind of bad document that only
     one or two rules know is not taken for good ones' noise.  Abstaining says nothing about the class.
     Each step is one small aggregation: the expected number of good documents

@@ -33,7 +33,7 @@ def test_counts_equal_brute_force(spark):
 
 def em(patterns, names):
     """The same model, one pattern at a time, in plain Python."""
-    share, good, bad = 0.8, [0.02] * len(names), [0.3] * len(names)
+    share, good, bad = 0.7, [0.02] * len(names), [0.3] * len(names)
 
     def post(p):
         a, b = share, 1 - share
@@ -45,7 +45,7 @@ def em(patterns, names):
     total = sum(patterns.values())
     for _ in range(Q.STEPS):
         w = {p: post(p) for p in patterns}
-        before, share = share, (sum(n * w[p] for p, n in patterns.items()) + 0.08 * total) / (1.1 * total)
+        before, share = share, (sum(n * w[p] for p, n in patterns.items()) + 0.07 * total) / (1.1 * total)
         for k in range(len(names)):
             lo, hi = ({p: n for p, n in patterns.items() if p[k] == s} for s in (-1, 1))
             g = [sum(n * w[p] for p, n in x.items()) for x in (lo, hi)]
