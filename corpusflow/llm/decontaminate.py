@@ -116,10 +116,11 @@ def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
                    F.col("shingles"), shingle_texts(F.col("w"), F.col("width"))))))
     exact = checked.select(
         "doc", "item", F.size("shingles").cast("long").alias("n_shingles"), F.col("n_found").cast("long"))
-    best = exact.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(
-        F.col("containment") >= threshold - 1e-9)
-    return (best.groupBy("doc", "item")
-            .agg(F.max(F.struct("containment", "n_found", "n_shingles")).alias("b"))
+    best = exact.groupBy("doc", "item").agg(F.max(F.struct(
+        (F.col("n_found") / F.col("n_shingles")).alias("containment"), "n_found", "n_shingles")).alias("b"))
+    # the threshold stands above the aggregation: below it, Spark would push it under the projection that makes
+    # the words, and evaluate them again for every shingle
+    return (best.where(F.col("b.containment") >= threshold - 1e-9)
             .select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.n_shingles", "b.n_found",
                     "b.containment"))
 
