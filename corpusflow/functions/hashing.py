@@ -27,6 +27,11 @@ def seeded_hash(id_col: str | Column, seed: int | Column) -> Column:
     return F.pmod(h * MULTIPLIER + 1, F.lit(MODULUS))
 
 
+def wide_hash(id_col: str | Column, seed: int) -> Column:
+    """62 bits from two seeded hashes, for positions in tables of more than 2^31 rows."""
+    return seeded_hash(id_col, seed) * (1 << 31) + seeded_hash(id_col, seed + 7919)
+
+
 def seeded_hash_sql(id_expr: str, seed: int | str) -> str:
     m = MODULUS
     lo = f"(CAST({id_expr} AS BIGINT) & {m})"

@@ -35,19 +35,21 @@ def strip_ws(text: str | Column) -> Column:
 
 def strip_title(text: str | Column, title: str | Column) -> Column:
     """drop the title from the start of the text when a newline follows it, then leading newlines."""
-    t, x = _c(title), _c(text)
-    starts = F.startswith(x, F.concat(t, F.lit("\n")))
-    rest = F.regexp_replace(F.substr(x, F.length(t) + 1), r"^\n+", "")
-    return F.when(t.isNotNull() & F.coalesce(starts, F.lit(False)), rest).otherwise(x)
+    t = _c(title)
+
+    def strip(x: Column) -> Column:
+        starts = F.startswith(x, F.concat(t, F.lit("\n")))
+        rest = F.regexp_replace(F.substr(x, F.length(t) + 1), r"^\n+", "")
+        return F.when(t.isNotNull() & F.coalesce(starts, F.lit(False)), rest).otherwise(x)
+
+    # the text is bound to a lambda variable, so what makes it is evaluated once
+    return F.element_at(F.transform(F.array(_c(text)), strip), 1)
 
 
 def summary_cascade(*candidates: str | Column, min_chars: int = SUMMARY_MIN_CHARS) -> Column:
     """the first candidate whose stripped text is longer than ``min_chars``, else null."""
-    picks = []
-    for cand in candidates:
-        s = strip_ws(_c(cand).cast("string"))
-        picks.append(F.when(F.length(s) > min_chars, s))
-    return F.coalesce(*picks)
+    stripped = F.transform(F.array(*[_c(c).cast("string") for c in candidates]), strip_ws)
+    return F.get(F.filter(stripped, lambda s: F.length(s) > min_chars), 0)
 
 
 def keep_authors(authors: str | Column, max_parts: int = AUTHOR_MAX_PARTS) -> Column:

@@ -40,6 +40,8 @@ SKIP_TAGS = {"script", "style", "nav", "header", "footer", "aside", "form", "nos
 BLOCK_TAGS = {"p", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre"}
 AD_CLASSES = {"ad", "ads", "advert", "advertisement"}
 DATE_META = ("article:published_time", "og:published_time", "date", "pubdate")
+# start tags that end an open paragraph, as browsers do for a missing end tag
+CLOSE_P = BLOCK_TAGS | {"h1", "div", "section", "article", "main", "ul", "ol", "dl", "table", "hr"} | (SKIP_TAGS - {"script", "style", "noscript", "template"})
 VOID_TAGS = {"br", "img", "meta", "link", "input", "hr", "source", "wbr", "area", "base", "col", "embed"}
 
 EXTRACT_FIELDS = [
@@ -75,6 +77,13 @@ class _Page(HTMLParser):
             if self.in_article:
                 self.body_pars.append(txt)
 
+    def _ends_skipped(self, tag) -> bool:
+        """Does this start tag end the open skipped paragraph or list item (its end tag may be missing)?"""
+        first = self.skip_stack[0]
+        if first == "p":
+            return tag in CLOSE_P
+        return first == "li" and tag == "li" and not {"ul", "ol"} & set(self.skip_stack)
+
     def handle_starttag(self, tag, attrs):
         a = {k: (v or "") for k, v in attrs}
         if tag == "html" and a.get("lang"):
@@ -86,6 +95,8 @@ class _Page(HTMLParser):
             return
         if tag in VOID_TAGS:
             return
+        if self.skip and self._ends_skipped(tag):
+            self.skip, self.skip_stack = 0, []
         classes = set(a.get("class", "").lower().split())
         if self.skip or tag in SKIP_TAGS or (classes & AD_CLASSES):
             self.skip += 1
@@ -98,6 +109,7 @@ class _Page(HTMLParser):
         elif tag == "body":
             self.in_body = 1
         elif tag == "article":
+            self._flush()  # what stands before is no text of the article
             self.has_article = True
             self.in_article += 1
         elif tag == "a" and "author" in a.get("rel", "").lower().split():
@@ -108,6 +120,8 @@ class _Page(HTMLParser):
             self._flush()
 
     def handle_endtag(self, tag):
+        if self.skip and tag not in self.skip_stack and self.skip_stack[0] in ("p", "li") and tag in CLOSE_P | {"body", "html"}:
+            self.skip, self.skip_stack = 0, []  # the parent's end ends the skipped block
         if self.skip:
             if tag in self.skip_stack:
                 while self.skip_stack:

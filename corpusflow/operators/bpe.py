@@ -25,7 +25,6 @@ ids back; decoding (B3) maps ids to tokens and bytes back to text.
 
 from __future__ import annotations
 
-import time
 import unicodedata
 
 import pandas as pd
@@ -82,10 +81,10 @@ def pretokenize(text: str | Column, add_prefix_space: bool = True) -> Column:
 
 
 def corpus_sequences(lines: DataFrame, col: str = "value", line_ending: str = "\n") -> DataFrame:
-    """Lines as the trainer reads a text file: each record line keeps its ending, and each
-    record written with a blank-line separator adds one more line holding just the ending."""
-    return lines.select(F.explode(F.array(F.concat(F.col(col), F.lit(line_ending)), F.lit(line_ending)))
-                        .alias("line"))
+    """Lines as the trainer reads a text file: records are split at every newline, each line keeps its
+    ending, and each record, written with a blank-line separator, adds one more line holding just the ending."""
+    own = F.transform(F.split(F.col(col), "\n", -1), lambda x: F.concat(x, F.lit(line_ending)))
+    return lines.select(F.explode(F.concat(own, F.array(F.lit(line_ending)))).alias("line"))
 
 
 def word_counts(lines: DataFrame, col: str = "line") -> DataFrame:
@@ -108,18 +107,6 @@ def pair_counts(words: DataFrame) -> DataFrame:
             .groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum("n").alias("n")))
 
 
-def _merge_expr(w: Column, a: int, b: int, t: int) -> Column:
-    """Left-to-right, non-overlapping replacement of adjacent (a, b) by t."""
-    empty = F.array().cast("array<int>")
-
-    def step(acc, x):
-        hit = (F.size(acc) > 0) & (F.element_at(acc, -1) == F.lit(a)) & (x == F.lit(b))
-        return F.when(hit, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(t))))\
-                .otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(w, empty, step)
-
-
 _PAIR_KEY = 1 << 32  # token ids stay below 2^32, so a * 2^32 + b names a pair
 
 
@@ -139,12 +126,13 @@ def _merge_sql(w: str, merges) -> str:
 
 
 def train_bpe(words: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int = MIN_FREQUENCY,
-              special_tokens=tuple(SPECIAL_TOKENS), top_k: int = 256, checkpoint_every: int = 1,
-              max_rounds: int = 100_000, rows_per_partition: int = 500_000,
+              special_tokens=tuple(SPECIAL_TOKENS), top_k: int = 256, words_per_partition: int = 50_000,
               stats: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """B1: ``(vocab(id, token), merges(rank, left, right))`` from ``word, n`` rows.
 
-    ``stats`` (optional dict) receives the number of rounds and seconds per round.
+    ``top_k`` bounds how many merges a round may take and changes no result;
+    the word table is dealt out over partitions of ``words_per_partition``
+    words.  ``stats`` (optional dict) receives the number of rounds.
     """
     spark = words.sparkSession
     vocab: list[str] = list(special_tokens)
@@ -161,44 +149,29 @@ def train_bpe(words: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int
     char_ids = F.create_map(*[x for c in chars if c in ids for x in (F.lit(c), F.lit(ids[c]))])
     state = words.select(F.transform(F.split("word", ""), lambda c: F.element_at(char_ids, c)).alias("w"),
                          F.col("n").cast("long").alias("n")).where(F.size("w") > 0)
-    state = state.where(~F.exists("w", lambda x: x.isNull()))
-    # Partitions sized to the distinct-word table: a small table lives in one
-    # partition, so a round is one job with no shuffle; a big one is spread out.
-    n_words = state.count()
-    parts = max(1, -(-n_words // rows_per_partition))
-    state = cut_lineage(state.repartition(parts) if parts > 1 else state.coalesce(1))
-    # the per-round pair count shuffles into as many partitions as the word table has
-    # Round jobs are tiny and identical in shape: size their shuffle to the word table and
-    # skip adaptive re-planning (nothing to adapt), restoring the session settings after.
-    overrides = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.enabled": "false"}
-    saved = {k: spark.conf.get(k) for k in overrides}
-    for k, v in overrides.items():
-        spark.conf.set(k, v)
-    try:
-        vocab, merges = _merge_rounds(state, vocab, ids, vocab_size, min_frequency, top_k,
-                                      checkpoint_every, max_rounds, stats)
-    finally:
-        for k, v in saved.items():
-            spark.conf.set(k, v)
+    state = cut_lineage(state.where(~F.exists("w", lambda x: x.isNull())))
+    parts = -(-state.count() // words_per_partition) or 1
+    state = cut_lineage(state.repartition(parts))
+    vocab, merges = _merge_rounds(state, vocab, ids, vocab_size, min_frequency, top_k, parts, stats)
     vocab_df = spark.createDataFrame(list(enumerate(vocab)), "id long, token string")
     merges_df = spark.createDataFrame(merges, "rank long, left string, right string")
     return vocab_df, merges_df
 
 
-def _merge_rounds(state, vocab, ids, vocab_size, min_frequency, top_k, checkpoint_every, max_rounds, stats):
+def _merge_rounds(state, vocab, ids, vocab_size, min_frequency, top_k, parts, stats):
+    """Rounds of merges until the vocabulary is full or no pair is frequent enough; each round adds at least one."""
     merges: list[tuple[int, str, str]] = []
     rounds = 0
-    while len(vocab) < vocab_size and rounds < max_rounds:
+    while len(vocab) < vocab_size:
         rounds += 1
         pc = (state.where(F.size("w") >= 2).select(F.explode(_pairs_expr(F.col("w"))).alias("p"), "n")
               .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("c")))
-        t0 = time.time()
         top = pc.orderBy(F.col("c").desc(), F.col("a").asc(), F.col("b").asc()).limit(top_k).collect()
         if stats is not None:
-            stats.setdefault("round_sec", []).append(round(time.time() - t0, 3))
             stats["rounds"] = rounds
-        # merging (a, b) changes the counts of pairs ending in a and pairs starting with b
-        # (for a == b that is every pair holding a); the walk stops at the first such pair
+        # merging (a, b) changes the counts of pairs ending in a and of pairs starting with b; the walk stops at the
+        # first such pair.  It also ends after a pair of equals, whose new pair of pairs may be as frequent as what
+        # follows, and after a merge that makes a token again, since ties go to the smaller token.
         ends_in: set[int] = set()
         starts_with: set[int] = set()
         accepted = []
@@ -208,19 +181,19 @@ def _merge_rounds(state, vocab, ids, vocab_size, min_frequency, top_k, checkpoin
             if len(vocab) >= vocab_size:
                 break
             tok = vocab[r["a"]] + vocab[r["b"]]
-            if tok not in ids:
+            again = tok in ids
+            if not again:
                 ids[tok] = len(vocab)
                 vocab.append(tok)
             accepted.append((r["a"], r["b"], ids[tok]))
             merges.append((len(merges), vocab[r["a"]], vocab[r["b"]]))
             ends_in.add(r["a"])
             starts_with.add(r["b"])
+            if again or r["a"] == r["b"]:
+                break
         if not accepted:
             break
-        nxt = state.select(F.expr(_merge_sql("w", accepted)).alias("w"), "n")
-        # lazy between checkpoints: a round re-applies at most a few rounds of merges
-        # to the small word table instead of caching every intermediate table
-        state = cut_lineage(nxt) if rounds % checkpoint_every == 0 else nxt
+        state = cut_lineage(state.select(F.expr(_merge_sql("w", accepted)).alias("w"), "n").coalesce(parts))
     return vocab, merges
 
 
@@ -266,7 +239,8 @@ def encode_words(words: DataFrame, vocab: DataFrame, merges: DataFrame, col: str
 def encode_texts(df: DataFrame, key_cols, text_col: str, vocab: DataFrame, merges: DataFrame) -> DataFrame:
     """B2: ``key_cols, ids`` for every text (normalised, pre-tokenised, BPE per distinct word)."""
     keys = list(key_cols)
-    pieces = df.select(*keys, F.posexplode(pretokenize(nfkc(F.col(text_col)))).alias("pos", "word"))
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    pieces = df.select(*keys, F.posexplode(pretokenize(nfkc(whole))).alias("pos", "word"))
     encoded = encode_words(pieces.select("word").distinct(), vocab, merges)
     joined = pieces.join(encoded, "word")
     per_text = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_p"))
@@ -276,9 +250,9 @@ def encode_texts(df: DataFrame, key_cols, text_col: str, vocab: DataFrame, merge
 def decode_ids(df: DataFrame, ids_col: str, vocab: DataFrame, key_cols) -> DataFrame:
     """``key_cols, text``: ids -> tokens -> bytes -> UTF-8 text (JVM-side)."""
     keys = list(key_cols)
-    exploded = df.select(*keys, F.posexplode(ids_col).alias("pos", "id"))
-    toks = exploded.join(F.broadcast(vocab.where(~F.col("token").isin(SPECIAL_TOKENS))), "id")
+    exploded = df.select(*keys, F.posexplode_outer(ids_col).alias("pos", "id"))
+    toks = exploded.join(F.broadcast(vocab.where(~F.col("token").isin(SPECIAL_TOKENS))), "id", "left")
     joined = toks.groupBy(*keys).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "").alias("s"))
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token", F.lit("")).alias("token")))), lambda x: x["token"]), "").alias("s"))
     latin1 = F.translate("s", _ALPHABET_STR, _LATIN1)
     return joined.select(*keys, F.decode(F.encode(latin1, "ISO-8859-1"), "UTF-8").alias("text"))

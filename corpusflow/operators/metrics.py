@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.operators.ordinals import running_totals, with_ordinal
+from corpusflow.operators.ordinals import running_totals
 
 # fixed values of the training loop: report interval, model width, warm-up,
 # contrastive scale
@@ -36,10 +36,9 @@ POSITION_BASE = 10000.0
 def running_mean_report(df: DataFrame, epoch_col: str, order_by, value_col: str,
                         every: int = REPORT_EVERY) -> DataFrame:
     """``epoch, batch, running_mean`` at batches ``batch % every == 0`` and each epoch's last batch."""
-    numbered = with_ordinal(df, list(order_by), partition_by=[epoch_col], name="batch")
-    run = running_totals(numbered.select(epoch_col, "batch", value_col), [value_col], ["batch"],
-                         partition_by=[epoch_col])
-    last = numbered.groupBy(epoch_col).agg(F.max("batch").alias("_last"))
+    run = running_totals(df.select(epoch_col, *order_by, value_col), [value_col], list(order_by), partition_by=[epoch_col])
+    run = run.withColumn("batch", (F.col("cum_count") - 1).cast("long"))
+    last = df.groupBy(epoch_col).agg((F.count(F.lit(1)) - 1).alias("_last"))
     out = run.join(last, epoch_col)
     return (out.where((F.pmod(F.col("batch"), F.lit(every)) == 0) | (F.col("batch") == F.col("_last")))
             .select(epoch_col, "batch", (F.col(f"cum_{value_col}") / F.col("cum_count")).alias("running_mean")))

@@ -17,12 +17,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.functions.hashing import MODULUS, seeded_hash
+from corpusflow.functions.hashing import MODULUS, seeded_hash, wide_hash
 from corpusflow.operators.ordinals import with_ordinal
 from corpusflow.session import cut_lineage
 
@@ -83,46 +85,37 @@ def batch_plan(config: DataFrame, arity: DataFrame, n_batches: int | DataFrame,
                seed: int = 0) -> DataFrame:
     """``batch, slot, dataset, arity`` for ``n_batches`` global batches.
 
-    Each dataset is listed ``weight`` times (one slot per weight unit, the
-    reference's index list), so a weighted draw is a uniform integer ``k`` and
-    an equi-join on it.  Slot 0 draws over all datasets; later slots draw over
-    the datasets of slot 0's arity.  The slot tables hold one row per weight
-    unit (bounded by the config), so they are broadcast.
+    Dataset d owns ``weight`` consecutive integers (the reference's index list
+    repeats it so often); a draw is a uniform integer ``k`` and takes the dataset
+    whose range holds it.  Slot 0 draws over all datasets; later slots draw over
+    the datasets of slot 0's arity.  The ranges are array literals, one entry per
+    dataset of the config, so no draw is joined or shuffled.
     """
     spark = config.sparkSession
     cfg = (config.join(arity.withColumnRenamed("dataset", "name"), "name").where(F.col("weight") > 0)
-           .select("name", "weight", "arity"))
-    w_all = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_ar = Window.partitionBy("arity").orderBy("name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = cfg.select("name", "arity", "weight",
-                     (F.sum("weight").over(w_all) - F.col("weight")).alias("lo_all"),
-                     F.sum("weight").over(Window.partitionBy()).alias("tot_all"),
-                     (F.sum("weight").over(w_ar) - F.col("weight")).alias("lo_ar"),
-                     F.sum("weight").over(Window.partitionBy("arity")).alias("tot_ar"))
-    units = cum.select("name", "arity", "lo_all", "lo_ar", "tot_all", "tot_ar",
-                       F.explode(F.sequence(F.lit(0), F.col("weight") - 1)).alias("unit"))
-    slots_all = F.broadcast(units.select(F.col("name").alias("dataset"), "arity", "tot_all",
-                                         (F.col("lo_all") + F.col("unit")).alias("k")))
-    slots_ar = F.broadcast(units.select(F.col("name").alias("dataset"), "arity", "tot_ar",
-                                        (F.col("lo_ar") + F.col("unit")).alias("k")))
-    # totals of the config table (one row per arity at most) become literals
-    totals = {r["arity"]: (int(r["tot_all"]), int(r["tot_ar"]))
-              for r in cum.select("arity", "tot_all", "tot_ar").distinct().collect()}
-    if not totals:
+           .select("name", "weight", "arity").orderBy("name").collect())  # the config: one row per dataset
+    if not cfg:
         return spark.createDataFrame([], "batch long, slot long, dataset string, arity int")
-    total_all = next(iter(totals.values()))[0]
-    by_arity = F.create_map(*[x for a, (_, t) in totals.items() for x in (F.lit(a), F.lit(t))])
+
+    def draw(rows, key):
+        """(dataset, arity) of the range that holds a uniform integer below the rows' total weight."""
+        upper = list(itertools.accumulate(int(r["weight"]) for r in rows))
+        k = F.floor(_uniform(key, seed) * F.lit(upper[-1])).cast("long")
+        n = F.element_at(F.transform(F.array(k), lambda x: F.size(F.filter(F.lit(upper), lambda u: u <= x))), 1)
+        return F.element_at(F.transform(F.array(n), lambda i: F.struct(
+            F.get(F.lit([r["name"] for r in rows]), i).alias("dataset"),
+            F.get(F.lit([int(r["arity"]) for r in rows]), i).cast("int").alias("arity"))), 1)
+
     batches = (spark.range(n_batches).select(F.col("id").alias("batch")) if isinstance(n_batches, int)
                else n_batches)
-    first = batches.withColumn("k", F.floor(_uniform(F.col("batch") * datasets_per_batch, seed)
-                                            * F.lit(total_all)).cast("long"))
-    first = first.join(slots_all.drop("tot_all"), "k").select("batch", F.lit(0).alias("slot"), "dataset", "arity")
+    first = batches.select("batch", F.lit(0).alias("slot"), draw(cfg, F.col("batch") * datasets_per_batch).alias("d"))
+    first = first.select("batch", "slot", "d.dataset", "d.arity")
     rest = (first.select("batch", "arity")
             .withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(max(1, datasets_per_batch - 1)))))
             .where(F.col("slot") < datasets_per_batch))
-    rest = rest.withColumn("k", F.floor(_uniform(F.col("batch") * datasets_per_batch + F.col("slot"), seed)
-                                        * F.element_at(by_arity, F.col("arity"))).cast("long"))
-    rest = rest.join(slots_ar.drop("tot_ar"), ["arity", "k"]).select("batch", "slot", "dataset", "arity")
+    of_arity = F.coalesce(*[F.when(F.col("arity") == a, draw([r for r in cfg if r["arity"] == a], F.col("batch") * datasets_per_batch + F.col("slot")))
+                            for a in sorted({r["arity"] for r in cfg})])
+    rest = rest.select("batch", "slot", of_arity.alias("d")).select("batch", "slot", "d.dataset", "d.arity")
     return first.unionByName(rest).withColumn("slot", F.col("slot").cast("long"))
 
 
@@ -163,12 +156,13 @@ def unique_text_batches(samples: DataFrame, plan: DataFrame, per_slot: int, seed
     narrow = keyed.select("dataset", "tkeys", "skey",
                           seeded_hash(F.xxhash64("skey"), seed).alias("_h"))
     numbered = with_ordinal(narrow, ["_h", "skey"], partition_by=["dataset"], name="sample")
+    numbered = cut_lineage(numbered)
     sizes = numbered.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
     slots = plan.join(F.broadcast(sizes), "dataset").withColumn(
-        "start", F.pmod(seeded_hash(F.col("batch") * 1000 + F.col("slot"), seed + 1), F.col("n")))
+        "start", F.pmod(wide_hash(F.col("batch") * 1000 + F.col("slot"), seed + 1), F.col("n")))
     window = per_slot * over_draw
     done: list[DataFrame] = []
-    pending = slots
+    pending = cut_lineage(slots)
     while True:
         cand = (pending.withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(window), F.col("n")) - 1)))
                 .withColumn("sample", F.pmod(F.col("start") + F.col("j"), F.col("n"))))
@@ -185,7 +179,7 @@ def unique_text_batches(samples: DataFrame, plan: DataFrame, per_slot: int, seed
             break
         # slots of a batch interact, so a short batch is redone whole with a doubled window
         done.append(picked.join(retry, "batch", "left_anti"))
-        pending = pending.join(retry, "batch", "left_semi")
+        pending = cut_lineage(pending.join(retry, "batch", "left_semi"))
         window *= 2
     out = done[0]
     for part in done[1:]:

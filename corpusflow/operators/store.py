@@ -63,16 +63,18 @@ def store_projection(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in STORE_FIELDS if c in df.columns])
 
 
-def append_unique(spark, store_path: str, batch: DataFrame, key: str = "text", order_by=("source_file", "source_offset")):
+def append_unique(spark, store_path: str, batch: DataFrame, key: str = "text", order_by=None):
     """Append the rows of ``batch`` whose text the parquet store at ``store_path`` does not hold yet.
 
+    ``order_by`` says which of equal texts is first; by default the load order
+    that ``read_jsonl`` gives (file, block, row; those of them that ``batch`` has).
     Returns the number of rows appended (the frame itself would re-read the grown store).
     """
     from corpusflow.streaming.ingest import path_exists_any
 
     stored = spark.read.parquet(store_path).select(key) if path_exists_any(spark, store_path) else \
         spark.createDataFrame([], batch.select(key).schema)
-    fresh = insert_absent(stored, batch, key, list(order_by)).persist()
+    fresh = insert_absent(stored, batch, key, list(order_by or [c for c in ("source_file", "source_offset", "source_row") if c in batch.columns])).persist()
     n = fresh.count()
     fresh.write.mode("append").parquet(store_path)
     fresh.unpersist()

@@ -149,7 +149,7 @@ def page_quality_funnel(spark, sf_dir):
 @register("page_articles")
 def page_articles(spark, sf_dir):
     """X1 output for URL-accepted pages: title, language, text and summary sizes, author count."""
-    a = _page_articles(spark, sf_dir).where(F.col("title").isNotNull())
+    a = _page_articles(spark, sf_dir).where(F.col("reject_reason").isNull() | ~F.col("reject_reason").isin("length", "domain", "extension", "endings", "banned"))
     return a.select("page_id", "title", "meta_lang", F.length("text").cast("long").alias("text_chars"),
                     F.size("authors").cast("long").alias("n_authors"), "summary", "reject_reason")
 

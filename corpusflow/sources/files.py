@@ -39,14 +39,20 @@ C4_NAME = "c4-train.%05d-of-00512.json.gz"  # fixed name pattern
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = ARTICLE_SCHEMA) -> DataFrame:
-    """S3: every ``*.jsonl`` below ``path``; adds ``source_file``, ``line_no`` order key and ``_corrupt_record``."""
+    """S3: every ``*.jsonl`` below ``path``; adds its order key and ``_corrupt_record``.
+
+    Order key: ``source_file``, ``source_offset`` (start of the file's block that
+    the line was read in) and ``source_row`` (rises with the lines of a block;
+    a block is read by one task).
+    """
     full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     df = (spark.read.schema(full)
           .option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
           .json(path))
     return df.withColumn("source_file", F.col("_metadata.file_path")) \
-             .withColumn("source_offset", F.col("_metadata.file_block_start"))
+             .withColumn("source_offset", F.col("_metadata.file_block_start")) \
+             .withColumn("source_row", F.monotonically_increasing_id())
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -72,8 +72,9 @@ def store_batch(store_path: str, text_col: str = "text", date_col: str | None =
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(store_path))
         if not rejects.isEmpty():
-            rejects.select("source_file", F.col(CORRUPT).alias("line"), F.lit(batch_id).alias("batch_id")) \
-                .write.mode("append").parquet(store_path.rstrip("/") + "_rejects")
+            (rejects.select("source_file", F.col(CORRUPT).alias("line"), F.lit(batch_id).cast("long").alias("batch_id"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(store_path.rstrip("/") + "_rejects"))
         batch.unpersist()
 
     return run

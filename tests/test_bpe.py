@@ -63,3 +63,77 @@ def test_repeated_tokens_equal_reference(spark, vocab_size):
     vocab, merges = bpe.train_bpe(bpe.word_counts(bpe.corpus_sequences(lines)), vocab_size=vocab_size)
     ref_merges = [m if isinstance(m, list) else m.split(" ") for m in ref["model"]["merges"]]
     assert [[r["left"], r["right"]] for r in merges.orderBy("rank").collect()] == ref_merges
+
+
+SELF_PAIRS = ["bbbaaaabbaba"] * 3 + ["abb"] + ["caaaaaaa"] * 5 + ["aaa"]
+NEWLINES = ["first line\nsecond line here\n\nthird line", " line\n", "second third\nfirst line", "line\r\nline line"] * 3
+
+
+def one_at_a_time(words, n_merges):
+    """Plain BPE: count all pairs anew, merge the most frequent (ties: smaller token ids)."""
+    chars = sorted({c for w in words for c in w})
+    ids = {c: i for i, c in enumerate(chars)}
+    seqs = [([ids[c] for c in w], n) for w, n in words.items()]
+    names, out = list(chars), []
+    for _ in range(n_merges):
+        counts = {}
+        for s, n in seqs:
+            for p in zip(s, s[1:]):
+                counts[p] = counts.get(p, 0) + n
+        best = min(((-n, p) for p, n in counts.items() if n >= 2), default=None)
+        if best is None:
+            break
+        a, b = best[1]
+        token = names[a] + names[b]
+        if token not in ids:
+            ids[token] = len(names)
+            names.append(token)
+        out.append([names[a], names[b]])
+        new = []
+        for s, n in seqs:
+            r, k = [], 0
+            while k < len(s):
+                if k + 1 < len(s) and (s[k], s[k + 1]) == (a, b):
+                    r.append(ids[token])
+                    k += 2
+                else:
+                    r.append(s[k])
+                    k += 1
+            new.append((r, n))
+        seqs = new
+    return out
+
+
+@pytest.mark.parametrize("records,vocab_size", [(SELF_PAIRS, 24), (NEWLINES, 70)])
+def test_self_pairs_and_newlines_equal_reference(spark, records, vocab_size):
+    _, ref = reference(vocab_size, records)
+    lines = spark.createDataFrame([(r,) for r in records], "value string")
+    _, merges = bpe.train_bpe(bpe.word_counts(bpe.corpus_sequences(lines)), vocab_size=vocab_size)
+    ref_merges = [m if isinstance(m, list) else m.split(" ") for m in ref["model"]["merges"]]
+    assert [[r["left"], r["right"]] for r in merges.orderBy("rank").collect()] == ref_merges
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rounds_equal_one_merge_at_a_time(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    words = {}
+    for _ in range(14):
+        words["".join(r.choice("aab" if seed % 2 else "abc") for _ in range(r.randrange(1, 14)))] = r.randrange(1, 6)
+    df = spark.createDataFrame(list(words.items()), "word string, n long")
+    want = one_at_a_time(words, 12)
+    n_chars = len({c for w in words for c in w})
+    for top_k in (1, 256):
+        _, merges = bpe.train_bpe(df, vocab_size=n_chars + len({a + b for a, b in want}), special_tokens=(), top_k=top_k)
+        got = [[x["left"], x["right"]] for x in merges.orderBy("rank").collect()]
+        assert got == want[:len(got)] and len(got) >= len(want) - 1
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_null_texts_and_empty_ids_are_kept(spark):
+    lines = spark.createDataFrame([(0, "ab ab"), (1, None), (2, "")], "k long, value string")
+    vocab, merges = bpe.train_bpe(bpe.word_counts(bpe.corpus_sequences(lines.where("k = 0"))), vocab_size=20)
+    assert bpe.encode_texts(lines, ["k"], "value", vocab, merges).count() == 3
+    ids = spark.createDataFrame([(0, []), (1, None)], "k long, ids array<bigint>")
+    assert {r["k"]: r["text"] for r in bpe.decode_ids(ids, "ids", vocab, ["k"]).collect()} == {0: "", 1: ""}

@@ -57,3 +57,17 @@ def test_filters_stay_below_python_stage(spark):
     arrow = plan.find("MapInArrow") if "MapInArrow" in plan else plan.find("PythonMapInArrow")
     assert arrow >= 0
     assert "isnull(reject_reason" in plan[arrow:] or "isnull(CASE" in plan[arrow:] or "Filter" in plan[arrow:]
+
+
+def test_text_before_the_article_is_no_paragraph_of_it():
+    r = article.parse_html("<body><div>Cookie banner</div><article><p>Body one</p></article></body>")
+    assert r[1] == "Body one"
+
+
+def test_unclosed_skipped_blocks_do_not_swallow_the_rest():
+    r = article.parse_html('<body><p class="ad">Buy now<p>Real para one<p>Real para two</body>')
+    assert r[1] == "Real para one\n\nReal para two"
+    r = article.parse_html('<body><ul><li class="ad">Buy <b>now<li>item</ul><div><p class="ads">x</div><p>after</p></body>')
+    assert r[1] == "item\n\nafter"
+    r = article.parse_html('<body><div class="ad"><p>a<p>b</div><p>kept</body>')
+    assert r[1] == "kept"

@@ -50,3 +50,32 @@ def test_lsh_edges_are_exact_pairs(spark):
     exact = {(i, j) for i in range(len(v)) for j in range(len(v)) if float(v[i] @ v[j]) >= 0.9}
     assert got and got <= exact  # every emitted pair is a true pair (float32 inputs, exact re-check)
     assert len(got) >= 0.8 * len(exact)
+
+
+def test_first_row_wins_over_scanned_files(spark):
+    """Copies inside one file and across its splits: the row kept is the first in load order."""
+    import json
+    import os
+    import tempfile
+
+    from corpusflow.operators.store import unique_first
+    from corpusflow.sources import files
+
+    folder = tempfile.mkdtemp(prefix="cf-first-", dir="/tmp")
+    first = {}
+    for name in ("a.jsonl", "b.jsonl"):
+        with open(os.path.join(folder, name), "w") as f:
+            for k in range(20_000):
+                text = f"text {(k * 7919) % 500}"
+                f.write(json.dumps({"text": text, "title": f"{name} {k}"}) + "\n")
+                first.setdefault(text, f"{name} {k}")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        rows = files.read_jsonl(spark, folder)
+        assert rows.select("source_file", "source_offset").distinct().count() > 10
+        kept = unique_first(rows.select("text", "title", "source_file", "source_offset", "source_row"), "text",
+                            ["source_file", "source_offset", "source_row"])
+        assert {r["text"]: r["title"] for r in kept.collect()} == first
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

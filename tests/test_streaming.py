@@ -38,3 +38,16 @@ def test_drops_replay_restart(spark):
     # later batch commits, so the newest file waits for the next drop)
     left = [f for f in os.listdir(src) if f.endswith(".jsonl")]
     assert "a.jsonl" not in left and "b.jsonl" not in left
+
+
+def test_replayed_batch_writes_its_rejects_once(spark):
+    from corpusflow.sources.files import read_jsonl
+
+    base = tempfile.mkdtemp(prefix="cf-replay-", dir="/tmp")
+    src, store = os.path.join(base, "src"), os.path.join(base, "store")
+    _drop(src, "a.jsonl", [{"title": "t", "text": "one", "publish_date": "02-03-2021"}], "{broken\n")
+    run = ingest.store_batch(store)
+    for batch_id in (0, 0, 1):
+        run(read_jsonl(spark, src).drop("source_row"), batch_id)
+    assert spark.read.parquet(store + "_rejects").groupBy("batch_id").count().where("count > 1").count() == 0
+    assert ingest.read_store(spark, store).count() == 1
