@@ -32,7 +32,7 @@ def ingest_stream(spark, sf_dir):
     numbered = with_ordinal(docs, ["doc_id"], name="_o")
     for k in range(DROPS):
         drop = numbered.where(F.floor(F.col("_o") * DROPS / F.lit(max(n, 1))) == k).drop("_o")
-        drop.repartitionByRange(4, "doc_id").write.json(f"{base}/source/drop{k}")
+        drop.repartitionByRange("doc_id").write.json(f"{base}/source/drop{k}")
         ingest.run_ingest(spark, f"{base}/source/*", f"{base}/store", f"{base}/checkpoint",
                           archive_dir=f"{base}/archive", schema=DOC_SCHEMA, date_col=None, glob="*.json")
     store = ingest.read_store(spark, f"{base}/store")

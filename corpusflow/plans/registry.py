@@ -35,4 +35,5 @@ def load_all() -> None:
         q_text,
         q_tokenizer,
         q_urls,
+        q_windows,
     )

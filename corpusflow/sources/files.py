@@ -38,8 +38,8 @@ C4_SHARDS = 512  # fixed: number of gz JSON shards of the C4 variant
 C4_NAME = "c4-train.%05d-of-00512.json.gz"  # fixed name pattern
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = ARTICLE_SCHEMA) -> DataFrame:
-    """S3: every ``*.jsonl`` below ``path``; adds its order key and ``_corrupt_record``.
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = ARTICLE_SCHEMA, glob: str = "*.jsonl") -> DataFrame:
+    """S3: every ``*.jsonl`` (or other ``glob``) below ``path``; adds its order key and ``_corrupt_record``.
 
     Order key: ``source_file``, ``source_offset`` (start of the file's block that
     the line was read in) and ``source_row`` (rises with the lines of a block;
@@ -47,7 +47,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = ARTICLE_SC
     """
     full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     df = (spark.read.schema(full)
-          .option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
+          .option("recursiveFileLookup", True).option("pathGlobFilter", glob)
           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
           .json(path))
     return df.withColumn("source_file", F.col("_metadata.file_path")) \
