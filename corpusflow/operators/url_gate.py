@@ -10,18 +10,17 @@ Checks, in order (the first failure names the reject reason):
 ``endings``   more than one of ``.com .co.uk .net .org`` anywhere in the URL;
 ``banned``    a banned substring anywhere in the URL.
 
-J1 (host -> longest public suffix) runs on *distinct hosts*: candidate
-suffixes are exploded per host and equi-joined to the broadcast rule table
-(plain, wildcard and exception rules), the prevailing rule is picked with a
-max per host, and the result joins back on host.  Hosts are far fewer than
-URLs, and both joins against lookup tables are broadcast after a size check.
+J1 (host -> longest public suffix) is an expression over the row: every
+candidate suffix of the host is looked up in the rule names (plain, wildcard,
+exception), which are literals of the job, and so is the allow list.  The gate
+therefore joins and shuffles nothing, whatever the rows carry besides the URL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,60 +144,64 @@ def read_allow_list(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.trim("v").startswith("["), F.from_json("v", "array<string>")).alias("subdomains"))
 
 
-def matched_suffixes(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """J1 core on distinct ``host`` rows: ``host, subdomain, domain, suffix`` for hosts some rule matches.
+def suffix_sets(rules: DataFrame) -> dict[str, list[str]]:
+    """Rule names by kind.  The rule list is a parameter of the job (some ten thousand names at most), not data."""
+    out: dict[str, list[str]] = {"plain": [], "wildcard": [], "exception": []}
+    for r in rules.select("name", "kind").distinct().collect():
+        out[r["kind"]].append(r["name"])
+    return out
+
+
+def _is_in(c: Column, names: list[str]) -> Column:
+    """Membership in a set of literals (Spark probes long lists through a hash set)."""
+    return F.coalesce(c.isin(names), F.lit(False)) if names else F.lit(False)
+
+
+def host_parts(host: Column, rules: DataFrame) -> Column:
+    """J1 of one host as a struct ``subdomain, domain, suffix``; null if no rule matches.
 
     Prevailing rule: an exception rule if one matches (its suffix is the rule
-    minus its first label), else the matching rule with the most labels.  The
-    host labels travel with the candidates, so the distinct-host table is
-    computed once.
+    minus its first label), else the matching rule with the most labels.  All
+    of it is an expression over the row: no join, no shuffle, and a host with a
+    third of all rows costs nothing extra.
     """
-    labels = hosts.select("host", F.split("host", r"\.").alias("labels")).withColumn("n", F.size("labels"))
-    cands = labels.select("host", "n", "labels", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    cands = cands.select(
-        "host", "n", "labels", "i",
-        F.array_join(F.slice("labels", F.col("i") + 1, F.col("n") - F.col("i")), ".").alias("cand"),
-        F.when(F.col("i") < F.col("n") - 1,
-               F.array_join(F.slice("labels", F.col("i") + 2, F.greatest(F.col("n") - F.col("i") - 1, F.lit(1))), "."))
-         .alias("tail"))
-    keyed = cands.select("host", "n", "labels", "i", F.col("cand").alias("key"), F.lit("direct").alias("mode")) \
-        .unionByName(cands.where(F.col("tail").isNotNull())
-                     .select("host", "n", "labels", "i", F.col("tail").alias("key"), F.lit("wild").alias("mode")))
-    r = rules.select(F.col("name").alias("key"), "kind",
-                     F.when(F.col("kind") == "wildcard", "wild").otherwise("direct").alias("mode"))
-    matched = keyed.join(r, ["key", "mode"])
-    scored = matched.select(
-        "host", "n", "labels",
-        (F.col("kind") == "exception").alias("exc"),
-        F.when(F.col("kind") == "exception", F.col("n") - F.col("i") - 1)
-         .otherwise(F.col("n") - F.col("i")).alias("nl"))
-    best = (scored.groupBy("host").agg(F.max(F.struct("exc", "nl")).alias("b"), F.first("n").alias("n"),
-                                       F.first("labels").alias("labels"))
-            .select("host", "n", "labels", F.col("b.nl").alias("nl"))
-            .where(F.col("nl") > 0))
-    return best.select(
-        "host",
-        F.array_join(F.slice("labels", 1, F.greatest(F.col("n") - F.col("nl") - 1, F.lit(0))), ".").alias("subdomain"),
-        F.when(F.col("n") > F.col("nl"), F.element_at("labels", F.col("n") - F.col("nl"))).otherwise(F.lit(""))
-         .alias("domain"),
-        F.array_join(F.slice("labels", F.col("n") - F.col("nl") + 1, F.col("nl")), ".").alias("suffix"))
+    sets = suffix_sets(rules)
+
+    def split(labels: Column) -> Column:
+        n = F.size(labels)
+
+        def score(i: Column) -> Column:
+            """Labels in the suffix under a rule that starts at label i; exceptions go before all others."""
+            here = F.array_join(F.slice(labels, i + 1, n - i), ".")
+            below = F.when(i < n - 1, F.array_join(F.slice(labels, i + 2, F.greatest(n - i - 1, F.lit(1))), "."))
+            return (F.when(_is_in(here, sets["exception"]), n - i - 1 + 1_000_000)
+                    .when(_is_in(below, sets["wildcard"]) | _is_in(here, sets["plain"]), n - i).otherwise(0))
+
+        best = F.array_max(F.transform(F.sequence(F.lit(0), n - 1), score)) % 1_000_000
+
+        def parts(k: Column) -> Column:
+            return F.when(k > 0, F.struct(
+                F.array_join(F.slice(labels, 1, F.greatest(n - k - 1, F.lit(0))), ".").alias("subdomain"),
+                F.when(n > k, F.get(labels, n - k - 1)).otherwise("").alias("domain"),
+                F.array_join(F.slice(labels, n - k + 1, F.greatest(k, F.lit(0))), ".").alias("suffix")))
+
+        return F.get(F.transform(F.array(best), parts), 0)
+
+    # labels and the best rule are bound to lambda variables, so each is evaluated once
+    return F.when(host != "", F.get(F.transform(F.array(F.split(host, r"\.")), split), 0))
 
 
 def split_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """J1 / F4 on a table of distinct ``host``: ``host, subdomain, domain, suffix`` (nulls: no rule matched)."""
-    return hosts.select("host").join(matched_suffixes(hosts, rules), "host", "left")
+    """J1 / F4 on a table of ``host``: ``host, subdomain, domain, suffix`` (nulls: no rule matched)."""
+    return hosts.select("host", host_parts(F.col("host"), rules).alias("p")).select("host", "p.*")
 
 
 def url_parts(df: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """Add ``host, subdomain, domain, suffix, registered_domain`` to ``df``.
-
-    Suffixes are matched once per distinct host; rows join the matched parts
-    (left join: unmatched hosts get nulls and are rejected by the gate).
-    """
-    with_host = df.withColumn("host", U.host(url_col))
-    hosts = with_host.select("host").where(F.col("host") != "").distinct()
-    out = with_host.join(matched_suffixes(hosts, rules), "host", "left")
-    return out.withColumn(
+    """Add ``host, subdomain, domain, suffix, registered_domain`` to ``df`` (nulls: no rule matched)."""
+    out = df.withColumn("host", U.host(url_col)).withColumn("_parts", host_parts(F.col("host"), rules))
+    for c in ("subdomain", "domain", "suffix"):
+        out = out.withColumn(c, F.col(f"_parts.{c}"))
+    return out.drop("_parts").withColumn(
         "registered_domain",
         F.when(F.col("suffix").isNotNull(), F.concat_ws(".", "domain", "suffix")))
 
@@ -211,10 +214,11 @@ def url_gate(df: DataFrame, allow: DataFrame, rules: DataFrame, url_col: str = "
     test compares the dotted extension with undotted names and never fires.
     """
     parts = url_parts(df, rules, url_col)
-    al = allow.select(F.col("domain").alias("registered_domain"), "all_subdomains", "subdomains")
-    x = parts.join(al, "registered_domain", "left")
-    allowed = (F.col("all_subdomains") == F.lit(True)) | \
-        F.coalesce(F.array_contains("subdomains", F.col("subdomain")), F.lit(False))
+    entries = allow.select("domain", "all_subdomains", "subdomains").collect()  # the allow list is a parameter, too
+    open_ = [r["domain"] for r in entries if r["all_subdomains"]]
+    pairs = [f"{sub} {r['domain']}" for r in entries for sub in r["subdomains"] or []]
+    x = parts
+    allowed = _is_in(F.col("registered_domain"), open_) | _is_in(F.concat_ws(" ", "subdomain", "registered_domain"), pairs)
     ext_banned = F.lit(False) if extension_mode == "reference" else \
         U.extension(url_col).isin(BANNED_EXTENSIONS)
     reason = (F.when(F.length(url_col) > U.MAX_URL_LENGTH, "length")
@@ -223,5 +227,4 @@ def url_gate(df: DataFrame, allow: DataFrame, rules: DataFrame, url_col: str = "
               .when(U.endings_count(url_col) > 1, "endings")
               .when(F.col(url_col).rlike(BANNED_RE), "banned"))
     return (x.withColumn("reject_reason", reason)
-            .withColumn("clean_url", U.clean_url(url_col))
-            .drop("all_subdomains", "subdomains"))
+            .withColumn("clean_url", U.clean_url(url_col)))
