@@ -87,6 +87,29 @@ def map_texts(df: DataFrame, schema: str, row: Callable[[str], tuple], *carry: s
     return df.select(*carry, "text").mapInArrow(run, target)
 
 
+#: What a Python worker keeps from task to task (workers are reused), by key.
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """``make()`` once per worker process and key; the latest eight keys are kept."""
+    if key not in _KEPT:
+        while len(_KEPT) >= 8:
+            del _KEPT[next(iter(_KEPT))]
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def from_file_bytes(data: bytes, make: Callable[[str], object], suffix: str = ".json"):
+    """``make(path)`` for a library that reads a path; the worker's own temporary file goes at once."""
+    import tempfile
+
+    with tempfile.NamedTemporaryFile(suffix=suffix) as own:
+        own.write(data)
+        own.flush()
+        return make(own.name)
+
+
 def slices(batch: pa.RecordBatch, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of rows of about ``size`` bytes, so Python holds few texts at once."""
     n = batch.num_rows

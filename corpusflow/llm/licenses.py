@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts, pick
+from .common import kept, map_texts, pick
 
 #: Fixed by the contract: base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -141,8 +141,8 @@ class Scanner:
         """What the gated rules find, after suppression, in order of priority."""
         found = [(self.rules[k], m.start(), m.end()) for k in sorted(on) for m in self.rules[k].pattern.finditer(low)]
         found.sort(key=lambda d: (-d[0].priority, d[1] - d[2], d[1], d[0].label))
-        kept: list[tuple[Signature, int, int]] = []
-        starts: list[int] = []  # intervals of `kept` that no other contains, by start
+        left: list[tuple[Signature, int, int]] = []
+        starts: list[int] = []  # intervals of `left` that no other contains, by start
         ends: list[int] = []
         from bisect import bisect_right
 
@@ -150,12 +150,12 @@ class Scanner:
             k = bisect_right(starts, a)
             if k and ends[k - 1] >= b:
                 continue
-            kept.append((rule, a, b))
+            left.append((rule, a, b))
             while k < len(starts) and ends[k] <= b:  # contained by the new one
                 del starts[k], ends[k]
             starts.insert(k, a)
             ends.insert(k, max(b, ends[k - 1] if k else b))
-        return kept
+        return left
 
 
 _WORD = np.zeros(256, bool)
@@ -180,12 +180,12 @@ def scan(text: str, scanner: Scanner) -> tuple:
             if at:
                 base.add(label)
                 places += np.searchsorted(begins, at).tolist()
-    kept = scanner.detections(chars, {k for rules in seen.values() for k in rules}) if seen else []
-    labels = base | {r.label for r, _, _ in kept}
-    score = max([r.confidence for r, _, _ in kept] + [0.7] * bool(base), default=0.0)
+    found = scanner.detections(chars, {k for rules in seen.values() for k in rules}) if seen else []
+    labels = base | {r.label for r, _, _ in found}
+    score = max([r.confidence for r, _, _ in found] + [0.7] * bool(base), default=0.0)
     return (len(begins), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
             ",".join(sorted(labels)), score,
-            [{"label": r.label, "priority": r.priority, "start": a, "stop": b} for r, a, b in sorted(kept, key=lambda d: d[1:])])
+            [{"label": r.label, "priority": r.priority, "start": a, "stop": b} for r, a, b in sorted(found, key=lambda d: d[1:])])
 
 
 def find_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,11 +196,7 @@ def find_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Null ids pass through, repeated rows give repeated rows, an empty table
     gives an empty result.  Whole texts are scanned.
     """
-    cache: list[Scanner] = []
-
     def row(text: str) -> tuple:
-        if not cache:
-            cache.append(Scanner())
-        return scan(text, cache[0])
+        return scan(text, kept("licenses", Scanner))
 
     return map_texts(pick(docs, id=id_col, text=text_col), SCHEMA, row, "id").withColumnRenamed("id", id_col)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, pick, positional
+from .common import kept, map_texts, pick, positional
 
 #: Fixed by the contract: keywords, patterns and least lengths of the base kinds, in order of listing.
 BASE_KINDS = ("assign", "access", "hex")
@@ -180,12 +180,8 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     string).  Null ids pass through, repeated rows give repeated rows, an empty
     table gives an empty result.  Whole texts are scanned.
     """
-    machine: list = []
-
     def row(text: str) -> tuple:
-        if not machine:
-            machine.append(automaton())
-        spans = scan(text, machine[0])
+        spans = scan(text, kept("secrets", automaton))
         base = [s for s in spans if s[3]]
         n = [sum(s[0] == k for s in base) for k in BASE_KINDS]
         return (*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans),
@@ -199,16 +195,12 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     Overlapping spans are replaced as one.
     """
-    machine: list = []
-
     @F.udf("string")
     def clean(text):
         if text is None:
             return None
-        if not machine:
-            machine.append(automaton())
         out, at = [], 0
-        for _, a, b, _base in scan(text, machine[0]):
+        for _, a, b, _base in scan(text, kept("secrets", automaton)):
             if b <= at:
                 continue
             if a >= at:

@@ -12,6 +12,7 @@ sums above.  Everything else keeps its counts.
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import pick, slices
+from .common import from_file_bytes, kept, pick, slices
 
 RUN = 64  # pre-tokens a leaf holds when it is made; a leaf of twice as many is split
 CACHE = 400_000
@@ -146,6 +147,11 @@ class TokenTree:
         self._build()
 
 
+def worker_counter(key: tuple, shared, pattern: str) -> PieceCounter:
+    """The worker's counter: its cache stays warm from task to task."""
+    return kept(key, lambda: from_file_bytes(shared.value, lambda path: PieceCounter(path, pattern)))
+
+
 SCHEMA = ("id {id}, n_edits bigint, n_chars bigint, tokens_before bigint, n_tokens bigint, recut_chars bigint, "
           "run_chars array<int>, run_tokens array<int>")
 
@@ -177,17 +183,13 @@ def count_edited(docs: DataFrame, edits: DataFrame, tokenizer_path: str, pattern
             .unionByName(e.select("id", F.lit(0).cast("bigint").alias("salt"), F.col("seq").cast("bigint"), F.col("start").cast("bigint"),
                                   F.col("n_delete").cast("bigint"), "text", F.lit(True).alias("edit"))))
     with open(tokenizer_path, "rb") as f:
-        shared = spark.sparkContext.broadcast(f.read())  # a vocabulary file of a few MB
+        data = f.read()
+    key, shared = ("counts", pattern, len(data), zlib.crc32(data)), spark.sparkContext.broadcast(data)  # a vocabulary file of a few MB
     schema = spark.createDataFrame([], SCHEMA.format(id=kind)).schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tempfile
-
-        with tempfile.NamedTemporaryFile(suffix=".json") as own:  # the library reads a path
-            own.write(shared.value)
-            own.flush()
-            counter = PieceCounter(own.name, pattern)
+        counter = worker_counter(key, shared, pattern)
         trees: list[list] = []  # [tree, tokens before, edits] of the rows with the current id
         current = None
         done: list[tuple] = []
