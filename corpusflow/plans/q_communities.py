@@ -53,7 +53,7 @@ def _rows(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    return similarity.similarity_edges(_rows(spark, sf_dir), THRESHOLD, id_col="id", vec_col="vector",
+    return similarity.similarity_edges(standins.embedded_vectors(spark, sf_dir), THRESHOLD, id_col="id", vec_col="vector",
                                        window_col="window_id")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.operators import calendar as C
-from corpusflow.operators import community, pairs, similarity
+from corpusflow.operators import community, metrics, pairs, similarity
 from corpusflow.operators import store as S
 from corpusflow.operators.pooling import masked_mean_pool
 from corpusflow.plans import q_communities, standins
@@ -119,3 +119,47 @@ def store_load(spark, sf_dir):
     kept = S.unique_first(rows.select(*_DROP_SCHEMA.names, "source_file", "source_offset", "source_row"), "text",
                           ["source_file", "source_offset", "source_row"], count_col="copies")
     return kept.select("doc_id", "copies", S.parse_publish_date("publish_date").alias("publish_date"))
+
+
+_UNIT_SQL = """t AS (
+  SELECT CAST(floor(vec_id / 48) AS BIGINT) AS batch_id, CAST(floor((vec_id % 48) / 3) AS BIGINT) AS r, vec_id % 3 AS part,
+         CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT batch_id, r, part,
+             list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS v FROM t)"""
+
+
+def _parts(spark, sf_dir):
+    """Stand-in: three consecutive vectors are anchor, positive and negative of a row, 16 rows a batch."""
+    e = table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / 48).cast("long").alias("batch_id"),
+        F.floor(F.col("vec_id") % 48 / 3).cast("long").alias("row"), (F.col("vec_id") % 3).alias("part"), "embedding")
+    return [e.where(F.col("part") == k).select("batch_id", "row", F.col("embedding").alias(name))
+            for k, name in enumerate(("anchor", "positive", "negative"))]
+
+
+@register("contrastive_pairs", f"""WITH {_UNIT_SQL},
+s AS (SELECT a.batch_id, a.r AS i, p.r AS j, 20 * list_dot_product(a.v, p.v) AS s
+      FROM u a JOIN u p ON a.batch_id = p.batch_id AND a.part = 0 AND p.part = 1
+      WHERE EXISTS (SELECT 1 FROM u x WHERE x.batch_id = a.batch_id AND x.r = a.r AND x.part = 1)),
+f AS (SELECT batch_id, i, ln(sum(exp(s))) - max(CASE WHEN i = j THEN s END) AS l FROM s GROUP BY batch_id, i),
+g AS (SELECT batch_id, j, ln(sum(exp(s))) - max(CASE WHEN i = j THEN s END) AS l FROM s GROUP BY batch_id, j)
+SELECT batch_id, (SELECT count(*) FROM f WHERE f.batch_id = b.batch_id) AS rows,
+  ((SELECT avg(l) FROM f WHERE f.batch_id = b.batch_id) + (SELECT avg(l) FROM g WHERE g.batch_id = b.batch_id)) / 2 AS loss
+FROM (SELECT DISTINCT batch_id FROM s) b""")
+def contrastive_pairs(spark, sf_dir):
+    """A9 / J9 on pairs: symmetric in-batch loss (scale 20) of anchors and positives."""
+    a, p, _ = _parts(spark, sf_dir)
+    return metrics.in_batch_contrastive(a.join(p, ["batch_id", "row"]))
+
+
+@register("contrastive_triples", f"""WITH {_UNIT_SQL},
+full3 AS (SELECT batch_id, r FROM u GROUP BY batch_id, r HAVING count(*) = 3),
+c AS (SELECT u.* FROM u JOIN full3 USING (batch_id, r)),
+s AS (SELECT a.batch_id, a.r AS i, p.r AS j, p.part, 20 * list_dot_product(a.v, p.v) AS s
+      FROM c a JOIN c p ON a.batch_id = p.batch_id AND a.part = 0 AND p.part > 0),
+f AS (SELECT batch_id, i, ln(sum(exp(s))) - max(CASE WHEN i = j AND part = 1 THEN s END) AS l FROM s GROUP BY batch_id, i)
+SELECT batch_id, count(*) AS rows, avg(l) AS loss FROM f GROUP BY batch_id""")
+def contrastive_triples(spark, sf_dir):
+    """A9 / J9 on triples: anchors against the batch's positives and negatives (scale 20)."""
+    a, p, n = _parts(spark, sf_dir)
+    return metrics.in_batch_contrastive(a.join(p, ["batch_id", "row"]).join(n, ["batch_id", "row"]), negative="negative")

@@ -44,10 +44,15 @@ def embedded_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     All embedding rows are one window (id 0); rows without an article keep a
     null title, which the pair step skips (P15).
     """
-    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     attrs = articles(spark, sf_dir).select("id", "title", "publish_date", "text")
-    return (emb.join(attrs, "id", "left")
-            .withColumn("window_id", F.lit(0).cast("long")))
+    return embedded_vectors(spark, sf_dir).join(attrs, "id", "left")
+
+
+def embedded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, vector, window_id`` from ``embeddings``; a column, not a literal, names the one window."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vector"),
+        F.pmod(F.col("vec_id"), F.lit(1)).cast("long").alias("window_id"))
 
 
 EMBEDDED_WINDOW_FILE = "all-sister-articles.jsonl"
