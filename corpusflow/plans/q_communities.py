@@ -165,12 +165,29 @@ def cluster_preview(spark, sf_dir):
     return prev.select("cluster_no", "member_no", "id", "title")
 
 
-@register("cluster_json")
+@register("cluster_json", f"""WITH RECURSIVE {_GREEDY_SQL},
+{standins.ARTICLES_SQL.strip()}
+SELECT '{standins.EMBEDDED_WINDOW_FILE}' AS file_name, 'A' || CAST(m.cluster_no AS VARCHAR) AS cluster,
+       'S' || CAST(m.member_no AS VARCHAR) AS member, a.title, m.score, CAST(length(a.text) AS BIGINT) AS text_chars,
+       CASE WHEN m.member_no > 0 THEN 1
+            ELSE greatest(count(*) OVER (PARTITION BY m.window_id, m.cluster_no) - 1, 1) END AS lines
+FROM members m LEFT JOIN articles a ON a.id = m.id""")
 def cluster_json(spark, sf_dir):
-    """The cluster JSON lines themselves (one per cluster and chunk of at most 1,000 members)."""
+    """Cluster JSON lines written to files, scanned back and parsed: every member and in how many lines it stands."""
+    import uuid
+
+    from corpusflow.session import ensure_checkpoint_dir
     from corpusflow.sources import clusters
 
     rows = _rows(spark, sf_dir)
-    return clusters.cluster_lines(_members(spark, sf_dir), rows.select("window_id", "id", "title", "text",
-                                                                      "publish_date"),
-                                  standins.embedded_window_names(rows))
+    lines = clusters.cluster_lines(_members(spark, sf_dir), rows.select("window_id", "id", "title", "text",
+                                                                       "publish_date"),
+                                   standins.embedded_window_names(rows))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clusters-{uuid.uuid4().hex}"
+    clusters.write_cluster_lines(lines, path)
+    parsed = clusters.read_cluster_lines(spark, path).select("file_name", F.from_json("value", clusters.LINE_TYPE).alias("m"))
+    members = (parsed.select("file_name", F.explode("m").alias("cluster", "ms"))
+               .select("file_name", "cluster", F.explode("ms").alias("member", "a")))
+    return members.groupBy("file_name", "cluster", "member").agg(
+        F.first("a.title").alias("title"), F.first("a.score").alias("score"),
+        F.first(F.length("a.text").cast("long")).alias("text_chars"), F.count(F.lit(1)).alias("lines"))
