@@ -71,3 +71,26 @@ def test_unclosed_skipped_blocks_do_not_swallow_the_rest():
     assert r[1] == "item\n\nafter"
     r = article.parse_html('<body><div class="ad"><p>a<p>b</div><p>kept</body>')
     assert r[1] == "kept"
+
+
+def test_read_warc_isolates_a_damaged_archive(spark):
+    folder = tempfile.mkdtemp(prefix="cf-warc-", dir="/tmp")
+    good, bad = os.path.join(folder, "good.warc.gz"), os.path.join(folder, "bad.warc.gz")
+    rows = [(f"http://good.com/{k}", "2021-02-03T00:00:00Z", PAGE) for k in range(5)]
+    warc.write_warc(good, rows)
+    warc.write_warc(bad, rows)
+    with open(bad, "rb") as f:
+        data = f.read()
+    with open(bad, "wb") as f:
+        f.write(data[:-len(data) // 10])
+    recs = warc.read_warc(spark, folder, "*.warc.gz")
+    status = {os.path.basename(r["file"]): (r["records"], r["error"] is None) for r in warc.archive_status(recs).collect()}
+    assert status["good.warc.gz"] == (5, True)
+    assert status["bad.warc.gz"] in ((3, False), (4, False))  # the stream reads ahead of the record it gives
+    old = {(r["target_uri"], bytes(r["payload"])) for r in _source(spark, good).collect()}
+    assert old == {(r["target_uri"], bytes(r["payload"])) for r in recs.where("file like '%good%'").collect()}
+
+
+def _source(spark, path):
+    warc.register_warc(spark)
+    return spark.read.format("warc").option("paths", path).load()
