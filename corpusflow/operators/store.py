@@ -35,11 +35,22 @@ def unique_first(df: DataFrame, key: str, order_by: Sequence[str], count_col: st
 
 
 def insert_absent(store: DataFrame, batch: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
-    """Rows of ``batch`` the store would accept (first per key, key not yet stored)."""
+    """Rows of ``batch`` the store would accept (first per key, key not yet stored; null is a key).
+
+    Keys are compared by SHA-256, so no text of the store is shuffled.  A store
+    with a column ``<key>_digest`` (see :func:`key_digest`) is not even read for
+    its texts.
+    """
     firsts = unique_first(batch, key, order_by)
-    stored = store.select(F.col(key).alias("_sk"), F.xxhash64(key).alias("_sh")).distinct()
-    cond = (F.xxhash64(firsts[key]) == stored["_sh"]) & firsts[key].eqNullSafe(stored["_sk"])
-    return firsts.join(stored, cond, "left_anti")
+    own = f"{key}_digest"
+    stored = store.select((F.col(own) if own in store.columns else key_digest(key)).alias("_stored")).distinct()
+    return firsts.join(stored, key_digest(firsts[key]) == stored["_stored"], "left_anti")
+
+
+def key_digest(key: str | Column) -> Column:
+    """SHA-256 of the key's bytes; null has a digest that no text has."""
+    c = F.col(key) if isinstance(key, str) else key
+    return F.coalesce(F.sha2(c.cast("binary"), 256), F.lit("null"))
 
 
 def parse_publish_date(raw: str | Column, fmt: str = DATE_FORMAT) -> Column:
@@ -72,7 +83,7 @@ def append_unique(spark, store_path: str, batch: DataFrame, key: str = "text", o
     """
     from corpusflow.streaming.ingest import path_exists_any
 
-    stored = spark.read.parquet(store_path).select(key) if path_exists_any(spark, store_path) else \
+    stored = spark.read.parquet(store_path) if path_exists_any(spark, store_path) else \
         spark.createDataFrame([], batch.select(key).schema)
     fresh = insert_absent(stored, batch, key, list(order_by or [c for c in ("source_file", "source_offset", "source_row") if c in batch.columns])).persist()
     n = fresh.count()

@@ -6,7 +6,7 @@ folder (S16), the stream checkpoint remembers finished files (T3: a restart
 skips them).  Each micro-batch goes through ``foreachBatch``:
 
 1. W1 inside the batch: first row per text by (file, offset);
-2. J5 against the stored table, null-safe on text;
+2. J5 against the digests of the stored texts (a column of the store; its texts are not read);
 3. publish dates parsed (F7), original string kept;
 4. written to ``store/batch_id=<id>`` with overwrite of that one partition,
    so a micro-batch replayed after a failure replaces its own output instead
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.operators.store import insert_absent, parse_publish_date
+from corpusflow.operators.store import insert_absent, key_digest, parse_publish_date
 from corpusflow.sources.files import ARTICLE_SCHEMA, CORRUPT
 
 
@@ -64,11 +64,11 @@ def store_batch(store_path: str, text_col: str = "text", date_col: str | None =
                        .withColumn(date_col, parse_publish_date(F.col(date_col)))
         rows = rows.withColumn("_line", F.monotonically_increasing_id())
         if path_exists(spark, store_path):
-            stored = spark.read.parquet(store_path).where(F.col("batch_id") != batch_id).select(text_col)
+            stored = spark.read.parquet(store_path).where(F.col("batch_id") != batch_id).select(f"{text_col}_digest")
         else:
             stored = spark.createDataFrame([], T.StructType([T.StructField(text_col, T.StringType())]))
         fresh = insert_absent(stored, rows, text_col, ["source_file", "source_offset", "_line"]).drop("_line")
-        (fresh.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        (fresh.withColumn(f"{text_col}_digest", key_digest(text_col)).withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(store_path))
         if not rejects.isEmpty():
