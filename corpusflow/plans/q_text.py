@@ -28,7 +28,7 @@ def raw_articles(spark, sf_dir):
         F.get(lines, 1).alias("og_description"), F.get(lines, 2).alias("twitter_description"),
         F.get(lines, 3).alias("description"),
         F.split(F.substring_index("text", "\n", 1), r"\. ").alias("authors_raw"),
-        F.when(F.col("lang") == "en", F.date_format(date, S.DATE_FORMAT))
+        F.when(F.col("doc_id") % 7 != 0, F.date_format(date, S.DATE_FORMAT))
          .otherwise(F.date_format(date, "yyyy-MM-dd")).alias("publish_date_raw"))
 
 
@@ -49,7 +49,7 @@ _RAW_SQL = f"""raw AS (
          string_split(text, {NL})[2] AS og_description, string_split(text, {NL})[3] AS twitter_description,
          string_split(text, {NL})[4] AS description,
          string_split(split_part(text, {NL}, 1), '. ') AS authors_raw,
-         CASE WHEN lang = 'en' THEN strftime(CAST(DATE '2024-01-01' + CAST(((doc_id * doc_id) % 211) AS INTEGER) AS DATE), '%m-%d-%Y')
+         CASE WHEN doc_id % 7 <> 0 THEN strftime(CAST(DATE '2024-01-01' + CAST(((doc_id * doc_id) % 211) AS INTEGER) AS DATE), '%m-%d-%Y')
               ELSE strftime(CAST(DATE '2024-01-01' + CAST(((doc_id * doc_id) % 211) AS INTEGER) AS DATE), '%Y-%m-%d') END AS publish_date_raw
   FROM documents)"""
 

@@ -218,3 +218,18 @@ def archive_articles(spark, sf_dir):
     articles = crawl.records_to_articles(records.where(F.col("error").isNull()).drop("error"),
                                          G.allow_list_df(spark, PAGES_ALLOW), G.suffix_rules_df(spark))
     return articles.select("clean_url", "registered_domain", "reject_reason")
+
+
+# Stand-in crawl links: every page's address without its query, as it is and with an ending that one URL rule is about.
+_ENDINGS = ["", f"/file.{G.BANNED_EXTENSIONS[0]}", "/www.a.com/b.org", f"/{G.BANNED_STRINGS[0]}html", "/" + "long" * 50]
+
+
+@register("url_rule_funnel", f"""WITH {_PARTS_SQL.replace("FROM pages)", """FROM (
+  SELECT page_id, regexp_replace(url, '[?#].*$', '') || e AS url FROM pages, (VALUES """ + ", ".join(f"({s(e)})" for e in _ENDINGS) + """) t(e)))""")}
+SELECT coalesce(reject_reason, 'accepted') AS reason, count(*) AS n FROM gated GROUP BY 1""")
+def url_rule_funnel(spark, sf_dir):
+    """P1-P5 / A4 over links of every kind: each rule of the URL gate decides some of them."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("base"))
+    links = pages.select("page_id", F.explode(F.array(*[F.concat("base", F.lit(e)) for e in _ENDINGS])).alias("url"))
+    gated = G.url_gate(links, G.allow_list_df(spark, PAGES_ALLOW), G.suffix_rules_df(spark))
+    return gated.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
