@@ -67,23 +67,25 @@ def fit(rows: list[tuple[str, int]], *, sizes: tuple[int, ...] = SIZES, bits: in
     Features seen in fewer than ``least`` texts, or whose log ratio is within
     ``sure`` standard errors of zero, get none.  Without rows of both classes the score is the smoothed share of label 1."""
     distinct, width = Distinct(bits), 1 << bits
-    sets = [distinct(ngram_buckets(t, sizes, bits)) for t, _ in rows]
     y = np.array([c for _, c in rows], np.float32)
     share = (y.sum() + 0.5) / (len(y) + 1.0)
     none = Model(float(np.log(share / (1 - share))), np.zeros(width, np.float32), sizes, bits)
     if not len(y) or y.min() == y.max():
         return none
-    lens = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets).astype(np.int64)
-    owner = np.repeat(np.arange(len(sets)), lens)
-    p = np.bincount(flat[y[owner] == 1], minlength=width).astype(np.float64)
-    q = np.bincount(flat[y[owner] == 0], minlength=width).astype(np.float64)
+    p, q = np.zeros(width), np.zeros(width)
+    for t, c in rows:  # features are made twice, so that only those in use are held
+        (p if c else q)[distinct(ngram_buckets(t, sizes, bits))] += 1
     # share of a class's documents that hold the feature
     ratio = np.log((p + smooth) / (y.sum() + 2 * smooth)) - np.log((q + smooth) / (len(y) - y.sum() + 2 * smooth))
     error = np.sqrt(1 / (p + smooth) + 1 / (q + smooth))  # standard error of the log ratio
     ratio[(p + q < least) | (np.abs(ratio) < sure * error)] = 0.0
-    use = ratio[flat] != 0
-    flat, owner = flat[use], owner[use]
+    used = ratio != 0
+    sets = []
+    for t, _ in rows:
+        own = distinct(ngram_buckets(t, sizes, bits))
+        sets.append(own[used[own]])
+    flat = np.concatenate(sets).astype(np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     value = ratio[flat].astype(np.float32)
     w, b = np.zeros(width, np.float32), float(np.log(share / (1 - share)))
     m, v = np.zeros(width + 1, np.float32), np.zeros(width + 1, np.float32)
