@@ -33,6 +33,10 @@ SHINGLE = 4
 MAX_BITS = 4
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, bits
 GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, a generator polynomial of the code
+#: Fingerprints of one key that a task compares with each other; a key that has more is cut into blocks.
+BLOCK = 50_000
+#: Keys with more are found from the fingerprints whose hash is a multiple of this (which keys are cut changes no result).
+SAMPLE = 64
 #: Ids (8 bytes each) that are still broadcast to remove documents; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 _LOWER = {k: k + 32 for k in range(65, 91)}
@@ -141,27 +145,41 @@ def spanning(fps: np.ndarray, most: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """(a, b): nodes whose fingerprints differ in at most ``max_bits`` bits, enough to connect all such nodes.
 
     ``distinct`` has one row (fp, node) per fingerprint, so a group of copies is
     one row here.  Rows meet by key: they are dealt out by key and sorted, and a
-    task walks through its keys, holding one key's fingerprints at a time (16
-    bytes each).  Per key at most one link per fingerprint comes out.
+    task walks through its keys, holding one key's fingerprints at a time.  Per
+    key at most one link per fingerprint comes out.  A key that very many
+    fingerprints share is cut into blocks by their hash, and every pair of
+    blocks becomes a key of its own, so no task holds more than about two blocks.
     """
     if max_bits > MAX_BITS:
         raise ValueError("the segments' keys cover at most four differing bits")
     errors = error_table()
 
+    blocks: dict[int, int] = {}  # blocks of the keys that are cut
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.array(sorted(blocks), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 fp = part.column("fp").to_numpy(zero_copy_only=False)
                 node = part.column("node").to_numpy(zero_copy_only=False)
                 rows, keys = bucket_keys(fp.view(np.uint64), errors)
+                cut = np.isin(keys, hot) if len(hot) else np.zeros(len(keys), bool)
+                out, owner = [keys[~cut]], [rows[~cut]]
+                for r, k in zip(rows[cut].tolist(), keys[cut].tolist()):
+                    n = blocks[k]
+                    own = int(fp[r]) * 0x9E3779B97F4A7C15 % (1 << 64) * n >> 64
+                    pairs = [min(own, b) * n + max(own, b) for b in range(n)]
+                    out.append(np.array([(p + 1 << 26) | k for p in pairs], np.int64))
+                    owner.append(np.full(n, r))
+                owner, keys = np.concatenate(owner), np.concatenate(out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(fp[rows]), pa.array(node[rows])], names=["key", "fp", "node"])
+                    [pa.array(keys), pa.array(fp[owner]), pa.array(node[owner])], names=["key", "fp", "node"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []  # rows of the last key seen so far
@@ -197,6 +215,9 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         if held:
             yield out(*(np.concatenate(x) for x in zip(*held)))
 
+    few = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(sample)) == 0).mapInArrow(keyed, "key bigint, fp bigint, node bigint")
+    for r in few.groupBy("key").count().where(F.col("count") * sample > block).collect():  # a key per `block` rows at most
+        blocks[r["key"]] = min(-(-r["count"] * sample // block), 1 << 18)
     spread = distinct.mapInArrow(keyed, "key bigint, fp bigint, node bigint")
     sorted_ = spread.repartition("key").sortWithinPartitions("key")
     return sorted_.mapInArrow(verified, "a bigint, b bigint").distinct()

@@ -60,6 +60,14 @@ def test_equals_brute_force(spark):
     assert len({c for _, c in want.values()}) < len(want) - 60
 
 
+def test_keys_cut_into_blocks_lose_no_link(spark):
+    rows = [x for s in range(2, 5) for x in near(s, 40)]
+    fps = sorted({fingerprint(t) for _, t in rows})
+    distinct = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, k) for k, f in enumerate(fps)], "fp bigint, node bigint")
+    whole, cut = ({r.node: r.component for r in components(H.links(distinct, **o)).collect()} for o in ({}, {"block": 5, "sample": 1}))
+    assert whole == cut and len(whole) > 20
+
+
 def test_chains_are_one_component(spark):
     a = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (5, 5)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(a).collect()}
