@@ -172,3 +172,65 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", st
                     "n_repeat_words", failed.alias("base_failed"),
                     (~failed & (F.col("posterior") >= cut)).alias("kept"), "posterior",
                     *[f"v_{x}" for x in names]))
+
+
+def oracle_sql() -> str:
+    """DuckDB: the same counts, votes and EM (a recursive query with one row per step) over ``documents``."""
+    n, ch = "greatest(n_words, 1)", "greatest(word_chars, 1)"
+    rule_sql = {
+        "length": ("n_words < 12", "n_words >= 40"),
+        "word_length": (f"{ch} < 2 * {n} OR {ch} > 15 * {n}", f"{ch} >= 3 * {n} AND {ch} <= 11 * {n}"),
+        "symbols": (f"10 * n_symbols > {n}", f"50 * n_symbols <= {n}"),
+        "symbol_share": (f"50 * n_symbols > {ch}", f"200 * n_symbols <= {ch}"),
+        "dup_lines": ("10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 AND n_lines >= 3"),
+        "repeats": (f"100 * n_repeat_words > 15 * {n}", f"100 * n_repeat_words <= {n}"),
+        "shouting": (f"5 * n_upper > 2 * {ch}", f"10 * n_upper <= {ch}"),
+        "marks": (f"10 * n_shouts > 3 * {n}", f"50 * n_shouts <= {n}"),
+        "variety": (f"4 * n_distinct < {n}", f"5 * n_distinct >= 2 * {n}"),
+        "digits": (f"10 * n_digits > 3 * {ch}", f"20 * n_digits <= {ch}"),
+    }
+    vote = ", ".join(f"CASE WHEN {b} THEN -1 WHEN {g} THEN 1 ELSE 0 END" for b, g in rule_sql.values())
+    ks = range(1, len(rule_sql) + 1)
+    logit = "ln(share / (1 - share)) + " + " + ".join(
+        f"CASE v[{k}] WHEN -1 THEN ln(good[{k}] / bad[{k}]) WHEN 1 THEN ln((1 - good[{k}]) / (1 - bad[{k}])) ELSE 0 END" for k in ks)
+    post = f"1 / (1 + exp(-({logit})))"
+
+    def rates(p: str, start: float) -> str:
+        return "[" + ", ".join(
+            f"(sum(CASE WHEN v[{k}] = -1 THEN n * {p} ELSE 0 END) + {start * WEIGHT} * sum(n)) / "
+            f"(sum(CASE WHEN v[{k}] <> 0 THEN n * {p} ELSE 0 END) + {WEIGHT} * sum(n))" for k in ks) + "]"
+
+    def removed(chars: str) -> str:
+        return f"length(t) - length(translate(t, '{chars}', ''))"
+
+    spaces = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    start = [f"[{', '.join([str(x)] * len(rule_sql))}]" for x in (START_GOOD, START_BAD)]
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: translate(x, {spaces}, '') <> '') AS l FROM d),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM w WHERE len(w) >= 5)),
+dup AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, sum(least(5, p - q)) AS n
+        FROM (SELECT doc_id, p, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), p - 5) AS q FROM dup) GROUP BY doc_id),
+c AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(t, {spaces}, '')) AS BIGINT) AS word_chars,
+        CAST({removed(SYMBOLS)} AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, len(list_distinct(w)) AS n_distinct,
+        {removed(UPPER)} AS n_upper, {removed('!?')} AS n_shouts, {removed('0123456789')} AS n_digits
+      FROM w LEFT JOIN rep USING (doc_id)),
+voted AS (SELECT *, [{vote}] AS v FROM c),
+pat AS (SELECT v, count(*) AS n FROM voted GROUP BY v),
+em(step, share, good, bad, moved) AS (
+  SELECT 0, CAST({START_SHARE} AS DOUBLE), CAST({start[0]} AS DOUBLE[]), CAST({start[1]} AS DOUBLE[]), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT step + 1, share2, good2, bad2, abs(share2 - share) FROM (
+    SELECT step, share, (sum(n * p) + {START_SHARE * WEIGHT} * sum(n)) / ({1 + WEIGHT} * sum(n)) AS share2,
+           {rates('p', START_GOOD)} AS good2, {rates('(1 - p)', START_BAD)} AS bad2
+    FROM (SELECT step, share, v, n, {post} AS p FROM em, pat WHERE step < {STEPS} AND moved >= 1e-4)
+    GROUP BY step, share)),
+fit AS (SELECT * FROM em ORDER BY step DESC LIMIT 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {post} >= 0.5 AS kept
+FROM voted, fit"""

@@ -44,7 +44,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_token_counts, op4_quality_rules, op5_warc,
                             op6_secrets, op7_packing, op8_quality, op9_simhash, op10_licenses)}
-ORACLE: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op5_warc": warc.SQL}
+ORACLE: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op4_quality_rules": quality_rules.oracle_sql(), "op5_warc": warc.SQL}
