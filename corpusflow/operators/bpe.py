@@ -37,6 +37,7 @@ from corpusflow.session import cut_lineage
 # fixed values of the tokenizer trainer
 SPECIAL_TOKENS = ["<|endoftext|>", "<|padding|>"]
 VOCAB_SIZE = 5000
+CHECKPOINT_EVERY = 6  # ours: rounds between checkpoints of the word table
 MIN_FREQUENCY = 2
 # fixed: the GPT-2 pre-tokenisation pattern ((?U): Unicode \s as in the original)
 PRETOKEN_RE = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -193,7 +194,9 @@ def _merge_rounds(state, vocab, ids, vocab_size, min_frequency, top_k, parts, st
                 break
         if not accepted:
             break
-        state = cut_lineage(state.select(F.expr(_merge_sql("w", accepted)).alias("w"), "n").coalesce(parts))
+        state = state.select(F.expr(_merge_sql("w", accepted)).alias("w"), "n")
+        if rounds % CHECKPOINT_EVERY == 0:  # between checkpoints a round applies at most so many merges lists again
+            state = cut_lineage(state.coalesce(parts))
     return vocab, merges
 
 

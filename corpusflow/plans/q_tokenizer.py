@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators import bpe
 from corpusflow.plans import q_communities
 from corpusflow.plans.registry import register
+from corpusflow.session import cut_lineage
 from corpusflow.sources import files
 from corpusflow.sources.tables import table
 
@@ -19,27 +20,22 @@ def word_counts(spark, sf_dir):
     return bpe.word_counts(docs)
 
 
-def _corpus(spark, sf_dir):
-    pairs = q_communities.sister_pairs(spark, sf_dir)
-    return files.corpus_lines(pairs)
-
-
-def _trained(spark, sf_dir):
-    return bpe.train_bpe(bpe.word_counts(bpe.corpus_sequences(_corpus(spark, sf_dir))))
+def _trained(pairs):
+    return bpe.train_bpe(bpe.word_counts(bpe.corpus_sequences(files.corpus_lines(pairs))))
 
 
 @register("bpe_merges")
 def bpe_merges(spark, sf_dir):
     """B1: byte-level BPE (vocabulary 5000, min pair frequency 2) trained on the sister-pair corpus."""
-    _, merges = _trained(spark, sf_dir)
+    _, merges = _trained(q_communities.sister_pairs(spark, sf_dir))
     return merges
 
 
 @register("bpe_encode")
 def bpe_encode(spark, sf_dir):
     """B2 + B3: every training pair encoded with the trained merges, decoded back, round trip checked."""
-    vocab, merges = _trained(spark, sf_dir)
-    pairs = q_communities.sister_pairs(spark, sf_dir)
+    pairs = cut_lineage(q_communities.sister_pairs(spark, sf_dir))
+    vocab, merges = _trained(pairs)
     enc_in = bpe.encode_texts(pairs, ["file_path"], "input_text", vocab, merges).withColumnRenamed("ids", "input_ids")
     enc_out = bpe.encode_texts(pairs, ["file_path"], "output_text", vocab, merges).withColumnRenamed("ids", "output_ids")
     dec = bpe.decode_ids(enc_out, "output_ids", vocab, ["file_path"]).withColumnRenamed("text", "decoded")
