@@ -110,7 +110,7 @@ def from_file_bytes(data: bytes, make: Callable[[str], object], suffix: str = ".
         return make(own.name)
 
 
-def slices(batch: pa.RecordBatch, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of rows of about ``size`` bytes, so Python holds few texts at once."""
     n = batch.num_rows
     step = max(1, min(n, n * size // max(1, batch.nbytes)))

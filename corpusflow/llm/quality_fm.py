@@ -30,7 +30,7 @@ RANK = 8
 BINS = 10
 MAX_ROWS = 6_000
 MAX_BYTES = 48_000_000
-CACHE = 300_000
+CACHE = 150_000
 
 
 def statistics(text: str, words: list[str], seen: Counter) -> list[float]:
