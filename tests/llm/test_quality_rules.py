@@ -74,3 +74,8 @@ def test_empty(spark):
 def test_plan_is_native(spark):
     plan = Q.judge(documents(spark, odd_texts()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_oracle_has_every_rule(spark):
+    sql = Q.oracle_sql()
+    assert f"v[{len(Q.rules())}]" in sql and f"v[{len(Q.rules()) + 1}]" not in sql
