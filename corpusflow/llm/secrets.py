@@ -65,12 +65,17 @@ def web_token(found: bytes) -> bool:
         return False
 
 
+def match_end(data: bytes, at: int) -> int:
+    return at
+
+
 @dataclass(frozen=True)
 class Rule:
     kind: str
     keywords: tuple[str, ...]  # lower case; the expression is anchored where one starts
     pattern: re.Pattern[bytes]
     check: Callable[[bytes], bool]
+    end: Callable[[bytes, int], int] = match_end  # where the span ends, by where the match does
 
 
 def _always(_: bytes) -> bool:
@@ -78,11 +83,27 @@ def _always(_: bytes) -> bool:
 
 
 _PRIVATE = rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
+_PRIVATE_END = re.compile(rb"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+_BREAK = rb"(?:[\x20\t]*(?:[\r\n]|\\[rn]))"  # line ends, also escaped as in JSON
+#: Lines of base64 or encryption headers; runs of base64 that are long if only blanks stand before them.
+_KEY_LINES = re.compile(
+    rb"(?:" + _BREAK + rb"+[\x20\t]*(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*|[A-Za-z0-9+/]+={0,2})"
+    rb"(?=" + _BREAK + rb"|[\x20\t]*(?:[\"'`]|\Z))|[\x20\t]*[A-Za-z0-9+/]{40,}={0,2})*")
+
+
+def key_end(data: bytes, at: int) -> int:
+    """The end of the END line of a private key whose BEGIN line ends at ``at``; without one before the next BEGIN, of its base64 lines."""
+    following = data.find(b"-----BEGIN ", at)
+    until = len(data) if following < 0 else following
+    m = _PRIVATE_END.search(data, at, until) or _KEY_LINES.match(data, at, until)
+    return m.end()
+
+
 RULES = (
     Rule("forge", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), crc_suffix),
     Rule("package", ("npm_",), re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), crc_suffix),
     Rule("webtoken", ("eyj",), re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), web_token),
-    Rule("private", ("-----begin ",), re.compile(_PRIVATE), _always),
+    Rule("private", ("-----begin ",), re.compile(_PRIVATE), _always, key_end),
     Rule("chat", ("xoxb-", "xoxp-", "xoxa-", "xoxr-"), re.compile(rb"xox[bpar]-[0-9]{8,}-[A-Za-z0-9-]{10,}"), _always),
 )
 #: Numbers have no keyword; runs of digits are found from the byte classes and tried here.
@@ -143,7 +164,7 @@ def scan(text: str, machine) -> list[tuple[str, int, int, bool]]:
             else:
                 m = rule.pattern.match(data, start)
                 if m and rule.check(m.group()):
-                    found.append((rule.kind, m.start(), m.end(), False))
+                    found.append((rule.kind, m.start(), rule.end(data, m.end()), False))
     raw = np.frombuffer(data, np.uint8)
     found += [("hex", a, b, True) for a, b in _runs(raw, _HEX, LEAST["hex"])]
     tried = 0

@@ -51,6 +51,27 @@ def test_checksums():
         assert not [s for s in S.scan(f"x {text} y", MACHINE) if not s[3]], text
 
 
+KEY = "\n".join(base64.b64encode(hashlib.sha384(bytes([k])).digest()).decode() for k in range(12)) + "\nAbc="
+FULL = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\n{KEY}\n-----END RSA PRIVATE KEY-----"
+KEYS = {"whole": FULL, "windows": FULL.replace("\n", "\r\n"), "json": FULL.replace("\n", "\\n"), "blanks": FULL.replace("\n", " "),
+        "no end": FULL[:FULL.index("\n-----END")], "cut": FULL[:200], "no end, blanks": f"-----BEGIN PRIVATE KEY----- {KEY[:259]}".replace("\n", " ")}
+
+
+def test_private_key_spans_hold_the_body():
+    for name, key in KEYS.items():
+        for before, after in (("é x ", "\nHello, that was it."), ("", ""), ("a\n", "\n\n" + FULL)):
+            spans = [(a, b) for k, a, b, _ in S.scan(before + key + after, MACHINE) if k == "private"]
+            second = len(before + key) + 2
+            assert spans == [(len(before), len(before + key))] + ([(second, second + len(FULL))] if FULL in after else []), (name, after)
+    assert [(a, b) for _, a, b, _ in S.scan("-----BEGIN PRIVATE KEY----- is how\nit starts, see\nthere.", MACHINE)] == [(0, 27)]
+
+
+def test_redact_removes_key_bodies(spark):
+    rows = [(k, f"before {key}\nafter, all.") for k, key in enumerate(KEYS.values())]
+    got = {r.doc_id: r.text for r in S.redact(documents(spark, rows)).collect()}
+    assert got == {k: "before [secret]\nafter, all." for k in range(len(KEYS))}
+
+
 def test_query_rows(spark):
     rows = odd_texts() + [(30, "é token: abcdefgh12 " + "0a" * 20), (31, "x" * 70000 + " password=hunter2hunter2")]
     got = S.find_secrets(clashing(documents(spark, rows))).collect()
