@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import checkpoint, pick
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str,
@@ -14,15 +14,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
 
     ``exclude`` is an expression over column ``id`` that marks held-out rows.
     Rows without an id or with a label other than 0 and 1 are no training rows.
-    Only the ids of the sample (at most ``max_rows``) are broadcast to find its
-    texts, so no text is shuffled but the sample's own.
+    The sample is chosen by the lengths of the texts; a text that does not fit
+    in what is left of the bytes is passed over, and shorter ones after it are
+    taken.  Only the ids of the sample (at most ``max_rows``) are broadcast to
+    find its texts, so no text is shuffled but the sample's own.  It is an error
+    if all texts of a class are passed over.
     """
-    ids = (pick(labels, id=id_col, label=label_col).where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
-           .where(~exclude).withColumn("rank", F.xxhash64(F.col("id").cast("string")))
-           .orderBy("rank", "id", "label").limit(max_rows))
-    found = pick(docs, id=id_col, text=text_col).join(F.broadcast(ids), "id")
-    found = found.withColumn("text", F.coalesce("text", F.lit(""))).orderBy("rank", "id", "label", "text").limit(max_rows)
-    upto = Window.orderBy("rank", "id", "label", "text")  # at most max_rows rows
-    kept = found.withColumn("bytes", F.sum(F.octet_length("text")).over(upto)).where(F.col("bytes") <= max_bytes)
-    got = kept.select("text", F.col("label").cast("int").alias("label")).toArrow()
-    return list(zip(got.column("text").to_pylist(), got.column("label").to_pylist()))
+    training = (pick(labels, id=id_col, label=label_col).where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
+                .where(~exclude).withColumn("rank", F.xxhash64(F.col("id").cast("string"))))
+    ids = checkpoint(training.orderBy("rank", "id", "label").limit(max_rows))
+    texts = pick(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    size, digest = F.octet_length("text").cast("long").alias("bytes"), F.xxhash64("text").alias("digest")
+    order = ["rank", "id", "label", "bytes", "digest"]
+    sized = texts.join(F.broadcast(ids), "id").select("rank", "id", "label", size, digest).orderBy(*order).limit(max_rows)
+    chosen, room = [], max_bytes
+    for r in sized.collect():  # at most max_rows rows of five numbers
+        if r["bytes"] <= room:
+            room -= r["bytes"]
+            chosen.append(r)
+    classes = {r["label"] for r in chosen}
+    if len(classes) < 2:
+        there = {r["label"] for r in training.join(texts.select("id"), "id", "left_semi").select("label").distinct().collect()}
+        if len(there) == 2:
+            raise ValueError(f"no text of label {sorted(there - classes)} is in the sample of {max_rows} rows and {max_bytes} bytes")
+    if not chosen:
+        return []
+    keys = docs.sparkSession.createDataFrame(sorted({(r["id"], r["bytes"], r["digest"]) for r in chosen}), sized.select("id", "bytes", "digest").schema)
+    whole = (texts.join(F.broadcast(keys.select("id").distinct()), "id").select("id", "text", size, digest)
+             .join(F.broadcast(keys), ["id", "bytes", "digest"]).groupBy("id", "bytes", "digest").agg(F.first("text").alias("text")))
+    got = whole.toArrow()
+    by_key = dict(zip(zip(*(got.column(c).to_pylist() for c in ("id", "bytes", "digest"))), got.column("text").to_pylist()))
+    return [(by_key[r["id"], r["bytes"], r["digest"]], int(r["label"])) for r in chosen]

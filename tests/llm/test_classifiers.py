@@ -4,8 +4,10 @@ import zlib
 import numpy as np
 import pytest
 from helpers import clashing, documents, odd_texts, prose
+from pyspark.sql import functions as F
 
 from corpusflow.llm import quality_fm, toxicity
+from corpusflow.llm.training import labelled_sample
 
 SF = "/root/testdata/sf0.1"
 CASES = [(toxicity, "toxic", 5, 0), (quality_fm, "quality", 4, 2)]
@@ -46,6 +48,38 @@ def test_held_out_labels_are_not_learnt(spark):
     assert a == pytest.approx(b)
 
 
+def sample(spark, docs, labels, **bounds):
+    return labelled_sample(clashing(documents(spark, docs)), labels_table(spark, [(i, c, c) for i, c in labels]), id_col="doc_id",
+                           text_col="text", label_col="toxic", exclude=F.lit(False), **bounds)
+
+
+def test_texts_over_the_bytes_are_passed_over_alone(spark):
+    labels = [(k, k % 2) for k in range(40)]
+    order = [i for i, _ in sample(spark, [(k, str(k)) for k, _ in labels], labels, max_rows=100, max_bytes=1000)]
+    assert len(order) == 40
+    docs = [(k, "x" * 2000 if str(k) in (order[0], order[7]) else "é" * 100 + str(k)) for k, _ in labels] + [(int(order[3]), "é" * 100 + order[3])] * 2
+    got = sample(spark, docs, labels, max_rows=100, max_bytes=1900)
+    assert got == [("é" * 100 + i, int(i) % 2) for i in [order[1], order[2], *[order[3]] * 3, *order[4:7], order[8]]]
+    assert len(sample(spark, docs, labels, max_rows=7, max_bytes=1900)) == 6
+
+
+def test_a_class_of_over_long_texts_is_an_error(spark):
+    docs = [(k, "x" * 2000 if k % 2 else "y") for k in range(20)]
+    with pytest.raises(ValueError, match="label"):
+        sample(spark, docs, [(k, k % 2) for k in range(20)], max_rows=100, max_bytes=1000)
+    assert len(sample(spark, docs, [(k, 0) for k in range(20)], max_rows=100, max_bytes=1000)) == 10
+    assert sample(spark, [], [(k, k % 2) for k in range(20)], max_rows=100, max_bytes=1000) == []
+
+
+def test_one_long_text_does_not_make_the_scores_constant(spark):
+    """The text of the first id by hash is over the bytes: the other rows still train."""
+    docs, labels = [(k, prose(k, 60) + (" good words" if k % 2 else " #### !!!!")) for k in range(80)], [(k, k % 2, 0) for k in range(80)]
+    first = labels_table(spark, labels).where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").orderBy(F.xxhash64(F.col("doc_id").cast("string"))).first().doc_id
+    docs = [(k, t * 200 if k == first else t) for k, t in docs]
+    m = quality_fm.train(documents(spark, docs), labels_table(spark, labels), max_bytes=40_000)
+    assert m.v.any()
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     n = quality_fm.N_FEATURES
