@@ -126,11 +126,18 @@ def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain no item."""
-    id_col = options.get("id_col", "doc_id")
-    hit = checkpoint(contained_items(docs, items, **options).select(F.col(id_col).alias("_hit")).distinct())
-    own = F.col(f"_in{docs.columns.index(id_col)}")
-    return positional(docs).join(small(hit, BROADCAST_ROWS), own.eqNullSafe(F.col("_hit")), "left_anti").toDF(*docs.columns)
+    """The rows of ``docs``, all columns, that contain no item.
+
+    Rows are told apart by the SHA-256 of their text, as the text alone decides:
+    ids may be null or repeat.  Rows with null text stay.
+    """
+    options.pop("id_col", None)
+    rows, text_col = positional(docs), options.pop("text_col", "text")
+    text = F.col(f"_in{docs.columns.index(text_col)}")
+    own = F.unhex(F.sha2(text, 256))
+    found = contained_items(rows.select(own.alias("doc"), text.alias("text")), items, id_col="doc", text_col="text", **options)
+    hit = checkpoint(found.select(F.col("doc").alias("_hit")).distinct())
+    return rows.join(small(hit, BROADCAST_ROWS), own == F.col("_hit"), "left_anti").toDF(*docs.columns)
 
 
 #: DuckDB: containment of every item in every document, by brute force over all shingles.

@@ -4,6 +4,7 @@ import pytest
 from helpers import clashing, documents, odd_texts, prose
 
 from corpusflow.llm import decontaminate as D
+from corpusflow.llm.common import pick
 
 
 def words(t):
@@ -62,6 +63,17 @@ def test_empty_tables_and_filter(spark):
     assert kept.count() == docs.count() - 1
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_the_same_id(spark):
+    item = prose(77, 12)
+    bad = [(None, prose(1, 40) + " " + item), (5, item + " " + prose(2, 40)), (6, item)]
+    good = [(None, prose(3, 40)), (None, None), (5, prose(4, 40)), (5, prose(5, 40)), (7, prose(4, 40)), (7, None)]
+    docs = clashing(documents(spark, bad + good + good[:3]))
+    kept = D.clean_documents(docs, items_table(spark, [(1, item), (None, prose(9, 9))]))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert kept.columns == docs.columns
+    assert sorted([(r.i, r.t) for r in pick(kept, i="doc_id", t="text").collect()], key=key) == sorted(good + good[:3], key=key)
+
+
 def test_plan_is_native(spark):
     docs, items = documents(spark, odd_texts()), items_table(spark, [(1, "one two three four five")])
     plan = D.contained_items(docs, items)._jdf.queryExecution().toString()
