@@ -223,6 +223,20 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, sam
     return sorted_.mapInArrow(verified, "a bigint, b bigint").distinct()
 
 
+def least_of_component(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, least): for each fingerprint of ``fps`` (fp, key), the least ``key`` of its component.
+
+    The fingerprints are the nodes, so rows of one id are linked only if their
+    fingerprints are.
+    """
+    distinct = checkpoint(fps.groupBy("fp").agg(F.min("key").alias("own")))
+    found = components(links(distinct.select("fp", F.col("fp").alias("node")), max_bits)).withColumnRenamed("node", "fp")
+    linked = checkpoint(distinct.join(found, "fp"))
+    least = linked.groupBy("component").agg(F.min("own").alias("least"))
+    linked = linked.join(least, "component").select("fp", "least")
+    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "own").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits) and component_id, the smallest id reachable by links.
@@ -231,34 +245,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts without a word all have fingerprint 0 and are linked like any other.
     Copies are grouped by fingerprint before the search.  Ids are integers; rows
     without one get a fingerprint, take part in no group and have a null
-    component.  Repeated rows give repeated rows; an empty table gives an empty
-    result.
+    component.  Repeated rows give repeated rows; rows that repeat an id with
+    unlike texts are not linked by it; an empty table gives an empty result.
     """
     fps = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    distinct = checkpoint(fps.where(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").cast("bigint").alias("node")))
-    found = components(links(distinct, max_bits))
-    known = (distinct.join(found, "node", "left")
-             .select("fp", F.coalesce("component", "node").alias("component")))
     with_id, without = fps.where(F.col("id").isNotNull()), fps.where(F.col("id").isNull())
+    known = least_of_component(with_id.select("fp", F.col("id").cast("bigint").alias("key")), max_bits).withColumnRenamed("least", "component")
     joined = with_id.join(known, "fp", "left").unionByName(without.withColumn("component", F.lit(None).cast("bigint")))
     return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                          F.col("component").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+               max_bits: int = MAX_BITS) -> DataFrame:
     """``docs``, all columns, with one row of each component: one with its smallest id (rows without an id stay).
 
-    Only ids are shuffled while few documents go; rows that repeat an id are
-    looked at again, to keep one of them.
+    Rows are told apart by id and a digest of the text; of the texts with the
+    smallest id the one with the least digest stays.  Only ids and digests are
+    shuffled while few documents go; rows that repeat both are looked at again,
+    to keep one of them.
     """
-    found = checkpoint(near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-                       .select(F.col(id_col).alias("_id"), F.col("component_id").alias("_component")))
-    gone = checkpoint(found.where("_id <> _component").select("_id").distinct())
-    again = checkpoint(found.where("_id = _component").groupBy("_id").count().where("count > 1").select("_id"))
-    gone_, again_ = small(gone, BROADCAST_ROWS), small(again, BROADCAST_ROWS)
     rows, own = positional(docs), f"_in{docs.columns.index(id_col)}"
-    on = F.col(own) == F.col("_id")
+    digest = F.xxhash64(f"_in{docs.columns.index(text_col)}")  # equal digests matter only within an id
+    keyed = rows.where(F.col(own).isNotNull()).select(
+        F.struct(F.col(own).alias("id"), digest.alias("digest")).alias("key"), F.col(f"_in{docs.columns.index(text_col)}").alias("text"))
+    fps = checkpoint(fingerprints(keyed, id_col="key", text_col="text", shingle=shingle).withColumnRenamed("id", "key"))
+    found = fps.join(least_of_component(fps, max_bits), "fp").select(
+        F.col("key.id").alias("_id"), F.col("key.digest").alias("_digest"), (F.col("key") == F.col("least")).alias("_first"))
+    found = checkpoint(found.groupBy("_id", "_digest", "_first").count())
+    gone = checkpoint(found.where("not _first").select("_id", "_digest"))
+    again = checkpoint(found.where("_first and count > 1").select("_id", "_digest"))
+    gone_, again_ = (small(x, BROADCAST_ROWS // 2) for x in (gone, again))  # two numbers each
+    on = [F.col(own) == F.col("_id"), digest == F.col("_digest")]
     left = rows.join(gone_, on, "left_anti")
     if not again.isEmpty():
-        left = left.join(again_, on, "left_anti").unionByName(rows.join(again_, on, "left_semi").dropDuplicates([own]))
+        one = rows.join(again_, on, "left_semi").withColumn("_digest", digest).dropDuplicates([own, "_digest"]).drop("_digest")
+        left = left.join(again_, on, "left_anti").unionByName(one)
     return left.toDF(*docs.columns)

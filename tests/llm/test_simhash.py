@@ -100,6 +100,25 @@ def test_keep_first(spark):
     assert pick(kept, i="doc_id").where("i is null").count() == 2
 
 
+def kept_rows(spark, rows):
+    docs = clashing(documents(spark, rows))
+    kept = H.keep_first(docs)
+    assert kept.columns == docs.columns
+    return [(r.i, r.t) for r in pick(kept, i="doc_id", t="text").collect()]
+
+
+def test_ids_that_repeat_with_unlike_texts(spark):
+    x, y, z = (prose(s, 80) for s in (21, 22, 23))
+    rows = [(3, x), (5, x), (5, y), (8, y), (6, z), (6, x), (9, z.replace(" ", "  ")), (9, z)]
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in H.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {(i, f"{fingerprint(t):016x}", {x: 3, y: 5}.get(t, 6)) for i, t in rows}
+    assert sorted(kept_rows(spark, rows)) == sorted([(3, x), (5, y), (6, z)])
+    assert sorted(kept_rows(spark, [(5, x), (5, y)])) == sorted([(5, x), (5, y)])
+    assert sorted(kept_rows(spark, [(5, x), (5, y), (5, x), (5, y), (7, y)])) == sorted([(5, x), (5, y)])
+    spaced = kept_rows(spark, [(4, z), (4, z.replace(" ", "  ")), (4, z), (None, z), (4, None), (4, ""), (5, None)])
+    assert len(spaced) == 3 and (None, z) in spaced
+
+
 def test_empty(spark):
     docs = documents(spark, odd_texts()).limit(0)
     assert H.near_duplicates(docs).count() == 0 and H.keep_first(docs).count() == 0
