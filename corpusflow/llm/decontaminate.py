@@ -27,6 +27,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Sketch rows (hash, item, width: some 40 bytes) that are still broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of the items' shingle texts that are still broadcast to verify candidates; more are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def plain_words(text: Column) -> Column:
@@ -108,9 +110,12 @@ def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
     sketches = checkpoint(item_sketches(it, shingle, threshold))
     pairs = checkpoint(candidates(d, sketches))
     probe = small(pairs, BROADCAST_ROWS)
+    chars = F.aggregate("shingles", F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s))
+    few = (sketches.agg(F.sum(chars)).first()[0] or 0) <= BROADCAST_BYTES
+    by_item = small(sketches, BROADCAST_ROWS // 50) if few else sketches
     joined = d.alias("d").join(probe.alias("p"), F.col("d.doc").eqNullSafe(F.col("p.doc")))
     full = joined.select("d.doc", "p.item", "text").alias("f").join(
-        small(sketches, BROADCAST_ROWS // 50).alias("s"), F.col("f.item").eqNullSafe(F.col("s.item")))
+        by_item.alias("s"), F.col("f.item").eqNullSafe(F.col("s.item")))
     checked = (full.select("f.doc", "f.item", "width", "shingles", plain_words(F.col("text")).alias("w"))
                .withColumn("n_found", F.size(F.array_intersect(
                    F.col("shingles"), shingle_texts(F.col("w"), F.col("width"))))))

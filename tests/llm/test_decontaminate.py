@@ -74,6 +74,17 @@ def test_clean_rows_stay_beside_contaminated_ones_of_the_same_id(spark):
     assert sorted([(r.i, r.t) for r in pick(kept, i="doc_id", t="text").collect()], key=key) == sorted(good + good[:3], key=key)
 
 
+def test_long_items_are_not_broadcast(spark, monkeypatch):
+    items = [(k, prose(100 + k, 40)) for k in range(6)]
+    docs = documents(spark, [(k, prose(200 + k, 50) + " " + items[k % 6][1]) for k in range(12)])
+    small = D.contained_items(docs, items_table(spark, items))
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 1000)
+    long = D.contained_items(docs, items_table(spark, items))
+    bounds = [x._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") for x in (small, long)]
+    assert bounds[1] < bounds[0]
+    assert sorted(small.collect()) == sorted(long.collect()) and small.count() == 12
+
+
 def test_plan_is_native(spark):
     docs, items = documents(spark, odd_texts()), items_table(spark, [(1, "one two three four five")])
     plan = D.contained_items(docs, items)._jdf.queryExecution().toString()
