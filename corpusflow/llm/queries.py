@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, packing, quality_fm, quality_rules, secrets, simhash, token_counts, toxicity, warc
+from . import (decontaminate, group_packing, hard_negatives, licenses, packing, quality_fm, quality_rules, secrets, simhash, token_counts, toxicity, warc,
+               whitening)
 from .common import table
 
 
@@ -72,7 +73,24 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the anchors whose id is divisible by 100; labels of ids divisible by 7 are moved by one."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(moved, F.col("id") % 100 == 0, id_col="vec_id", vector_col="embedding", scale=256)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), id_col="vec_id", vector_col="embedding")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_token_counts, op4_quality_rules, op5_warc,
-                            op6_secrets, op7_packing, op8_quality, op9_simhash, op10_licenses)}
-ORACLE: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op4_quality_rules": quality_rules.oracle_sql(), "op5_warc": warc.SQL}
+                            op6_secrets, op7_packing, op8_quality, op9_simhash, op10_licenses, op11_hard_negatives,
+                            op12_packing, op13_whitening)}
+ORACLE: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op4_quality_rules": quality_rules.oracle_sql(), "op5_warc": warc.SQL,
+                          "op11_hard_negatives": hard_negatives.SQL}
