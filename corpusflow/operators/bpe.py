@@ -6,38 +6,33 @@ space unless the line starts with one -> split with the GPT-2 pattern ->
 map every UTF-8 byte to its printable stand-in character (JVM expressions:
 ``hex(encode(...))`` and a 256-entry lookup) -> distinct words with counts (A10).
 
-Training (B1) works on the distinct-word table, never on the corpus:
-every round counts adjacent pairs weighted by word count (explode +
-groupBy), takes the top pairs (count desc, then smaller pair) and applies a
-*prefix* of them in one round.  A prefix is exact - identical to merging one
-pair at a time: merging (a, b) only changes the counts of pairs ending in
-``a`` and pairs starting with ``b`` (every pair holding ``a`` when a == b);
-all other counts stay exact, and new pairs with the merged token are bounded
-by the counts of those changed pairs and lose ties (the new token has the
-largest id).  The walk over the ranked pairs therefore stops at the first
-pair whose count an accepted merge may have changed.  The word table is
-cached between rounds and checkpointed reliably every few rounds.
-
-Encoding (B2) runs the merges by rank on each *distinct* word (Arrow UDF
-with the merge table, which is bounded by the vocabulary size) and joins the
-ids back; decoding (B3) maps ids to tokens and bytes back to text.
+Training (B1) works on the distinct-word table, never on the corpus, in rounds
+of several merges that give exactly the result of one merge at a time
+(``bpe_rounds``): a round rewrites only the words that hold a merged pair.
+
+Encoding (B2) runs the merges by rank on each word of a text, through a bounded
+cache of words (Arrow UDF with the merge table, which is bounded by the
+vocabulary size); decoding (B3) maps ids to tokens and bytes back to text.
+Both are narrow: no word or id is shuffled.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.operators.bpe_rounds import merge_rounds
 from corpusflow.session import cut_lineage
 
 # fixed values of the tokenizer trainer
 SPECIAL_TOKENS = ["<|endoftext|>", "<|padding|>"]
 VOCAB_SIZE = 5000
-CHECKPOINT_EVERY = 6  # ours: rounds between checkpoints of the word table
 MIN_FREQUENCY = 2
 # fixed: the GPT-2 pre-tokenisation pattern ((?U): Unicode \s as in the original)
 PRETOKEN_RE = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -94,11 +89,6 @@ def word_counts(lines: DataFrame, col: str = "line") -> DataFrame:
     return pieces.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pairs_expr(w: Column) -> Column:
-    idx = F.sequence(F.lit(0), F.size(w) - 2)
-    return F.transform(idx, lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b")))
-
-
 def pair_counts(words: DataFrame) -> DataFrame:
     """Adjacent symbol pairs of the byte-level words, weighted by word count: ``left, right, n``."""
     chars = F.split("word", "")
@@ -108,32 +98,15 @@ def pair_counts(words: DataFrame) -> DataFrame:
             .groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum("n").alias("n")))
 
 
-_PAIR_KEY = 1 << 32  # token ids stay below 2^32, so a * 2^32 + b names a pair
-
-
-def _merge_sql(w: str, merges) -> str:
-    """One left-to-right pass applying a round's merges ``(a, b, t)`` at once.
-
-    Pairs accepted in one round never overlap in a sequence (an overlap needs
-    b == c or d == a, which the stop rule excludes), so a single pass that
-    replaces each adjacent accepted pair equals applying them one by one.
-    """
-    entries = ", ".join(f"{a * _PAIR_KEY + b}L, {t}" for a, b, t in merges)
-    m = f"map({entries})"
-    key = f"cast(element_at(acc, -1) as bigint) * {_PAIR_KEY}L + x"
-    return (f"aggregate({w}, cast(array() as array<int>), (acc, x) -> "
-            f"if(size(acc) > 0 and try_element_at({m}, {key}) is not null, "
-            f"concat(slice(acc, 1, size(acc) - 1), array(try_element_at({m}, {key}))), concat(acc, array(x))))")
-
-
 def train_bpe(words: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int = MIN_FREQUENCY,
               special_tokens=tuple(SPECIAL_TOKENS), top_k: int = 256, words_per_partition: int = 50_000,
               stats: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """B1: ``(vocab(id, token), merges(rank, left, right))`` from ``word, n`` rows.
 
     ``top_k`` bounds how many merges a round may take and changes no result;
-    the word table is dealt out over partitions of ``words_per_partition``
-    words.  ``stats`` (optional dict) receives the number of rounds.
+    the word table is dealt out in chunks of ``words_per_partition`` words.
+    ``stats`` (optional dict) receives the number of rounds, the words touched
+    in each, and how often the pair counts were read in full.
     """
     spark = words.sparkSession
     vocab: list[str] = list(special_tokens)
@@ -151,111 +124,107 @@ def train_bpe(words: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int
     state = words.select(F.transform(F.split("word", ""), lambda c: F.element_at(char_ids, c)).alias("w"),
                          F.col("n").cast("long").alias("n")).where(F.size("w") > 0)
     state = cut_lineage(state.where(~F.exists("w", lambda x: x.isNull())))
-    parts = -(-state.count() // words_per_partition) or 1
-    state = cut_lineage(state.repartition(parts))
-    vocab, merges = _merge_rounds(state, vocab, ids, vocab_size, min_frequency, top_k, parts, stats)
+    merges = merge_rounds(state, vocab, ids, vocab_size, min_frequency, top_k, words_per_partition, stats)
     vocab_df = spark.createDataFrame(list(enumerate(vocab)), "id long, token string")
     merges_df = spark.createDataFrame(merges, "rank long, left string, right string")
     return vocab_df, merges_df
 
 
-def _merge_rounds(state, vocab, ids, vocab_size, min_frequency, top_k, parts, stats):
-    """Rounds of merges until the vocabulary is full or no pair is frequent enough; each round adds at least one."""
-    merges: list[tuple[int, str, str]] = []
-    rounds = 0
-    while len(vocab) < vocab_size:
-        rounds += 1
-        pc = (state.where(F.size("w") >= 2).select(F.explode(_pairs_expr(F.col("w"))).alias("p"), "n")
-              .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("c")))
-        top = pc.orderBy(F.col("c").desc(), F.col("a").asc(), F.col("b").asc()).limit(top_k).collect()
-        if stats is not None:
-            stats["rounds"] = rounds
-        # merging (a, b) changes the counts of pairs ending in a and of pairs starting with b; the walk stops at the
-        # first such pair.  It also ends after a pair of equals, whose new pair of pairs may be as frequent as what
-        # follows, and after a merge that makes a token again, since ties go to the smaller token.
-        ends_in: set[int] = set()
-        starts_with: set[int] = set()
-        accepted = []
-        for r in top:
-            if r["c"] < min_frequency or r["b"] in ends_in or r["a"] in starts_with:
-                break
-            if len(vocab) >= vocab_size:
-                break
-            tok = vocab[r["a"]] + vocab[r["b"]]
-            again = tok in ids
-            if not again:
-                ids[tok] = len(vocab)
-                vocab.append(tok)
-            accepted.append((r["a"], r["b"], ids[tok]))
-            merges.append((len(merges), vocab[r["a"]], vocab[r["b"]]))
-            ends_in.add(r["a"])
-            starts_with.add(r["b"])
-            if again or r["a"] == r["b"]:
-                break
-        if not accepted:
-            break
-        state = state.select(F.expr(_merge_sql("w", accepted)).alias("w"), "n")
-        if rounds % CHECKPOINT_EVERY == 0:  # between checkpoints a round applies at most so many merges lists again
-            state = cut_lineage(state.coalesce(parts))
-    return vocab, merges
-
-
-def _bpe_word(word: str, ranks: dict, ids: dict) -> list[int]:
-    parts = list(word)
-    while len(parts) > 1:
-        best, best_i = None, -1
-        for i in range(len(parts) - 1):
-            r = ranks.get((parts[i], parts[i + 1]))
-            if r is not None and (best is None or r < best):
-                best, best_i = r, i
-        if best is None:
-            break
-        merged, i = [], 0
-        pair = (parts[best_i], parts[best_i + 1])
-        while i < len(parts):
-            if i < len(parts) - 1 and (parts[i], parts[i + 1]) == pair:
-                merged.append(parts[i] + parts[i + 1])
-                i += 2
-            else:
-                merged.append(parts[i])
-                i += 1
-        parts = merged
-    return [ids[p] for p in parts if p in ids]
+def _ranked(vocab: DataFrame, merges: DataFrame) -> tuple[dict[str, int], dict[tuple[int, int], tuple[int, int]]]:
+    """Token -> id, and pair of ids -> (rank, id of what they make); bounded by the vocabulary size."""
+    ids = {r["token"]: int(r["id"]) for r in vocab.collect()}
+    return ids, {(ids[r["left"]], ids[r["right"]]): (int(r["rank"]), ids[r["left"] + r["right"]]) for r in merges.collect()}
 
 
-def encode_words(words: DataFrame, vocab: DataFrame, merges: DataFrame, col: str = "word") -> DataFrame:
-    """B2 on distinct words: ``word, ids array<bigint>``.
+def encode_word(word: str, ids: dict[str, int], ranked: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """B2: merges by rank, leftmost first, in n log n: pairs wait in a heap, symbols are a linked list.
 
-    The merge table and vocabulary (bounded by the vocabulary size) are
-    shipped to the tasks once through the UDF closure.
+    Characters that the vocabulary lacks stay unmerged and are left out.
     """
-    ranks = {(r["left"], r["right"]): int(r["rank"]) for r in merges.collect()}
-    ids = {r["token"]: int(r["id"]) for r in vocab.collect()}
+    token = [ids.get(c, -1) for c in word]
+    n = len(token)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    waiting = []
+    for k in range(n - 1):
+        m = ranked.get((token[k], token[k + 1]))
+        if m is not None:
+            waiting.append((m[0], k, token[k], token[k + 1]))
+    heapify(waiting)
+    gone = [False] * n
+    while waiting:
+        _, k, a, b = heappop(waiting)
+        right = after[k]
+        if gone[k] or right >= n or token[k] != a or token[right] != b:
+            continue  # one of the two has been merged since
+        token[k] = ranked[a, b][1]
+        gone[right] = True
+        after[k] = following = after[right]
+        if following < n:
+            before[following] = k
+            m = ranked.get((token[k], token[following]))
+            if m is not None:
+                heappush(waiting, (m[0], k, token[k], token[following]))
+        previous = before[k]
+        if previous >= 0:
+            m = ranked.get((token[previous], token[k]))
+            if m is not None:
+                heappush(waiting, (m[0], previous, token[previous], token[k]))
+    return [t for t, out in zip(token, gone) if not out and t >= 0]
+
+
+#: Words whose ids a task keeps, and the longest that is kept.
+CACHED_WORDS, CACHED_CHARS = 200_000, 100
+
+
+def _encoder(ids: dict, ranked: dict):
+    """word -> ids through a bounded cache."""
+    known: dict[str, list[int]] = {}
+
+    def encode(word: str) -> list[int]:
+        found = known.get(word)
+        if found is None:
+            found = encode_word(word, ids, ranked)
+            if len(word) <= CACHED_CHARS:
+                if len(known) >= CACHED_WORDS:
+                    known.clear()
+                known[word] = found
+        return found
+
+    return encode
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def enc(s: pd.Series) -> pd.Series:
-        return s.map(lambda w: _bpe_word(w, ranks, ids))
 
-    return words.select(col, enc(F.col(col)).alias("ids"))
+def encode_words(words: DataFrame, vocab: DataFrame, merges: DataFrame, col: str = "word") -> DataFrame:
+    """B2 on single words: ``word, ids array<bigint>``."""
+    one = words.select(col, F.array(col).alias("_pieces"))
+    return _encode_pieces(one, [col], vocab, merges)
 
 
 def encode_texts(df: DataFrame, key_cols, text_col: str, vocab: DataFrame, merges: DataFrame) -> DataFrame:
-    """B2: ``key_cols, ids`` for every text (normalised, pre-tokenised, BPE per distinct word)."""
-    keys = list(key_cols)
+    """B2: ``key_cols, ids`` for every text (normalised, pre-tokenised, BPE per word); no shuffle, one row per row."""
     whole = F.coalesce(F.col(text_col), F.lit(""))
-    pieces = df.select(*keys, F.posexplode(pretokenize(nfkc(whole))).alias("pos", "word"))
-    encoded = encode_words(pieces.select("word").distinct(), vocab, merges)
-    joined = pieces.join(encoded, "word")
-    per_text = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_p"))
-    return per_text.select(*keys, F.flatten(F.transform("_p", lambda x: x["ids"])).alias("ids"))
+    return _encode_pieces(df.select(*key_cols, pretokenize(nfkc(whole)).alias("_pieces")), list(key_cols), vocab, merges)
+
+
+def _encode_pieces(df: DataFrame, keys: list[str], vocab: DataFrame, merges: DataFrame) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(_ranked(vocab, merges))  # bounded by the vocabulary size
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = _encoder(*shared.value)
+        for pieces in batches:
+            yield pieces.map(lambda p: [i for w in p for i in encode(w)])
+
+    return df.select(*keys, enc(F.col("_pieces")).alias("ids"))
 
 
 def decode_ids(df: DataFrame, ids_col: str, vocab: DataFrame, key_cols) -> DataFrame:
-    """``key_cols, text``: ids -> tokens -> bytes -> UTF-8 text (JVM-side)."""
-    keys = list(key_cols)
-    exploded = df.select(*keys, F.posexplode_outer(ids_col).alias("pos", "id"))
-    toks = exploded.join(F.broadcast(vocab.where(~F.col("token").isin(SPECIAL_TOKENS))), "id", "left")
-    joined = toks.groupBy(*keys).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token", F.lit("")).alias("token")))), lambda x: x["token"]), "").alias("s"))
-    latin1 = F.translate("s", _ALPHABET_STR, _LATIN1)
-    return joined.select(*keys, F.decode(F.encode(latin1, "ISO-8859-1"), "UTF-8").alias("text"))
+    """``key_cols, text``: ids -> tokens -> bytes -> UTF-8 text (JVM-side, one row per row).
+
+    The tokens by id are one literal of the plan, bounded by the vocabulary
+    size.  Special tokens and unknown ids give nothing; no ids give "".
+    """
+    tokens = {int(r["id"]): r["token"] for r in vocab.collect() if r["token"] not in SPECIAL_TOKENS}
+    table = F.split(F.lit("\x01".join(tokens.get(k, "") for k in range(max(tokens, default=0) + 1))), "\x01", -1)
+    pieces = F.transform(F.coalesce(F.col(ids_col), F.array().cast("array<bigint>")), lambda i: F.coalesce(F.get(table, i.cast("int")), F.lit("")))
+    latin1 = F.translate(F.array_join(pieces, ""), _ALPHABET_STR, _LATIN1)
+    return df.select(*key_cols, F.decode(F.encode(latin1, "ISO-8859-1"), "UTF-8").alias("text"))

@@ -63,14 +63,14 @@ def token_argmax(logits: str | Column) -> Column:
 
 def masked_token_metrics(df: DataFrame, group_cols, label_col: str = "label",
                          logits_col: str = "logits") -> DataFrame:
-    """A7 + A8 per group: ``loss``, ``accuracy``, ``tokens`` over non-padding labels."""
+    """A7 + A8 per group: ``loss``, ``accuracy``, ``tokens`` over non-padding labels (null, null, 0 if all are padding)."""
     mask = (F.col(label_col) != 0).cast("double")
     per = df.select(*group_cols, mask.alias("_m"),
                     F.when(F.col(label_col) != 0, token_loss(label_col, logits_col)).otherwise(0.0).alias("_l"),
                     ((token_argmax(logits_col) == F.col(label_col)) & (F.col(label_col) != 0))
                     .cast("double").alias("_a"))
     return (per.groupBy(*group_cols)
-            .agg((F.sum("_l") / F.sum("_m")).alias("loss"), (F.sum("_a") / F.sum("_m")).alias("accuracy"),
+            .agg(F.try_divide(F.sum("_l"), F.sum("_m")).alias("loss"), F.try_divide(F.sum("_a"), F.sum("_m")).alias("accuracy"),
                  F.sum("_m").cast("long").alias("tokens")))
 
 

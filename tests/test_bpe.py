@@ -137,3 +137,71 @@ def test_null_texts_and_empty_ids_are_kept(spark):
     assert bpe.encode_texts(lines, ["k"], "value", vocab, merges).count() == 3
     ids = spark.createDataFrame([(0, []), (1, None)], "k long, ids array<bigint>")
     assert {r["k"]: r["text"] for r in bpe.decode_ids(ids, "ids", vocab, ["k"]).collect()} == {0: "", 1: ""}
+
+
+def random_words(seed, n=60, letters="aab"):
+    import random
+
+    r = random.Random(seed)
+    return {"".join(r.choice(letters) for _ in range(r.randrange(1, 14))): r.randrange(1, 9) for _ in range(n)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_few_known_pairs_and_small_chunks_give_the_same(spark, monkeypatch, seed):
+    """A head of three pairs is read again and again, chunks of seven words are rebuilt each round."""
+    from corpusflow.operators import bpe_rounds
+
+    words = random_words(seed, letters="aabc")
+    want = one_at_a_time(words, 25)
+    monkeypatch.setattr(bpe_rounds.merge_rounds, "__defaults__", (3,))
+    stats = {}
+    _, merges = bpe.train_bpe(spark.createDataFrame(list(words.items()), "word string, n long"), special_tokens=(),
+                              vocab_size=3 + len({a + b for a, b in want}), words_per_partition=7, stats=stats)
+    got = [[x["left"], x["right"]] for x in merges.orderBy("rank").collect()]
+    assert got == want[:len(got)] and len(got) >= len(want) - 1 and stats["reads"] > 1
+
+
+def test_a_round_touches_only_the_words_with_a_merged_pair(spark):
+    """Pair counts are read in full once; each round reads the postings of its pairs."""
+    words = {f"{a}{b}" * 3: 1000 - 10 * k for k, (a, b) in enumerate(zip("acegikmoqsuwy", "bdfhjlnprtvxz"))}
+    stats = {}
+    _, merges = bpe.train_bpe(spark.createDataFrame(list(words.items()), "word string, n long"), special_tokens=(), vocab_size=26 + 13 * 2,
+                              top_k=1, stats=stats)
+    assert merges.count() == 26 and stats["reads"] == 1
+    assert stats["touched"] == [1] * 26  # of thirteen words
+
+
+def test_chunk_counts_after_rounds_equal_a_recount():
+    import random
+
+    import numpy as np
+
+    from corpusflow.operators.bpe_rounds import Chunk, pair
+
+    r = random.Random(5)
+    words = [[r.randrange(4) for _ in range(r.randrange(1, 12))] for _ in range(40)]
+    row = [np.array(x, t).tobytes() for x, t in (([i for w in words for i in w], "<i4"), ([len(w) for w in words], "<i4"), ([r.randrange(1, 5) for _ in words], "<i8"))]
+    chunk, before = Chunk(*row), None
+    before = chunk.totals()
+    for t, (a, b) in enumerate([(0, 1), (1, 1), (2, 0), (4, 2), (3, 3), (5, 4)], 4):
+        chunk.apply({pair(a, b): t})
+        after = chunk.totals()
+        assert chunk.last == {p: after.get(p, 0) - before.get(p, 0) for p in {*after, *before} if after.get(p, 0) != before.get(p, 0)}
+        assert all(any(q == p for q in (pair(x, y) for x, y in zip(chunk.words[k], chunk.words[k][1:]))) is False or k in chunk.postings[p]
+                   for p in chunk.postings for k in range(len(chunk.words)))
+        before = after
+
+
+def test_long_words_encode_like_the_tokenizers_package(spark):
+    tok, ref = reference(140)
+    lines = spark.createDataFrame([(r,) for r in RECORDS], "value string")
+    vocab, merges = bpe.train_bpe(bpe.word_counts(bpe.corpus_sequences(lines)), vocab_size=140)
+    import random
+    import time
+
+    r = random.Random(2)
+    long = ["".join(r.choice("helowrdtnqu") for _ in range(100_000)), "o" * 100_000, "hello" * 20_000]
+    t0 = time.time()
+    got = {x["k"]: list(x["ids"]) for x in bpe.encode_texts(spark.createDataFrame(list(enumerate(long)), "k long, value string"), ["k"], "value", vocab, merges).collect()}
+    assert time.time() - t0 < 60
+    assert all(got[k] == tok.encode(t).ids for k, t in enumerate(long))
