@@ -134,10 +134,42 @@ def integers(vector: Column, scale: int, shift: int) -> Column:
     return F.transform(vector, lambda c: F.floor(c.cast("double") * scale).cast("bigint") + shift)
 
 
-def _sums(fit: DataFrame, dims: int, centre: np.ndarray | None) -> tuple[int, list[list[int]]]:
-    """Row count and exact column sums, or the exact products of columns centred on ``centre``; added up by Spark."""
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, np.zeros((dims, dims) if centre is not None else dims, object)
+def _added(fit: DataFrame, kind: str, part) -> list:
+    """Entry-wise sum of the lists that ``part(batches)`` gives, one per task; added up in two steps of at most 64 groups.
+
+    A task gives one row, and what is left for the driver is one row of as many
+    numbers as a list has (dims * dims at most).
+    """
+    as_number = int if kind.startswith("decimal") else float
+    arrow = pa.decimal128(38, 0) if as_number is int else pa.float64()
+
+    def row(of: int, values: np.ndarray):
+        return [pa.array([of], pa.int32()), pa.array([[as_number(v) for v in values.tolist()]], pa.list_(arrow))]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        yield pa.RecordBatch.from_arrays(row(TaskContext.get().partitionId(), part(batches)), names=["of", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = 0
+        for values in table.column("sums").to_pylist():
+            total = np.array([as_number(v) for v in values], object if as_number is int else float) + total
+        return pa.table(row(table.column("of")[0].as_py(), total), names=["of", "sums"])
+
+    schema = f"of int, sums array<{kind}>"
+    sums = fit.select("x").mapInArrow(first, schema)
+    for groups in (64, 1):
+        sums = sums.groupBy(F.pmod("of", F.lit(groups)).alias("group")).applyInArrow(add, schema)
+    return [as_number(v) for v in sums.first()["sums"]]
+
+
+def _sums(fit: DataFrame, dims: int, centre: np.ndarray | None) -> tuple[int, list[int]]:
+    """Row count and exact column sums, or the exact products (upper triangle, by rows) of columns centred on ``centre``."""
+    upper = np.triu_indices(dims)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        n, total = 0, np.zeros(dims if centre is None else len(upper[0]), object)
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 x = matrix(b.column("x").slice(at, 4096), dims)
@@ -149,50 +181,43 @@ def _sums(fit: DataFrame, dims: int, centre: np.ndarray | None) -> tuple[int, li
                 most = int(np.abs(y).max(initial=0))
                 exact = most * most * max(1, len(y)) < 1 << 53  # then products in double are exact
                 y = y.astype(float if exact else object)
-                product = y.T @ y
+                product = (y.T @ y)[upper]
                 total += product.astype(np.int64) if exact else product
-        flat = total.reshape(-1).tolist()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(-1, len(flat)), pa.int32()), pa.array([n, *map(int, flat)], pa.decimal128(38, 0))], names=["at", "value"])
+        return np.concatenate(([n], total)).astype(object)
 
-    found = fit.select("x").mapInArrow(part, "at int, value decimal(38,0)").groupBy("at").agg(F.sum("value").alias("value"))
-    values = {r["at"]: int(r["value"]) for r in found.collect()}  # dims * dims numbers
-    flat = [values[k] for k in range(len(values) - 1)]
-    return values[-1], [flat[k:k + dims] for k in range(0, len(flat), dims)]
+    n, *values = _added(fit, "decimal(38,0)", part)
+    return n, values
 
 
 def fit_whitening(fit: DataFrame, dims: int, components: int) -> Whitening:
     """Fit on the rows of ``fit`` (column ``x``, integers; at least one row)."""
-    n, (sums,) = _sums(fit, dims, None)
+    n, sums = _sums(fit, dims, None)
     centre = [(2 * s + n) // (2 * n) for s in sums]  # the integers next to the means
     rest = [s - n * c for s, c in zip(sums, centre)]
     _, products = _sums(fit, dims, np.array(centre, np.int64))
-    # n^2 times the covariance, exact; one rounding each
-    covariance = np.array([[(n * products[i][j] - rest[i] * rest[j]) / (n * n) for j in range(dims)] for i in range(dims)], float)
+    covariance, trace = np.zeros((dims, dims)), 0
+    for i, j, product in zip(*(k.tolist() for k in np.triu_indices(dims)), products):
+        exact = n * product - rest[i] * rest[j]  # n^2 times the covariance
+        covariance[i, j] = covariance[j, i] = exact / (n * n)
+        trace += exact if i == j else 0
     values, vectors = eigen(covariance)
     values, vectors = values[:components], vectors[:, :components]
-    trace = sum(n * products[i][i] - rest[i] * rest[i] for i in range(dims)) / (n * n)
-    return Whitening(n, dims, np.array(centre, np.int64), np.array(rest, np.int64), values, vectors / np.sqrt(values), trace)
+    return Whitening(n, dims, np.array(centre, np.int64), np.array(rest, np.int64), values, vectors / np.sqrt(values), trace / (n * n))
 
 
 def identity_error(fit: DataFrame, shared) -> float:
     """Largest absolute entry of the whitened rows' covariance minus the identity, over ``fit``."""
     k, dims = len(shared.value.values), shared.value.dims
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros((k + 1, k))
         for b in batches:
             w = shared.value.whiten(matrix(b.column("x"), dims))
             total[:k] += w.T @ w
             total[k] += w.sum(0)
-        flat = total.reshape(-1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["at", "value"])
-
-    found = fit.select("x").mapInArrow(part, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
-    flat = np.zeros((k + 1) * k)
-    for r in found.collect():  # at most (components + 1) * components numbers
-        flat[r["at"]] = r["value"]
-    total, n = flat.reshape(k + 1, k), shared.value.n
+        return total.reshape(-1)
+
+    total, n = np.array(_added(fit, "double", part)).reshape(k + 1, k), shared.value.n
     mean = total[k] / n  # the rows are centred: this is rounding alone
     return float(np.abs(total[:k] / n - np.outer(mean, mean) - np.eye(k)).max())
 
