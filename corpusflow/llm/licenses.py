@@ -1,126 +1,29 @@
 """License scans: ordered signature rules behind a keyword prefilter, with priorities and containment.
 
-Signatures are regular expressions over the lower-cased text, made for each
-license family from its names, its identifier and its address.  One
-Aho-Corasick pass over the text tells which keywords occur; only their
-signatures are tried.  Detections are ordered by priority; one whose interval
-lies within that of a detection of higher priority (or of the same priority
-and longer) is suppressed.
+Signatures (``license_rules``) are hand-written regular expressions over the
+lower-cased text: tags, sentences of the legal texts, addresses, notices,
+titles and fields.  One Aho-Corasick pass over the text tells which keywords
+occur; only the signatures whose keywords all do are tried.  Detections are
+ordered by priority; one whose interval lies within that of a detection of
+higher priority (or of the same priority and longer) is suppressed.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import kept, map_texts, pick
+from .license_rules import Signature, signatures
 
 #: Fixed by the contract: base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: label -> names of the license (with optional words in brackets), its identifiers, its address.
-FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
-    "mit": (("mit", "expat", "x11"), ("mit", "x11", "mit-0"), "opensource.org/licenses/mit"),
-    "apache": (("apache", "asl"), ("apache-2.0", "apache-1.1", "apache-1.0"), "apache.org/licenses"),
-    "gpl": (("gnu general public", "gnu gpl", "gpl"), ("gpl-2.0", "gpl-3.0", "gpl-1.0"), "gnu.org/licenses/gpl"),
-    "lgpl": (("gnu lesser general public", "gnu library general public", "lgpl"), ("lgpl-2.0", "lgpl-2.1", "lgpl-3.0"), "gnu.org/licenses/lgpl"),
-    "agpl": (("gnu affero general public", "affero general public", "agpl"), ("agpl-1.0", "agpl-3.0"), "gnu.org/licenses/agpl"),
-    "gfdl": (("gnu free documentation", "gfdl"), ("gfdl-1.2", "gfdl-1.3"), "gnu.org/licenses/fdl"),
-    "bsd": (("bsd", "berkeley software distribution", "3 clause bsd", "2 clause bsd"), ("bsd-2-clause", "bsd-3-clause", "0bsd"), "opensource.org/licenses/bsd"),
-    "mpl": (("mozilla public", "mpl"), ("mpl-1.1", "mpl-2.0"), "mozilla.org/mpl"),
-    "epl": (("eclipse public", "epl"), ("epl-1.0", "epl-2.0"), "eclipse.org/legal/epl"),
-    "cddl": (("common development and distribution", "cddl"), ("cddl-1.0", "cddl-1.1"), "opensource.org/licenses/cddl"),
-    "cpl": (("common public", "ibm public"), ("cpl-1.0", "ipl-1.0"), "opensource.org/licenses/cpl"),
-    "isc": (("isc", "internet systems consortium"), ("isc",), "opensource.org/licenses/isc"),
-    "zlib": (("zlib", "zlib libpng"), ("zlib", "libpng-2.0"), "zlib.net/zlib_license"),
-    "boost": (("boost software", "boost"), ("bsl-1.0",), "boost.org/license"),
-    "artistic": (("artistic", "perl artistic"), ("artistic-1.0", "artistic-2.0"), "opensource.org/licenses/artistic"),
-    "unlicense": (("unlicense",), ("unlicense",), "unlicense.org"),
-    "wtfpl": (("wtfpl", "do what the fuck you want to public"), ("wtfpl",), "wtfpl.net"),
-    "cc0": (("cc0", "creative commons zero"), ("cc0-1.0",), "creativecommons.org/publicdomain/zero"),
-    "cc-by": (("creative commons attribution", "cc by"), ("cc-by-3.0", "cc-by-4.0"), "creativecommons.org/licenses/by/"),
-    "cc-by-sa": (("creative commons attribution sharealike", "creative commons attribution share alike", "cc by sa"), ("cc-by-sa-3.0", "cc-by-sa-4.0"), "creativecommons.org/licenses/by-sa/"),
-    "cc-by-nc": (("creative commons attribution noncommercial", "creative commons attribution non commercial", "cc by nc"), ("cc-by-nc-3.0", "cc-by-nc-4.0"), "creativecommons.org/licenses/by-nc/"),
-    "cc-by-nd": (("creative commons attribution noderivs", "creative commons attribution noderivatives", "cc by nd"), ("cc-by-nd-3.0", "cc-by-nd-4.0"), "creativecommons.org/licenses/by-nd/"),
-    "eupl": (("european union public", "eupl"), ("eupl-1.1", "eupl-1.2"), "joinup.ec.europa.eu/software/page/eupl"),
-    "cecill": (("cecill", "cecill free software"), ("cecill-2.0", "cecill-2.1"), "cecill.info/licences"),
-    "psf": (("python software foundation", "psf", "python"), ("psf-2.0", "python-2.0"), "python.org/psf/license"),
-    "php": (("php",), ("php-3.0", "php-3.01"), "php.net/license"),
-    "ruby": (("ruby",), ("ruby",), "ruby-lang.org/en/about/license"),
-    "openssl": (("openssl", "ssleay"), ("openssl",), "openssl.org/source/license"),
-    "ofl": (("sil open font", "open font", "ofl"), ("ofl-1.0", "ofl-1.1"), "scripts.sil.org/ofl"),
-    "odbl": (("open database", "odbl", "open data commons open database"), ("odbl-1.0",), "opendatacommons.org/licenses/odbl"),
-    "pddl": (("public domain dedication and", "pddl"), ("pddl-1.0",), "opendatacommons.org/licenses/pddl"),
-    "ms-pl": (("microsoft public", "ms pl"), ("ms-pl",), "opensource.org/licenses/ms-pl"),
-    "ms-rl": (("microsoft reciprocal", "ms rl"), ("ms-rl",), "opensource.org/licenses/ms-rl"),
-    "sspl": (("server side public", "sspl"), ("sspl-1.0",), "mongodb.com/licensing/server-side-public-license"),
-    "busl": (("business source",), ("busl-1.1",), "mariadb.com/bsl"),
-    "postgresql": (("postgresql",), ("postgresql",), "postgresql.org/about/licence"),
-    "vim": (("vim", "charityware"), ("vim",), "vimdoc.sourceforge.net/htmldoc/uganda"),
-    "afl": (("academic free", "afl"), ("afl-2.1", "afl-3.0"), "opensource.org/licenses/afl"),
-    "osl": (("open software", "osl"), ("osl-2.1", "osl-3.0"), "opensource.org/licenses/osl"),
-    "ncsa": (("university of illinois ncsa open source", "ncsa open source"), ("ncsa",), "otm.illinois.edu/uiuc_openSource"),
-    "w3c": (("w3c software", "w3c"), ("w3c",), "w3.org/consortium/legal"),
-    "upl": (("universal permissive", "upl"), ("upl-1.0",), "oss.oracle.com/licenses/upl"),
-    "beerware": (("beerware", "beer ware"), ("beerware",), "people.freebsd.org/~phk"),
-    "mulan": (("mulan permissive software", "mulan psl"), ("mulanpsl-1.0", "mulanpsl-2.0"), "license.coscl.org.cn/mulanpsl"),
-    "fair": (("fair", "fair source"), ("fair",), "fairlicense.org"),
-}
-#: Rules that belong to no family: label, expression, keyword.
-SINGLE = (
-    ("mit", r"permission is hereby granted,? free of charge,? to any person obtaining a copy", "hereby granted"),
-    ("bsd", r"redistribution and use in source and binary forms,? with or without modification", "redistribution and use"),
-    ("isc", r"permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose", "permission to use"),
-    ("zlib", r"this software is provided ['\"]?as-is['\"]?,? without any express or implied warranty", "as-is"),
-    ("gpl", r"free software foundation;? either version [0-9.]+", "free software foundation"),
-    ("apache", r"licensed to the apache software foundation", "apache software"),
-    ("mpl", r"subject to the terms of the mozilla public license", "mozilla public"),
-    ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", "public domain"),
-    ("proprietary", r"all rights reserved", "all rights"),
-    ("proprietary", r"proprietary and confidential", "confidential"),
-)
-
-
-@dataclass(frozen=True)
-class Signature:
-    priority: int  # higher goes first
-    confidence: float
-    label: str
-    pattern: re.Pattern[str]
-    keyword: str
-
-
-def _spaced(words: str) -> str:
-    return r"[\s\W_]+".join(map(re.escape, words.split()))
-
-
-def signatures() -> list[Signature]:
-    """All rules in order: explicit tags, addresses, grants, titles with versions, plain titles, bare mentions."""
-    out = [Signature(5, 0.95, label, re.compile(p), key) for label, p, key in SINGLE]
-    edge, stop = r"(?<![a-z0-9])", r"(?![a-z0-9])"
-    for label, (names, tags, address) in FAMILIES.items():
-        for tag in tags:
-            out.append(Signature(6, 1.0, label, re.compile(
-                rf"spdx-license-identifier:\s*{re.escape(tag)}(?:-only|-or-later|\+)?(?![a-z0-9.-])"), tag))
-        out.append(Signature(5, 0.95, label, re.compile(rf"https?://(?:www\.)?{re.escape(address.lower())}"), address.lower()))
-        for name in names:
-            n, key = _spaced(name), max(name.split(), key=len)
-            lic = r"(?:[\s\W_]+licen[cs]e)"
-            version = r"(?:[\s,]+(?:version|v\.?)?\s*[0-9]+(?:\.[0-9]+)*)"
-            out += [
-                Signature(4, 0.9, label, re.compile(rf"{edge}(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of the )?{n}{lic}?{version}?{stop}"), key),
-                Signature(3, 0.8, label, re.compile(rf"{edge}{n}{lic}{version}{stop}"), key),
-                Signature(2, 0.7, label, re.compile(rf"{edge}{n}{lic}{stop}"), key),
-                Signature(1, 0.5, label, re.compile(rf"{edge}licen[cs]e\s*[:=]\s*[\"']?{n}{stop}"), key),
-            ]
-    return out
-
-
 class Scanner:
-    """Signatures by keyword, and the automaton that gates them."""
+    """Signatures with their keywords, and the automaton that gates them."""
 
     def __init__(self):
         import ahocorasick
@@ -128,24 +31,18 @@ class Scanner:
         self.rules = signatures()
         self.base = [(re.compile(rb"(?<![0-9a-z\x80-\xff])" + rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+".join(
             w.encode() for w in phrase.split()) + rb"(?![0-9a-z\x80-\xff])"), label, phrase.split()[-1]) for phrase, label in BASE]
-        by: dict[str, list[int]] = {}
-        for k, r in enumerate(self.rules):
-            by.setdefault(r.keyword, []).append(k)
-        by.setdefault("license", [])
         self.gate = ahocorasick.Automaton()
-        for word, rules in by.items():
-            self.gate.add_word(word, (word, rules))
+        for word in {"license", *(k for r in self.rules for k in r.keywords)}:
+            self.gate.add_word(word, word)
         self.gate.make_automaton()
 
-    def detections(self, low: str, on: set[int]) -> list[tuple[Signature, int, int]]:
-        """What the gated rules find, after suppression, in order of priority."""
-        found = [(self.rules[k], m.start(), m.end()) for k in sorted(on) for m in self.rules[k].pattern.finditer(low)]
+    def detections(self, low: str, seen: set[str]) -> list[tuple[Signature, int, int]]:
+        """What the rules find whose keywords are all in ``seen``, after suppression, in order of priority."""
+        found = [(r, m.start(), m.end()) for r in self.rules if seen.issuperset(r.keywords) for m in r.pattern.finditer(low)]
         found.sort(key=lambda d: (-d[0].priority, d[1] - d[2], d[1], d[0].label))
         left: list[tuple[Signature, int, int]] = []
         starts: list[int] = []  # intervals of `left` that no other contains, by start
         ends: list[int] = []
-        from bisect import bisect_right
-
         for rule, a, b in found:
             k = bisect_right(starts, a)
             if k and ends[k - 1] >= b:
@@ -172,7 +69,7 @@ def scan(text: str, scanner: Scanner) -> tuple:
     word = _WORD[np.frombuffer(low, np.uint8)]
     begins = np.flatnonzero(word & ~np.concatenate(([False], word[:-1]))) if len(word) else np.empty(0, np.int64)
     chars = low.decode("utf-8", "surrogatepass")
-    seen = {w: rules for _, (w, rules) in scanner.gate.iter(chars)}
+    seen = {w for _, w in scanner.gate.iter(chars)}
     places, base = [], set()
     if "license" in seen:
         for pattern, label, _ in scanner.base:
@@ -180,7 +77,7 @@ def scan(text: str, scanner: Scanner) -> tuple:
             if at:
                 base.add(label)
                 places += np.searchsorted(begins, at).tolist()
-    found = scanner.detections(chars, {k for rules in seen.values() for k in rules}) if seen else []
+    found = scanner.detections(chars, seen) if seen else []
     labels = base | {r.label for r, _, _ in found}
     score = max([r.confidence for r, _, _ in found] + [0.7] * bool(base), default=0.0)
     return (len(begins), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),

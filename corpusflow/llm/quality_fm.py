@@ -182,8 +182,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7,
               **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least ``cut``."""
-    score = Scorer(docs, train(docs, labels, id_col=id_col, text_col=text_col, **options))
+    """The rows of ``docs``, all columns, whose text scores at least ``cut``.
+
+    Null text counts as empty; rows with a null id are judged like any other;
+    repeated rows stay or go together; an empty table gives an empty result.
+    Without training labels of both classes there is nothing to judge by, and
+    all rows stay.
+    """
+    model = train(docs, labels, id_col=id_col, text_col=text_col, **options)
+    if not model.v.any():
+        return docs
+    score = Scorer(docs, model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,14 +15,14 @@ import hashlib
 import json
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import kept, map_texts, pick, positional
+from .common import kept, map_texts, pick, positional, slices
 
 #: Fixed by the contract: keywords, patterns and least lengths of the base kinds, in order of listing.
 BASE_KINDS = ("assign", "access", "hex")
@@ -57,11 +57,11 @@ def iban(found: bytes) -> bool:
 
 
 def web_token(found: bytes) -> bool:
-    """The first part is base64url JSON that names an algorithm."""
+    """The first part is base64url JSON that names an algorithm (JSON nested deeper than Python reads is none)."""
     head = found.split(b".")[0]
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, RecursionError):
         return False
 
 
@@ -102,9 +102,9 @@ def key_end(data: bytes, at: int) -> int:
 RULES = (
     Rule("forge", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), crc_suffix),
     Rule("package", ("npm_",), re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), crc_suffix),
-    Rule("webtoken", ("eyj",), re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), web_token),
+    Rule("webtoken", ("eyj",), re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"), web_token),
     Rule("private", ("-----begin ",), re.compile(_PRIVATE), _always, key_end),
-    Rule("chat", ("xoxb-", "xoxp-", "xoxa-", "xoxr-"), re.compile(rb"xox[bpar]-[0-9]{8,}-[A-Za-z0-9-]{10,}"), _always),
+    Rule("chat", ("xoxb-", "xoxp-", "xoxa-", "xoxr-"), re.compile(rb"xox[bpar]-[0-9]{8,}+-[A-Za-z0-9-]{10,}+"), _always),
 )
 #: Numbers have no keyword; runs of digits are found from the byte classes and tried here.
 CARD = re.compile(rb"(?<![0-9A-Za-z])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])")
@@ -144,7 +144,9 @@ def scan(text: str, machine) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, is a base span) in code points, by start, then kind in order of listing.
 
     Base kinds are leftmost non-overlapping matches of their expression; those
-    that are too short are dropped but still use up their text.
+    that are too short are dropped but still use up their text.  The other
+    rules are not tried inside their own last match, so each byte is read a
+    bounded number of times by each rule.
     """
     data = text.encode("utf-8", "surrogatepass")
     low = data.lower()  # bytes: changes A-Z only
@@ -161,10 +163,11 @@ def scan(text: str, machine) -> list[tuple[str, int, int, bool]]:
                     after[rule] = m.end()
                     if m.end() - m.start(2 if rule == "assign" else 0) >= LEAST[rule]:
                         found.append((rule, m.start(), m.end(), True))
-            else:
+            elif start >= after.get(rule.kind, 0):
                 m = rule.pattern.match(data, start)
                 if m and rule.check(m.group()):
-                    found.append((rule.kind, m.start(), rule.end(data, m.end()), False))
+                    after[rule.kind] = rule.end(data, m.end())
+                    found.append((rule.kind, m.start(), after[rule.kind], False))
     raw = np.frombuffer(data, np.uint8)
     found += [("hex", a, b, True) for a, b in _runs(raw, _HEX, LEAST["hex"])]
     tried = 0
@@ -214,21 +217,29 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span of the text replaced by ``mark``; other columns and null texts stay as they are.
 
-    Overlapping spans are replaced as one.
+    Overlapping spans are replaced as one.  An empty table gives an empty result.
     """
-    @F.udf("string")
-    def clean(text):
-        if text is None:
-            return None
-        out, at = [], 0
-        for _, a, b, _base in scan(text, kept("secrets", automaton)):
-            if b <= at:
-                continue
-            if a >= at:
-                out += [text[at:a], mark]
-            at = b
-        return "".join([*out, text[at:]])
-
     names = docs.columns
     k = names.index(text_col)
-    return positional(docs).withColumn(f"_in{k}", clean(F.col(f"_in{k}"))).toDF(*names)
+    rows = positional(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                text = part.column(k)
+                new = pa.array([None if t is None else clean(t, mark) for t in text.to_pylist()], text.type)
+                yield part.set_column(k, part.schema.field(k), new)
+
+    return rows.mapInArrow(run, rows.schema).toDF(*names)
+
+
+def clean(text: str, mark: str) -> str:
+    """``text`` with its spans replaced by ``mark``."""
+    out, at = [], 0
+    for _, a, b, _base in scan(text, kept("secrets", automaton)):
+        if b <= at:
+            continue
+        if a >= at:
+            out += [text[at:a], mark]
+        at = b
+    return "".join([*out, text[at:]])

@@ -1,5 +1,6 @@
 """Small tables with nulls, empty and very long texts, ties, repeated rows and clashing column names."""
 
+import base64
 import random
 
 from pyspark.sql import functions as F
@@ -27,4 +28,6 @@ def odd_texts():
     """(id, text): the cases every operator must survive."""
     base = prose(1, 60)
     return [(1, base), (2, base), (3, None), (4, ""), (5, " \n\t "), (6, prose(2, 20000)), (7, "ab " * 3000), (7, "ab " * 3000),
+            (11, "x eyJ" + base64.b64encode(b'{"a":' * 20_000).decode().rstrip("=")[3:] + ".e30.sig y"),  # JSON nested deeper than Python reads
+            (12, "the mit license" + "\n" * 30_000), (13, "gnu general public license" + " " * 8_000 + "version"),
             (None, prose(3, 30)), (None, None), (8, "Ünïcödé ß 漢字 \U0001f600 \x00 \x85   x"), (9, "one"), (10, "one two three four five")]

@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 
+import pytest
 from helpers import clashing, documents, odd_texts
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,3 +93,21 @@ def test_redact(spark):
     assert out.columns == docs.columns and out.count() == docs.count()
     got = {r["doc_id"]: r["text"] for r in pick(out, doc_id="doc_id", text="text").collect()}
     assert got[30] == "é [secret] z" and got[31] == "[secret]" and got[3] is None and got[9] == "one"
+
+
+def nested(levels):
+    return "eyJ" + base64.b64encode(b'{"a":' * levels).decode().rstrip("=")[3:] + ".e30.sig"
+
+
+HOSTILE = {"deep": nested(20_000), "deeper": nested(200_000), "heads": "eyJ" * 300_000, "heads and dots": "eyJa." * 200_000, "chat": "xoxb-00000000-" * 70_000,
+           "begins": "-----BEGIN " * 90_000, "begin words": "-----BEGIN " + "A " * 400_000, "key lines": "-----BEGIN PRIVATE KEY-----" + "\n" * 500_000 + "?",
+           "key blanks": "-----BEGIN PRIVATE KEY-----" + " " * 500_000 + "?", "cards": "4111 " * 200_000, "ibans": "GB82WEST" * 100_000,
+           "assign": "password" * 100_000, "assign blanks": "password" + " " * 10**6, "access": "AKIA" * 200_000}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_ends_on_any_text(name):
+    t0 = time.process_time()
+    spans = S.scan(HOSTILE[name], MACHINE)
+    assert time.process_time() - t0 < 20
+    assert not [s for s in spans if s[0] == "webtoken"]
