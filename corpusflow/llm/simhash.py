@@ -35,6 +35,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, bits
 GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, a generator polynomial of the code
 #: Fingerprints of one key that a task compares with each other; a key that has more is cut into blocks.
 BLOCK = 50_000
+#: Fingerprints whose keys one task makes (some hundred keys each).
+KEYED = 20_000
 #: Keys with more are found from the fingerprints whose hash is a multiple of this (which keys are cut changes no result).
 SAMPLE = 64
 #: Ids (8 bytes each) that are still broadcast to remove documents; more are joined by shuffle.
@@ -215,6 +217,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, sam
         if held:
             yield out(*(np.concatenate(x) for x in zip(*held)))
 
+    spread_over = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // KEYED))
+    distinct = distinct.repartition(spread_over, "fp")  # a row makes up to 108
     few = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(sample)) == 0).mapInArrow(keyed, "key bigint, fp bigint, node bigint")
     for r in few.groupBy("key").count().where(F.col("count") * sample > block).collect():  # a key per `block` rows at most
         blocks[r["key"]] = min(-(-r["count"] * sample // block), 1 << 18)
@@ -224,17 +228,34 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, sam
 
 
 def least_of_component(fps: DataFrame, max_bits: int) -> DataFrame:
-    """(fp, least): for each fingerprint of ``fps`` (fp, key), the least ``key`` of its component.
+    """(fp, least, n): for each fingerprint of ``fps`` (fp, key), the least ``key`` of its component and its rows.
 
     The fingerprints are the nodes, so rows of one id are linked only if their
-    fingerprints are.
+    fingerprints are.  Null keys count as none: ``least`` is null in a component
+    without any other.  The result is stored.
     """
-    distinct = checkpoint(fps.groupBy("fp").agg(F.min("key").alias("own")))
+    distinct = checkpoint(fps.groupBy("fp").agg(F.min("key").alias("own"), F.count(F.lit(1)).alias("n")))
     found = components(links(distinct.select("fp", F.col("fp").alias("node")), max_bits)).withColumnRenamed("node", "fp")
     linked = checkpoint(distinct.join(found, "fp"))
     least = linked.groupBy("component").agg(F.min("own").alias("least"))
-    linked = linked.join(least, "component").select("fp", "least")
-    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "own").alias("least"))
+    linked = linked.join(least, "component").select("fp", F.lit(True).alias("_linked"), "least")
+    return checkpoint(distinct.join(linked, "fp", "left").select(
+        "fp", F.when(F.col("_linked"), F.col("least")).otherwise(F.col("own")).alias("least"), "n"))
+
+
+def with_least(fps: DataFrame, known: DataFrame) -> DataFrame:
+    """``fps`` with the ``least`` of its fingerprint, from ``known`` (fp, least, n).
+
+    A fingerprint that a large share of all rows has would land in one task.
+    Those with more rows than half a partition's share are at most twice as many
+    as there are partitions, so they are broadcast and their rows stay where
+    they are; only the others are shuffled.
+    """
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = (known.agg(F.sum("n")).first()[0] or 0) // (2 * parts) + 1
+    hot = F.broadcast(known.where(F.col("n") > share).select("fp", "least"))  # at most 2 * parts rows
+    cold = known.where(F.col("n") <= share).select("fp", "least")
+    return fps.join(hot, "fp").unionByName(fps.join(hot, "fp", "left_anti").join(cold, "fp"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -244,39 +265,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Documents whose fingerprints differ in at most ``max_bits`` bits are linked;
     texts without a word all have fingerprint 0 and are linked like any other.
     Copies are grouped by fingerprint before the search.  Ids are integers; rows
-    without one get a fingerprint, take part in no group and have a null
-    component.  Repeated rows give repeated rows; rows that repeat an id with
-    unlike texts are not linked by it; an empty table gives an empty result.
+    without one link like any other but give no smallest id, so a component
+    without ids is null.  Repeated rows give repeated rows; rows that repeat an
+    id with unlike texts are not linked by it; an empty table gives an empty
+    result.
     """
     fps = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    with_id, without = fps.where(F.col("id").isNotNull()), fps.where(F.col("id").isNull())
-    known = least_of_component(with_id.select("fp", F.col("id").cast("bigint").alias("key")), max_bits).withColumnRenamed("least", "component")
-    joined = with_id.join(known, "fp", "left").unionByName(without.withColumn("component", F.lit(None).cast("bigint")))
-    return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                         F.col("component").alias("component_id"))
+    known = least_of_component(fps.select("fp", F.col("id").cast("bigint").alias("key")), max_bits)
+    return with_least(fps, known).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                                         F.col("least").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs``, all columns, with one row of each component: one with its smallest id (rows without an id stay).
+    """``docs``, all columns, with one row of each component: one with its smallest id.
 
     Rows are told apart by id and a digest of the text; of the texts with the
-    smallest id the one with the least digest stays.  Only ids and digests are
-    shuffled while few documents go; rows that repeat both are looked at again,
-    to keep one of them.
+    smallest id the one with the least digest stays.  Rows without an id come
+    after all others, so a component of such rows alone keeps one of them.  Only
+    ids and digests are shuffled while few documents go; rows that repeat both
+    are looked at again, to keep one of them.  Null texts count as empty, and an
+    empty table gives an empty result.
     """
     rows, own = positional(docs), f"_in{docs.columns.index(id_col)}"
     digest = F.xxhash64(f"_in{docs.columns.index(text_col)}")  # equal digests matter only within an id
-    keyed = rows.where(F.col(own).isNotNull()).select(
-        F.struct(F.col(own).alias("id"), digest.alias("digest")).alias("key"), F.col(f"_in{docs.columns.index(text_col)}").alias("text"))
+    key = F.struct(F.col(own).isNull().alias("none"), F.col(own).alias("id"), digest.alias("digest"))
+    keyed = rows.select(key.alias("key"), F.col(f"_in{docs.columns.index(text_col)}").alias("text"))
     fps = checkpoint(fingerprints(keyed, id_col="key", text_col="text", shingle=shingle).withColumnRenamed("id", "key"))
-    found = fps.join(least_of_component(fps, max_bits), "fp").select(
-        F.col("key.id").alias("_id"), F.col("key.digest").alias("_digest"), (F.col("key") == F.col("least")).alias("_first"))
+    found = with_least(fps, least_of_component(fps, max_bits)).select(
+        F.col("key.id").alias("_id"), F.col("key.digest").alias("_digest"), F.col("key").eqNullSafe(F.col("least")).alias("_first"))
     found = checkpoint(found.groupBy("_id", "_digest", "_first").count())
     gone = checkpoint(found.where("not _first").select("_id", "_digest"))
     again = checkpoint(found.where("_first and count > 1").select("_id", "_digest"))
     gone_, again_ = (small(x, BROADCAST_ROWS // 2) for x in (gone, again))  # two numbers each
-    on = [F.col(own) == F.col("_id"), digest == F.col("_digest")]
+    on = [F.col(own).eqNullSafe(F.col("_id")), digest == F.col("_digest")]
     left = rows.join(gone_, on, "left_anti")
     if not again.isEmpty():
         one = rows.join(again_, on, "left_semi").withColumn("_digest", digest).dropDuplicates([own, "_digest"]).drop("_digest")
