@@ -164,7 +164,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", st
     names = list(rules())
     voted = checkpoint(votes(counts(pick(docs, doc=id_col, text=text_col), "doc")))
     voted = voted.withColumn("slots", slots(names))
-    patterns = checkpoint(voted.groupBy("slots").agg(F.count(F.lit(1)).alias("n")).coalesce(1))
+    patterns = checkpoint(voted.groupBy("slots").agg(F.count(F.lit(1)).alias("n")).repartition(1))  # 3^10 rows at most, counted before
     odds = fit(patterns, names, steps)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (voted.withColumn("posterior", _posterior(odds))

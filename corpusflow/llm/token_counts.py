@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import from_file_bytes, kept, pick, slices
+from .common import checkpoint, from_file_bytes, kept, pick, slices, small
 
 RUN = 64  # pre-tokens a leaf holds when it is made; a leaf of twice as many is split
+#: Rows of one id whose trees a task holds (about: an id with more is dealt out by chance), and ids with more that are broadcast.
+ROWS, BROADCAST_ROWS = 32, 1_000_000
 CACHE = 400_000
 CACHED_CHARS = 200
 
@@ -54,27 +56,69 @@ class PieceCounter:
 
 
 class TokenTree:
-    """Sums of characters and tokens over runs of pre-tokens; node k has children 2k and 2k + 1."""
+    """Sums of characters and tokens over runs of pre-tokens; node k has children 2k and 2k + 1.
+
+    Half of the leaves are left empty when the tree is made, evenly spread, so
+    that a run can be split next to where it stands: the runs of the smallest
+    subtree with room are then spread anew, and sums change in it and above.
+    """
 
     def __init__(self, text: str, counter: PieceCounter):
         self.text, self.counter = text, counter
         pieces = counter.cut.findall(text)
         sizes, counts = list(map(len, pieces)), counter.counts(pieces)
-        self.runs = [(sizes[k:k + RUN], counts[k:k + RUN]) for k in range(0, len(sizes), RUN)] or [([], [])]
         self.recut = len(text)  # characters cut and encoded so far
-        self._build()
+        self.summed = 0  # nodes whose sums were made
+        self._build([(sizes[k:k + RUN], counts[k:k + RUN]) for k in range(0, len(sizes), RUN)])
 
-    def _build(self) -> None:
+    def _build(self, runs: list[tuple[list[int], list[int]]]) -> None:
         n = 1
-        while n < len(self.runs):
+        while n < 2 * len(runs):
             n *= 2
         self.width = n
+        self.runs: list[tuple[list[int], list[int]]] = [([], [])] * n
         self.chars, self.tokens = [0] * (2 * n), [0] * (2 * n)
-        for k, (sizes, counts) in enumerate(self.runs):
-            self.chars[n + k], self.tokens[n + k] = sum(sizes), sum(counts)
-        for k in range(n - 1, 0, -1):
-            self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-            self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
+        self._spread(0, n, runs)
+
+    def _spread(self, begin: int, size: int, runs: list[tuple[list[int], list[int]]]) -> None:
+        """Deal ``runs`` out evenly over ``size`` leaves and sum them up."""
+        own: list[tuple[list[int], list[int]]] = [([], [])] * size
+        for k, run in enumerate(runs):
+            own[k * size // len(runs)] = run
+        self.runs[begin:begin + size] = own
+        self._sum(begin, begin + size - 1)
+
+    def _sum(self, first: int, last: int) -> None:
+        """The sums of leaves ``first`` to ``last`` and of what is above them."""
+        a, b = first + self.width, last + self.width
+        for k in range(a, b + 1):
+            sizes, counts = self.runs[k - self.width]
+            self.chars[k], self.tokens[k] = sum(sizes), sum(counts)
+        self.summed += b - a + 1
+        while a > 1:
+            a, b = a // 2, b // 2
+            for k in range(a, b + 1):
+                self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
+                self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
+            self.summed += b - a + 1
+
+    def _replace(self, first: int, last: int, runs: list[tuple[list[int], list[int]]]) -> None:
+        """Put ``runs`` in place of leaves ``first`` to ``last``."""
+        if len(runs) <= last - first + 1:
+            self.runs[first:last + 1] = runs + [([], [])] * (last - first + 1 - len(runs))
+            return self._sum(first, last)
+        size, level, levels = 1, 0, self.width.bit_length() - 1
+        while size < self.width:
+            size, level = 2 * size, level + 1
+            begin = first // size * size
+            if last >= begin + size:
+                continue
+            kept_before = [r for r in self.runs[begin:first] if r[0]]
+            kept_after = [r for r in self.runs[last + 1:begin + size] if r[0]]
+            n = len(kept_before) + len(runs) + len(kept_after)
+            if n <= size * (1 - level / (2 * levels)):  # full at the leaves, half full at the root
+                return self._spread(begin, size, kept_before + runs + kept_after)
+        self._build([r for r in self.runs[:first] if r[0]] + runs + [r for r in self.runs[last + 1:] if r[0]])
 
     @property
     def total(self) -> int:
@@ -131,20 +175,11 @@ class TokenTree:
         counts = self.counter.counts(pieces)
         head, tail = self.runs[first_run], self.runs[run]
         merged = (head[0][:first_k] + list(map(len, pieces)) + tail[0][k:], head[1][:first_k] + counts + tail[1][k:])
-        if run == first_run and len(merged[0]) <= 2 * RUN:
-            self.runs[run] = merged
-            node = self.width + run
-            self.chars[node], self.tokens[node] = sum(merged[0]), sum(merged[1])
-            while node > 1:
-                node //= 2
-                self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-                self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
-            return
-        parts = [(merged[0][i:i + RUN], merged[1][i:i + RUN]) for i in range(0, len(merged[0]), RUN)]
-        self.runs[first_run:run + 1] = parts
-        if not self.runs:
-            self.runs = [([], [])]
-        self._build()
+        if len(merged[0]) <= 2 * RUN:
+            parts = [merged] if merged[0] else []
+        else:
+            parts = [(merged[0][i:i + RUN], merged[1][i:i + RUN]) for i in range(0, len(merged[0]), RUN)]
+        self._replace(first_run, run, parts)
 
 
 def worker_counter(key: tuple, shared, pattern: str) -> PieceCounter:
@@ -170,18 +205,27 @@ def count_edited(docs: DataFrame, edits: DataFrame, tokenizer_path: str, pattern
     ``recut_chars`` counts the characters that edits made it cut and encode
     again; ``run_chars`` and ``run_tokens`` are the tree's leaves.
 
-    Documents and edits meet by id in sorted order: a task holds the tree of one
-    document (of all rows that repeat its id) and streams its edits.
+    Documents and edits meet by id in sorted order: a task holds the trees of
+    one id and streams its edits.  The rows of an id that has more than
+    ``ROWS`` are dealt out at random over as many groups as it takes, and its
+    edits go to each of them.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     d = pick(docs, id=id_col, text=text_col)
+    repeated = checkpoint(d.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ROWS)
+                          .select("id", F.ceil(F.col("n") / ROWS).cast("bigint").alias("groups")))
+    repeated = small(repeated, BROADCAST_ROWS)  # an id and a number each
     e = pick(edits, id=id_col, seq=seq_col, start=start_col, n_delete=delete_col, text=insert_col).where("id is not null")
     none = F.lit(0).cast("bigint")
-    salt = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
-    rows = (d.select("id", salt.alias("salt"), F.lit(-1).cast("bigint").alias("seq"), none.alias("start"), none.alias("n_delete"), "text", F.lit(False).alias("edit"))
-            .unionByName(e.select("id", F.lit(0).cast("bigint").alias("salt"), F.col("seq").cast("bigint"), F.col("start").cast("bigint"),
-                                  F.col("n_delete").cast("bigint"), "text", F.lit(True).alias("edit"))))
+    number = F.xxhash64(F.monotonically_increasing_id())
+    salt = F.when(F.col("id").isNull(), number).otherwise(F.pmod(number, F.coalesce("groups", F.lit(1).cast("bigint"))))
+    salts = F.explode(F.sequence(none, F.coalesce("groups", F.lit(1).cast("bigint")) - 1)).alias("salt")
+    rows = (d.join(repeated, "id", "left").select("id", salt.alias("salt"), F.lit(-1).cast("bigint").alias("seq"), none.alias("start"),
+                                                  none.alias("n_delete"), "text", F.lit(False).alias("edit"))
+            .unionByName(e.join(repeated, "id", "left").select(
+                "id", salts, F.col("seq").cast("bigint"), F.col("start").cast("bigint"), F.col("n_delete").cast("bigint"), "text",
+                F.lit(True).alias("edit"))))
     with open(tokenizer_path, "rb") as f:
         data = f.read()
     key, shared = ("counts", pattern, len(data), zlib.crc32(data)), spark.sparkContext.broadcast(data)  # a vocabulary file of a few MB
@@ -190,14 +234,14 @@ def count_edited(docs: DataFrame, edits: DataFrame, tokenizer_path: str, pattern
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_counter(key, shared, pattern)
-        trees: list[list] = []  # [tree, tokens before, edits] of the rows with the current id
-        current = None
+        trees: list[list] = []  # [tree, tokens before, edits] of the rows of the current group
+        current, group = None, None
         done: list[tuple] = []
 
         def close() -> None:
             for tree, before, n in trees:
                 done.append((current, n, len(tree.text), before, tree.total, tree.recut,
-                             [sum(s) for s, _ in tree.runs], [sum(c) for _, c in tree.runs]))
+                             [sum(s) for s, _ in tree.runs if s], [sum(c) for s, c in tree.runs if s]))
             trees.clear()
 
         def flush() -> pa.RecordBatch:
@@ -208,9 +252,9 @@ def count_edited(docs: DataFrame, edits: DataFrame, tokenizer_path: str, pattern
         for batch in batches:
             for part in slices(batch, 4 << 20):
                 for row in part.to_pylist():
-                    if row["id"] != current or row["id"] is None:
+                    if row["id"] is None or (row["id"], row["salt"]) != (current, group):
                         close()
-                        current = row["id"]
+                        current, group = row["id"], row["salt"]
                     if not row["edit"]:
                         tree = TokenTree(row["text"] or "", counter)
                         tree.recut = 0
@@ -225,5 +269,5 @@ def count_edited(docs: DataFrame, edits: DataFrame, tokenizer_path: str, pattern
         if done:
             yield flush()
 
-    met = rows.repartition("id", "salt").sortWithinPartitions("id", "edit", "seq", "start", "n_delete", "text")
-    return (met.select("id", "edit", "start", "n_delete", "text").mapInArrow(run, schema).withColumnRenamed("id", id_col))
+    met = rows.repartition("id", "salt").sortWithinPartitions("id", "salt", "edit", "seq", "start", "n_delete", "text")
+    return (met.select("id", "salt", "edit", "start", "n_delete", "text").mapInArrow(run, schema).withColumnRenamed("id", id_col))

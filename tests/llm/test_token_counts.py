@@ -41,6 +41,40 @@ def test_only_the_touched_region_is_cut_again():
     assert tree.recut < 50 * 60
 
 
+def test_an_edit_sums_only_its_path():
+    """Edits that cross runs, split and empty them make few sums, whatever the length of the text."""
+    counter, r = T.PieceCounter(PATH, P.PATTERN), random.Random(8)
+    for n in (2_000, 40_000):
+        tree = T.TokenTree(prose(6, n), counter)
+        tree.summed, edits = 0, 400
+        for _ in range(edits):
+            tree.edit(r.randrange(len(tree.text)), r.choice([0, 3, 900]), prose(r.randrange(99), r.choice([0, 1, 200])))
+        assert tree.summed < 120 * edits
+        assert tree.total == full(tree.text) and tree.tokens[1] == sum(map(sum, (c for _, c in tree.runs)))
+    tree = T.TokenTree("", counter)  # grows from nothing, at one place
+    for k in range(300):
+        tree.edit(0, 0, prose(k, 100) + " ")
+    assert tree.total == full(tree.text) and tree.width >= len([1 for s, _ in tree.runs if s])
+    tree.edit(0, len(tree.text), "")
+    assert tree.total == 0 and tree.text == ""
+
+
+def test_rows_of_a_hot_id_are_dealt_out(spark):
+    """Five hundred rows of one id: each is edited, and no group holds many of their trees."""
+    docs = [(1, prose(k % 3, 20)) for k in range(500)] + [(k, prose(k, 15)) for k in range(2, 40)] + [(None, "same text")] * 200
+    edits = [(1, 0, 3, 2, "new "), (1, 1, 0, 1, ""), (5, 0, 0, 0, "x ")]
+    e = spark.createDataFrame(edits, "doc_id bigint, seq bigint, start bigint, n_delete bigint, insert string")
+    rows = T.count_edited(documents(spark, docs).repartition(3), e, PATH, P.PATTERN).collect()
+
+    def edited(i, t):
+        for d, _, a, k, ins in edits:
+            if d == i:
+                t = t[:a] + ins + t[a + k:]
+        return i, sum(d == i for d, *_ in edits), full(t)
+
+    assert sorted(((r.doc_id, r.n_edits, r.n_tokens) for r in rows), key=str) == sorted((edited(i, t) for i, t in docs), key=str)
+
+
 def test_documents_and_edits(spark):
     docs = odd_texts()
     edits = [(1, 0, 5, 3, "new words"), (1, 1, 0, 0, "start "), (1, 2, 10**6, 5, " end"), (3, 0, 0, 0, "from null"),
