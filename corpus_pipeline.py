@@ -12,33 +12,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm import decontaminate, packing, quality_fm, secrets, simhash
+from corpusflow.llm.common import positional
 from corpusflow.llm.queries import vocabulary
 from corpusflow.session import ensure_checkpoint_dir
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score of 0.7 or more)."""
+    """Documents that the quality classifier accepts (score of 0.7 or more).
+
+    Null text counts as empty, rows without an id are judged like others, and
+    repeated rows stay or go together.  Without training labels of both classes
+    all documents stay.  No documents: none.
+    """
     return quality_fm.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates: that with the smallest id."""
+    """One document of each group of SimHash near-duplicates: that with the smallest id.
+
+    Null and empty texts are one group; rows without an id link like others and
+    come last in their group; of repeated rows one stays.  No documents: none.
+    """
     return simhash.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item.
+
+    Null and empty texts contain none and stay; rows are told apart by their
+    text, so null and repeated ids cost no clean row.  No items: all stay.
+    """
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced by a mark and ``n_chars`` counted anew."""
-    clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else clean
+    """All documents, with secrets in their texts replaced by a mark and ``n_chars`` counted anew.
+
+    Null texts stay null (``n_chars`` too); columns are found by exact name, so
+    others may differ in case alone.  Repeated rows stay.  No documents: none.
+    """
+    clean, names = secrets.redact(docs), docs.columns
+    if "n_chars" not in names:
+        return clean
+    rows, n = positional(clean), f"_in{names.index('n_chars')}"
+    return rows.withColumn(n, F.length(f"_in{names.index('text')}").cast(dict(rows.dtypes)[n])).toDF(*names)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 4,096 tokens."""
+    """Pieces of all documents with their places in sequences of 4,096 tokens.
+
+    Null and empty texts are one end token; null ids pass through; repeated rows
+    are packed each.  No documents: no pieces.
+    """
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
