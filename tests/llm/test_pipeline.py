@@ -9,12 +9,13 @@ import public_tokenizers as P
 import pytest
 import test_decontaminate
 import test_simhash
-from helpers import DOCS
+from helpers import DOCS, clashing, documents, odd_texts
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from corpusflow.llm import quality_fm, secrets
+from corpusflow.llm.common import pick
 from corpusflow.session import ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +73,24 @@ def test_stages_keep_columns_and_survive_empty_input(spark):
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
     assert spark.read.parquet(f"{SF}/documents.parquet").select(F.count("*")).first()[0] > 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, repeated rows, texts that are hard to scan, and columns whose names differ in case alone."""
+    docs = clashing(documents(spark, odd_texts())).select("*", *[F.lit("x").alias(c) for c in ("TEXT", "N_CHARS")])
+    folder = f"{ensure_checkpoint_dir(spark)}/odd-{uuid.uuid4().hex}"
+    names = docs.columns
+    os.makedirs(folder, exist_ok=True)
+    rows = docs.count()
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == names, name
+        kept[name] = pick(out, i="doc_id", t="text", n="n_chars").collect()
+    assert len(kept["secret scans"]) == rows and all(r.n == (None if r.t is None else len(r.t)) for r in kept["secret scans"])
+    assert len(kept["benchmark decontamination"]) == rows
+    assert len(kept["SimHash near-dedup"]) < rows
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sum(r.piece == 0 for r in packed) == rows
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs.limit(0), SF).collect()
