@@ -1,14 +1,18 @@
 """Exact cosine self-join inside windows, blocked so no task holds more than two blocks.
 
-Rows of a window are hashed into ``ceil(n / block_rows)`` blocks.  Each row is
-replicated once per block of its own window (an ``explode`` of a sequence, not
-a join), keyed by the unordered block pair it belongs to.  One Arrow group =
-one block pair = at most ``2 * block_rows`` vectors; numpy computes the tile of
-dot products in float64 and emits only pairs at or above the threshold.
-
-Work is quadratic inside a window by definition of the operator (the reference
-compares every pair of a two-day window); the blocking bounds memory per task
-and spreads a huge window over ``nb * (nb + 1) / 2`` tasks.  The approximate
+A window with more than ``block_rows`` vectors is cut into cells: each vector
+goes to the nearest of some pivots (rows of the window), and a cell that is
+still too large into blocks by a hash.  Two vectors of cells with pivots p and
+q are at an angle of at least angle(p, q) less the cells' radii, so block pairs
+whose least angle is over that of the threshold hold no pair and are never
+made.  Rows are replicated once per block pair that is left (a join with the
+table of block pairs).  One Arrow group = one block pair = at most ``2 *
+block_rows`` vectors; numpy computes the tile of dot products in float64 and
+emits only pairs at or above the threshold.
+
+Vectors that lie in clusters skip most block pairs; where nothing can be
+skipped the work stays quadratic inside a window (the reference compares every
+pair of a two-day window), spread over all block pairs.  The approximate
 alternative :func:`lsh_edges` trades exactness for sub-quadratic work.
 
 Output: ``window_id, src, dst, score`` with both directions and the self pair
@@ -17,13 +21,17 @@ Output: ``window_id, src, dst, score`` with both directions and the self pair
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.functions.vectors import dot
+from corpusflow.session import cut_lineage
 
 EDGE_SCHEMA = T.StructType([
     T.StructField("window_id", T.LongType()),
@@ -79,26 +87,125 @@ def _block_pair_edges(threshold: float, include_self: bool):
     return run
 
 
+#: Pivots of a window at most, and bytes of all pivots that are broadcast; windows beyond keep blocks by hash.
+PIVOTS, PIVOT_BYTES = 512, 64 << 20
+#: Slack of the angles against rounding.
+SLACK = 1e-6
+
+
+def _assign(shared):
+    """Cell (number of the nearest pivot of the window, -1 without pivots), angle to its pivot, and length of each vector."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            windows = b.column("window_id").to_numpy(zero_copy_only=False)
+            cell, angle = np.full(len(windows), -1, np.int32), np.full(len(windows), np.pi)
+            vec = b.column("vec")
+            norm = np.zeros(len(windows))
+            for w in np.unique(windows):
+                at = np.flatnonzero(windows == w)
+                x = np.stack([np.asarray(v, np.float64) for v in vec.take(pa.array(at)).to_pylist()])
+                norm[at] = np.linalg.norm(x, axis=1)
+                pivots = shared.value.get(int(w))
+                if pivots is not None:
+                    cos = (x @ pivots.T) / np.maximum(norm[at], 1e-300)[:, None]
+                    cell[at] = cos.argmax(axis=1)
+                    angle[at] = np.where(norm[at] > 0, np.arccos(np.clip(cos.max(axis=1), -1, 1)), 0.0)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("window_id", "id", "vec")), pa.array(cell), pa.array(angle), pa.array(norm)],
+                                             names=["window_id", "id", "vec", "cell", "angle", "norm"])
+    return run
+
+
+def _apart(vectors: np.ndarray, k: int) -> np.ndarray:
+    """``k`` of the unit vectors, each as far as can be from those before it."""
+    chosen, nearest = [0], vectors @ vectors[0]
+    while len(chosen) < min(k, len(vectors)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, vectors @ vectors[chosen[-1]])
+    return vectors[chosen]
+
+
+def _pivots(rows: DataFrame, sizes: DataFrame) -> dict[int, np.ndarray]:
+    """Unit pivots of each window that has more than one block; none if they are too many bytes.
+
+    Four times as many rows as there will be pivots are drawn by a hash of the
+    id, and those far apart are taken, so that most clusters have one.
+    """
+    wanted = sizes.where("nb > 1").withColumn("k", F.least("nb", F.lit(PIVOTS)))
+    total = wanted.agg(F.sum("k").alias("k"), F.max("bytes").alias("bytes")).first()
+    if not total["k"] or 4 * total["k"] * total["bytes"] > PIVOT_BYTES:
+        return {}
+    chosen = (rows.join(F.broadcast(wanted), "window_id").where(F.pmod(F.xxhash64("id", F.lit(11)), F.col("n")) < 4 * F.col("k"))
+              .select("window_id", "id", "vec", "k").orderBy("window_id", "id").collect())  # PIVOT_BYTES at most
+    out: dict[int, list[np.ndarray]] = {}
+    number = {int(r["window_id"]): r["k"] for r in chosen}
+    for r in chosen:
+        v = np.asarray(r["vec"], np.float64)
+        if np.linalg.norm(v) > 0:
+            out.setdefault(int(r["window_id"]), []).append(v / np.linalg.norm(v))
+    return {w: _apart(np.stack(v), number[w]) for w, v in out.items()}
+
+
+def block_pairs(cells: DataFrame, pivots: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """``window_id, b_lo, b_hi``: pairs of blocks that may hold a pair at the threshold.
+
+    ``cells`` is ``window_id, cell, k, radius, norm`` (a row per cell, ``k``
+    blocks each); block numbers are ``(cell + 1) << 24 | number``.
+    """
+    spark = cells.sparkSession
+    flat = [(w, i, p.tolist()) for w, ps in pivots.items() for i, p in enumerate(ps)]
+    pivot = spark.createDataFrame(flat, "window_id long, cell int, pivot array<double>")
+    c = cells.join(F.broadcast(pivot), ["window_id", "cell"], "left")
+    c = cut_lineage(c.select("window_id", "cell", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("number"), "radius", "norm", "pivot"))
+    c = c.select("window_id", (F.shiftleft((F.col("cell") + 1).cast("long"), 24) + F.col("number")).alias("blk"), "radius", "norm", "pivot")
+    x, y = c.repartition("window_id", "blk").alias("x"), c.alias("y")
+    if c.count() <= BROADCAST_BLOCKS:  # a block is some thousand vectors
+        y = F.broadcast(y)
+    between = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot("x.pivot", "y.pivot"))))
+    least = F.greatest(F.lit(0.0), between - F.col("x.radius") - F.col("y.radius") - SLACK)
+    can = F.col("x.norm") * F.col("y.norm") * F.cos(least) >= threshold - SLACK
+    met = x.join(y, (F.col("x.window_id") == F.col("y.window_id")) & (F.col("x.blk") <= F.col("y.blk")))
+    if threshold > 0:
+        met = met.where(F.coalesce(can, F.lit(True)))  # a cell without a pivot meets all
+    return met.select("x.window_id", F.col("x.blk").alias("b_lo"), F.col("y.blk").alias("b_hi"))
+
+
+#: Blocks whose table (pivot and three numbers each) is broadcast to find the pairs.
+BROADCAST_BLOCKS = 50_000
+
+
 def similarity_edges(df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "vector",
                      window_col: str | None = "window_id", block_rows: int = 2048,
-                     include_self: bool = True) -> DataFrame:
+                     include_self: bool = True, stats: dict | None = None) -> DataFrame:
     """All pairs (both directions, plus self) inside each window with cosine >= threshold.
 
     Vectors are expected to be unit length (cosine = dot product), as the
-    encoder output is.  ``id_col`` must be unique within a window.
+    encoder output is.  ``id_col`` must be unique within a window.  ``stats``
+    (optional dict) receives the block pairs that are made and that there are.
     """
     win = F.col(window_col).cast("long") if window_col else F.lit(0).cast("long")
     rows = df.select(win.alias("window_id"), F.col(id_col).cast("long").alias("id"),
                      F.col(vec_col).alias("vec"))
     # one row per window: its block count.  Bounded by the number of windows.
-    blocks = (rows.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"))
-              .select("window_id",
-                      F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("int").alias("nb")))
-    tagged = (rows.join(F.broadcast(blocks), "window_id")
-              .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-              .select("window_id", "id", "vec", "blk",
-                      F.least("blk", "other").alias("b_lo"), F.greatest("blk", "other").alias("b_hi")))
+    sizes = cut_lineage(rows.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), (F.max(F.size("vec")) * 8).alias("bytes"))
+                        .withColumn("nb", F.ceil(F.col("n") / F.lit(block_rows)).cast("int")))
+    if sizes.where("nb > 1").isEmpty():  # each window is one block
+        tagged = rows.select("*", F.lit(0).alias("blk"), F.lit(0).alias("b_lo"), F.lit(0).alias("b_hi"))
+    else:
+        pivots = _pivots(rows, sizes)
+        shared = df.sparkSession.sparkContext.broadcast(pivots)  # PIVOT_BYTES at most
+        schema = T.StructType(list(rows.schema.fields)).add("cell", T.IntegerType()).add("angle", T.DoubleType()).add("norm", T.DoubleType())
+        placed = cut_lineage(rows.mapInArrow(_assign(shared), schema))
+        cells = cut_lineage(placed.groupBy("window_id", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"), F.max("norm").alias("norm"))
+                            .withColumn("k", F.ceil(F.col("n") / F.lit(block_rows)).cast("int")))  # a row per pivot, or per window
+        pairs = cut_lineage(block_pairs(cells, pivots, threshold))
+        if stats is not None:
+            blocks = {r["window_id"]: r["k"] for r in cells.groupBy("window_id").agg(F.sum("k").alias("k")).collect()}
+            stats.update(made=pairs.count(), all=sum(k * (k + 1) // 2 for k in blocks.values()))
+        blk = (F.shiftleft((F.col("cell") + 1).cast("long"), 24) + F.pmod(F.xxhash64("id"), F.col("k"))).alias("blk")
+        own = placed.join(F.broadcast(cells.select("window_id", "cell", "k")), ["window_id", "cell"]).select("window_id", "id", "vec", blk)
+        # each block once per pair that it is part of
+        of = pairs.select("window_id", F.explode(F.array_distinct(F.array("b_lo", "b_hi"))).alias("blk"), "b_lo", "b_hi")
+        tagged = own.join(of, ["window_id", "blk"])
     return (tagged.groupBy("window_id", "b_lo", "b_hi")
             .applyInPandas(_block_pair_edges(float(threshold), include_self), EDGE_SCHEMA))
 

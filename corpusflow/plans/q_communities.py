@@ -71,13 +71,13 @@ def degree_candidates(spark, sf_dir):
 
 
 def _members(spark, sf_dir):
-    return community.communities(_edges(spark, sf_dir), MIN_SIZE)
+    return community.communities_of_vectors(standins.embedded_vectors(spark, sf_dir), THRESHOLD, MIN_SIZE)
 
 
 @register("star_communities", f"WITH RECURSIVE {_GREEDY_SQL} SELECT window_id, cluster_no, center, size FROM accepted")
 def star_communities(spark, sf_dir):
     """Exact distributed greedy star cover, numbered in acceptance order."""
-    members = community.communities(_edges(spark, sf_dir), MIN_SIZE)
+    members = _members(spark, sf_dir)
     return (members.groupBy("window_id", "cluster_no", "center")
             .agg(F.count(F.lit(1)).alias("size")))
 

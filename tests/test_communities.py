@@ -103,3 +103,63 @@ def test_running_totals_hot_key(spark):
     out = {r["id"]: r for r in running_totals(df, ["v"], ["id"], partition_by=["k"], num_partitions=6).collect()}
     assert out[199]["cum_count"] == 200 and out[199]["cum_v"] == sum(range(200))
     assert out[250]["cum_count"] == 51 and out[250]["cum_v"] == sum(range(200, 251))
+
+
+def unit(v):
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+def test_block_pairs_that_cannot_hold_a_pair_are_not_made(spark):
+    """Tight clusters: most block pairs are skipped, and no edge is lost."""
+    rng = np.random.default_rng(12)
+    centres = unit(rng.normal(size=(12, 16)))
+    v = unit(np.concatenate([c + 0.05 * rng.normal(size=(80, 16)) for c in centres]))
+    for odd in (False, True):
+        if odd:
+            v[5] = 0.0
+            v[7] *= 3  # not unit length: the bound takes the lengths
+        rows = [(0, i, v[i].tolist()) for i in range(len(v))] + [(1, i, v[i].tolist()) for i in range(30)]
+        df = spark.createDataFrame(rows, "window_id long, id long, vector array<double>")
+        stats = {}
+        got = {(r.window_id, r.src, r.dst) for r in similarity.similarity_edges(df, 0.8, block_rows=40, stats=stats).collect()}
+        dots = v @ v.T
+        want = {(0, int(i), int(j)) for i, j in zip(*np.nonzero(dots >= 0.8))} | {(1, int(i), int(j)) for i, j in zip(*np.nonzero(dots[:30, :30] >= 0.8))}
+        assert got == want
+        assert stats["made"] < stats["all"] / (1 if odd else 3)
+
+
+def test_no_pivots_and_no_threshold_skip_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    v = unit(rng.normal(size=(90, 4)))
+    df = spark.createDataFrame([(0, i, v[i].tolist()) for i in range(90)], "window_id long, id long, vector array<double>")
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(v @ v.T >= -0.5))}
+    stats = {}
+    assert {(r.src, r.dst) for r in similarity.similarity_edges(df, -0.5, block_rows=20, stats=stats).collect()} == want
+    assert stats["made"] == stats["all"]
+    monkeypatch.setattr(similarity, "PIVOT_BYTES", 1)
+    assert {(r.src, r.dst) for r in similarity.similarity_edges(df, -0.5, block_rows=20).collect()} == want
+
+
+def test_copies_are_one_node(spark):
+    """The cover over nodes equals the cover over rows."""
+    rng = np.random.default_rng(14)
+    base = unit(rng.normal(size=(25, 3)))
+    pick = rng.integers(0, 25, 120)
+    rows = [(int(k % 2), 1000 + int(k), base[p].tolist()) for k, p in enumerate(pick)]
+    df = spark.createDataFrame(rows, "window_id long, id long, vector array<double>")
+    key = lambda r: (r.window_id, r.cluster_no, r.member_no, r.center, r.id, round(r.score, 9))
+    for t, least in ((0.9, 3), (0.6, 5), (0.99, 1)):
+        plain = community.communities(similarity.similarity_edges(df, t), least)
+        assert sorted(map(key, community.communities_of_vectors(df, t, least).collect())) == sorted(map(key, plain.collect()))
+
+
+def test_twenty_thousand_copies_cost_as_many_rows(spark):
+    one, other = [0.6, 0.8], [0.8, 0.6]
+    df = spark.range(20_000).select(F.lit(0).cast("long").alias("window_id"), "id", F.array(*map(F.lit, one)).alias("vector")).unionByName(
+        spark.range(30_000, 30_005).select(F.lit(0).cast("long").alias("window_id"), "id", F.array(*map(F.lit, other)).alias("vector")))
+    nodes, members = community.vector_nodes(df)
+    assert nodes.count() == 2 and members.count() == 20_005
+    got = community.communities_of_vectors(df, 0.99, 3)
+    assert {(r.cluster_no, r.center, r.n) for r in got.groupBy("cluster_no", "center").agg(F.count("*").alias("n")).collect()} == {(0, 0, 20_000), (1, 30_000, 5)}
+    whole = community.communities_of_vectors(df, 0.9, 3)
+    assert whole.groupBy("center").count().collect()[0][1] == 20_005
