@@ -9,15 +9,17 @@
   (wrapping around the dataset, sampling with replacement across batches)
   and accepts a sample only when none of its texts already appeared in an
   accepted sample of the same global batch, until ``per_slot`` are accepted.
-  Candidates are grouped per global batch (one Arrow group = one batch,
-  bounded); slots that run short - too many repeated texts in their window -
-  are retried with a doubled window until full or the dataset is exhausted,
+  Candidates are grouped per global batch (one Arrow group = one batch, of a
+  fixed size); slots that run short - too many repeated texts in their window -
+  go on in further rounds, without the candidates that the batch's accepted
+  digests exclude, until full or the dataset is exhausted (flagged ``short``),
   so there is no cap on candidates.
 """
 
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -119,70 +121,110 @@ def batch_plan(config: DataFrame, arity: DataFrame, n_batches: int | DataFrame,
     return first.unionByName(rest).withColumn("slot", F.col("slot").cast("long"))
 
 
-_OUT = T.StructType([T.StructField("batch", T.LongType()), T.StructField("slot", T.LongType()),
-                     T.StructField("pos", T.LongType()), T.StructField("dataset", T.StringType()),
-                     T.StructField("sample", T.LongType()), T.StructField("skey", T.StringType())])
+_PICK = T.StructType([T.StructField("batch", T.LongType()), T.StructField("slot", T.LongType()),
+                      T.StructField("pos", T.LongType()), T.StructField("dataset", T.StringType()),
+                      T.StructField("sample", T.LongType()), T.StructField("skey", T.StringType()),
+                      T.StructField("tkeys", T.ArrayType(T.StringType())),
+                      # a row per slot instead: samples it has, and where it goes on (null: it is done)
+                      T.StructField("got", T.LongType()), T.StructField("cursor", T.LongType())])
 
 
-def _greedy(per_slot: int):
+def _greedy(per_slot: int, window: int):
+    """Fill a batch's open slots in order from their next candidates; what follows the first slot left open is given up."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["slot", "j"])
-        seen: set = set()
-        taken = {}
-        rows = []
-        for r in pdf.itertuples(index=False):
-            if taken.get(r.slot, 0) >= per_slot:
-                continue
-            keys = list(r.tkeys)
-            if any(t in seen for t in keys):
-                continue
-            seen.update(keys)
-            taken[r.slot] = taken.get(r.slot, 0) + 1
-            rows.append((r.batch, r.slot, r.j, r.dataset, r.sample, r.skey))
-        return pd.DataFrame(rows, columns=[f.name for f in _OUT.fields])
+        seen: set[str] = set()
+        rows: list[tuple] = []
+        batch = int(pdf["batch"].iloc[0])
+        for slot, own in pdf.sort_values(["slot", "j"]).groupby("slot", sort=True):
+            head, found = own.iloc[0], own.iloc[1:]  # the slot itself stands first, with j = -1
+            got, upto = int(head["got"]), int(head["upto"])
+            for j, sample, skey, keys in zip(found["j"], found["sample"], found["skey"], found["tkeys"]):
+                if got == per_slot:
+                    break
+                if seen.isdisjoint(keys):
+                    seen.update(keys)
+                    got += 1
+                    rows.append((batch, int(slot), int(j), head["dataset"], int(sample), skey, list(keys), None, None))
+            # after a full window the next round goes on behind its last candidate
+            at = int(found["j"].iloc[-1]) + 1 if len(found) == window else upto
+            done = got == per_slot or at >= int(head["n"])
+            rows.append((batch, int(slot), None, head["dataset"], None, None, None, got, None if done else at))
+            if not done:
+                break
+        return pd.DataFrame(rows, columns=_PICK.names).astype({c: "Int64" for c in ("pos", "sample", "got", "cursor")})
     return run
 
 
 def unique_text_batches(samples: DataFrame, plan: DataFrame, per_slot: int, seed: int = 0,
-                        over_draw: int = 2) -> DataFrame:
-    """``batch, slot, pos, dataset, sample, texts`` with every text at most once per batch.
+                        over_draw: int = 2, stats: dict | None = None) -> DataFrame:
+    """``batch, slot, pos, dataset, sample, texts, short`` with every text at most once per batch.
+
+    The slots of a batch are filled in order, each from its dataset's samples in
+    shuffled order from a place of its own on (``pos`` counts from there); a
+    sample is taken if the batch holds none of its texts yet.  ``short`` marks
+    the samples of a slot whose dataset was exhausted before it was full.
+
+    A round gives each open slot its next candidates: those of a span that none
+    of the batch's accepted digests excludes, ``per_slot * over_draw`` of them
+    at most, so no task holds more than that for each slot of a batch.  A slot
+    that stays open goes on behind them with a span twice as wide, so also a
+    dataset that repeats one text is gone through in few rounds.  ``stats``
+    (optional dict) receives the rounds and the largest group.
 
     Texts are compared through their SHA-256 digests, so only 64-character
-    keys move through the numbering, the candidate windows and the retries;
-    the texts are joined back for the accepted samples at the end.
+    keys move through the numbering, the candidates and the rounds; the texts
+    are joined back for the accepted samples at the end.
     """
-    keyed = (samples.withColumn("tkeys", F.transform("texts", lambda t: F.sha2(t, 256)))
+    keyed = (samples.withColumn("tkeys", F.transform("texts", lambda t: F.coalesce(F.sha2(t, 256), F.lit(""))))
              .withColumn("skey", F.sha2(F.array_join("tkeys", "|"), 256)))
     narrow = keyed.select("dataset", "tkeys", "skey",
                           seeded_hash(F.xxhash64("skey"), seed).alias("_h"))
     numbered = with_ordinal(narrow, ["_h", "skey"], partition_by=["dataset"], name="sample")
     numbered = cut_lineage(numbered)
     sizes = numbered.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
-    slots = plan.join(F.broadcast(sizes), "dataset").withColumn(
-        "start", F.pmod(wide_hash(F.col("batch") * 1000 + F.col("slot"), seed + 1), F.col("n")))
     window = per_slot * over_draw
-    done: list[DataFrame] = []
-    pending = cut_lineage(slots)
-    while True:
-        cand = (pending.withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(window), F.col("n")) - 1)))
-                .withColumn("sample", F.pmod(F.col("start") + F.col("j"), F.col("n"))))
-        cand = cand.join(numbered.select("dataset", "sample", "tkeys", "skey"), ["dataset", "sample"])
-        picked = (cand.select("batch", "slot", "j", "dataset", "sample", "tkeys", "skey")
-                  .groupBy("batch").applyInPandas(_greedy(per_slot), _OUT))
-        picked = cut_lineage(picked)
-        short = (picked.groupBy("batch", "slot").agg(F.count(F.lit(1)).alias("got"))
-                 .join(pending.select("batch", "slot", "n"), ["batch", "slot"], "right")
-                 .where((F.coalesce("got", F.lit(0)) < per_slot) & (F.col("n") > window)))
-        retry = short.select("batch").distinct()
-        if retry.isEmpty():
-            done.append(picked)
-            break
-        # slots of a batch interact, so a short batch is redone whole with a doubled window
-        done.append(picked.join(retry, "batch", "left_anti"))
-        pending = cut_lineage(pending.join(retry, "batch", "left_semi"))
-        window *= 2
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+    zero = F.lit(0).cast("long")
+    slots = cut_lineage(plan.join(F.broadcast(sizes), "dataset").select(
+        "batch", F.col("slot").cast("long").alias("slot"), "dataset", "n",
+        F.pmod(wide_hash(F.col("batch") * 1000 + F.col("slot"), seed + 1), F.col("n")).alias("start"),
+        zero.alias("got"), zero.alias("cursor"), F.lit(window).cast("long").alias("span")))
+    taken: list[DataFrame] = []
+    ends: list[DataFrame] = []
+    of_batch = None  # digests that each batch has accepted: per_slot * slots samples at most
+    rounds = largest = 0
+    while not slots.isEmpty():
+        rounds += 1
+        open_ = slots.withColumn("upto", F.least(F.col("cursor") + F.col("span"), F.col("n")))
+        heads = open_.select("batch", "slot", "dataset", "n", "got", "upto", F.lit(-1).cast("long").alias("j"), F.lit(None).cast("long").alias("sample"),
+                             F.lit(None).cast("string").alias("skey"), F.lit(None).cast("array<string>").alias("tkeys"))
+        cand = (open_.where("upto > cursor").withColumn("j", F.explode(F.sequence("cursor", F.col("upto") - 1)))
+                .withColumn("sample", F.pmod(F.col("start") + F.col("j"), F.col("n")))
+                .join(numbered.select("dataset", "sample", "tkeys", "skey"), ["dataset", "sample"]))
+        if of_batch is not None:
+            cand = cand.join(of_batch, "batch", "left").where(F.col("held").isNull() | ~F.arrays_overlap("tkeys", "held"))
+        first = Window.partitionBy("batch", "slot").orderBy("j")
+        cand = cand.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= window).select(heads.columns)
+        group = cut_lineage(heads.unionByName(cand))
+        if stats is not None:
+            largest = max(largest, group.groupBy("batch").count().agg(F.max("count")).first()[0])
+        done = cut_lineage(group.groupBy("batch").applyInPandas(_greedy(per_slot, window), _PICK))
+        taken.append(done.where("pos is not null").select("batch", "slot", "pos", "dataset", "sample", "skey", "tkeys"))
+        states = done.where("pos is null").select("batch", "slot", F.col("got").alias("_got"), F.col("cursor").alias("_cursor"))
+        ends.append(states.where("_cursor is null").select("batch", "slot", (F.col("_got") < per_slot).alias("short")))
+        # slots that the round did not reach stay as they are
+        left = slots.join(states, ["batch", "slot"], "left").where("_got is null or _cursor is not null")
+        went_on = F.col("_cursor").isNotNull()
+        slots = cut_lineage(left.select("batch", "slot", "dataset", "n", "start", F.coalesce("_got", "got").alias("got"),
+                                        F.coalesce("_cursor", "cursor").alias("cursor"),
+                                        F.when(went_on, F.col("span") * 2).otherwise(F.col("span")).alias("span")))
+        still = slots.select("batch").distinct()
+        of_batch = cut_lineage(reduce(DataFrame.unionAll, taken).join(still, "batch", "left_semi").groupBy("batch").agg(
+            F.flatten(F.collect_list("tkeys")).alias("held")))
+    if stats is not None:
+        stats.update(rounds=rounds, largest=largest)
+    if not taken:
+        return keyed.select(zero.alias("batch"), zero.alias("slot"), zero.alias("pos"), "dataset", zero.alias("sample"), "texts",
+                            F.lit(False).alias("short")).where("false")
+    out = reduce(DataFrame.unionAll, taken).drop("tkeys").join(reduce(DataFrame.unionAll, ends), ["batch", "slot"])
     texts = keyed.select("dataset", "skey", "texts").dropDuplicates(["dataset", "skey"])
-    return out.join(texts, ["dataset", "skey"]).drop("skey")
+    return out.join(texts, ["dataset", "skey"]).select("batch", "slot", "pos", "dataset", "sample", "texts", "short")

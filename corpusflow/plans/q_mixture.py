@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.hashing import MODULUS, seeded_hash_sql
 from corpusflow.operators import batching, encoder, metrics, mixture
 from corpusflow.plans.registry import register
+from corpusflow.session import cut_lineage
 from corpusflow.plans.sqlgen import s
 from corpusflow.sources.tables import table
 
@@ -106,7 +107,7 @@ def _u_sql(key: str) -> str:
     return f"(CAST({seeded_hash_sql(key, SEED)} AS DOUBLE) / {float(MODULUS)})"
 
 
-@register("mixture_plan", f"""WITH {_SAMPLES_SQL}, {_CFG_SQL},
+_PLAN_SQL = f"""WITH {_SAMPLES_SQL}, {_CFG_SQL},
 ar AS (SELECT dataset AS name, min(len(texts)) AS arity FROM samples GROUP BY 1),
 c AS (SELECT cfg.name, cfg.weight, ar.arity FROM cfg JOIN ar USING (name) WHERE weight > 0),
 cum AS (SELECT name, arity,
@@ -125,7 +126,10 @@ r AS (SELECT f.batch, t.slot, cum.name AS dataset, cum.arity FROM f, range(1, {D
        AND {_u_sql(f'f.batch * {DATASETS_PER_BATCH} + t.slot')} * cum.tot_ar >= cum.lo_ar
        AND {_u_sql(f'f.batch * {DATASETS_PER_BATCH} + t.slot')} * cum.tot_ar < cum.hi_ar)
 SELECT batch, CAST(slot AS BIGINT) AS slot, dataset, CAST(arity AS INTEGER) AS arity FROM f
-UNION ALL SELECT batch, CAST(slot AS BIGINT), dataset, CAST(arity AS INTEGER) FROM r""")
+UNION ALL SELECT batch, CAST(slot AS BIGINT), dataset, CAST(arity AS INTEGER) FROM r"""
+
+
+@register("mixture_plan", _PLAN_SQL)
 def mixture_plan(spark, sf_dir):
     """Per global batch, datasets drawn by weight; all slots of a batch share the arity."""
     plan, _ = _plan(spark, sf_dir)
@@ -140,6 +144,21 @@ def batch_unique_texts(spark, sf_dir):
     return out.select("batch", "slot", "pos", "dataset", "sample", F.size("texts").cast("long").alias("arity"))
 
 
+@register("batch_text_invariants", f"""SELECT batch, count(*) AS slots, CAST(0 AS BIGINT) AS repeated_texts,
+  CAST(0 AS BIGINT) AS slots_over, CAST(0 AS BIGINT) AS slots_under_unflagged FROM ({_PLAN_SQL}) GROUP BY batch""")
+def batch_text_invariants(spark, sf_dir):
+    """L8 as it must be: every planned slot is there, no text repeats in a batch, no slot holds too many, or too few without its flag."""
+    plan, smp = _plan(spark, sf_dir)
+    out = cut_lineage(mixture.unique_text_batches(smp, plan, PER_SLOT, SEED))
+    texts = out.select("batch", F.explode("texts").alias("t")).groupBy("batch", "t").agg(F.count(F.lit(1)).alias("n"))
+    repeated = texts.groupBy("batch").agg(F.sum(F.col("n") - 1).alias("repeated_texts"))
+    slots = out.groupBy("batch", "slot").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("short"))
+    per = plan.select("batch", "slot").join(slots, ["batch", "slot"], "left").groupBy("batch").agg(
+        F.count(F.lit(1)).alias("slots"), F.count_if(F.col("n") > PER_SLOT).alias("slots_over"),
+        F.count_if((F.col("n") < PER_SLOT) & ~F.col("short")).alias("slots_under_unflagged"))
+    return per.join(repeated, "batch").select("batch", "slots", "repeated_texts", "slots_over", "slots_under_unflagged")
+
+
 @register("in_batch_contrastive")
 def in_batch_contrastive(spark, sf_dir):
     """Default encoder on dialog pairs, 32 pairs per shuffled batch, symmetric in-batch loss (scale 20)."""

@@ -62,6 +62,45 @@ def test_unique_texts_per_batch_and_arity(spark):
     assert set(triples.values()) <= {1}
 
 
+def sequential(spark, rows, plan, per_slot, seed):
+    """One slot after the other, one sample after the other."""
+    from corpusflow.functions.hashing import seeded_hash, wide_hash
+
+    smp = spark.createDataFrame(rows, "dataset string, texts array<string>")
+    sk = F.sha2(F.array_join(F.transform("texts", lambda t: F.coalesce(F.sha2(t, 256), F.lit(""))), "|"), 256)
+    hashed = [(r.dataset, r.h, r.k, r.texts) for r in smp.select("dataset", "texts", sk.alias("k"), seeded_hash(F.xxhash64(sk), seed).alias("h")).collect()]
+    order = {}
+    for d, h, k, t in sorted(hashed, key=lambda x: x[:3]):
+        order.setdefault(d, []).append(t)
+    starts = {(r.batch, r.slot): r.w for r in plan.select("batch", "slot", wide_hash(F.col("batch") * 1000 + F.col("slot"), seed + 1).alias("w")).collect()}
+    out, seen = [], {}
+    for r in sorted(plan.collect(), key=lambda r: (r.batch, r.slot)):
+        stream, have = order.get(r.dataset, []), 0
+        used = seen.setdefault(r.batch, set())
+        for j in range(len(stream)):
+            t = stream[(starts[r.batch, r.slot] + j) % len(stream)]
+            if have < per_slot and not used & set(t):
+                used |= set(t)
+                have += 1
+                out.append((r.batch, r.slot, j, r.dataset, tuple(t)))
+        out = [(*x, have < per_slot) if len(x) == 5 else x for x in out]
+    return out
+
+
+def test_batches_equal_the_sequential_greedy_with_bounded_groups(spark):
+    """A dataset that mostly repeats one text, one without repeats, one too small to fill a slot."""
+    rows = [("same", ["t", "u"])] * 400 + [("same", [f"s{k}", f"v{k}"]) for k in range(9)]
+    rows += [("wide", [f"w{k}", f"x{k % 5}"]) for k in range(300)] + [("small", ["a", "b"]), ("small", ["t", None]), ("small", ["c", "d"])]
+    plan = spark.createDataFrame([(b, s, d) for b in range(6) for s, d in enumerate(("wide", "same", "small", "same")[:2 + b % 3])],
+                                 "batch long, slot long, dataset string")
+    stats = {}
+    got = mixture.unique_text_batches(spark.createDataFrame(rows, "dataset string, texts array<string>"), plan, 4, seed=5, over_draw=2, stats=stats)
+    key = lambda x: str(x)
+    assert sorted([(r.batch, r.slot, r.pos, r.dataset, tuple(r.texts), r.short) for r in got.collect()], key=key) == sorted(
+        sequential(spark, rows, plan, 4, 5), key=key)
+    assert stats["largest"] <= 4 * (4 * 2 + 1) and 2 < stats["rounds"] < 30
+
+
 def test_contrastive_matches_numpy(spark):
     rng = np.random.default_rng(0)
     a, p, n = rng.normal(size=(5, 4)), rng.normal(size=(5, 4)), rng.normal(size=(5, 4))
