@@ -120,6 +120,47 @@ def combined_mask(ids: str | Column) -> Column:
         idx, lambda j: F.greatest(F.element_at(pad, j + 1), F.when(j > i, 1).otherwise(0))))
 
 
+def padding_runs(ids: str | Column) -> Column:
+    """R3 as intervals: ``array<struct<start, stop>>`` of the maximal runs of padding, ``stop`` exclusive."""
+    c = F.col(ids) if isinstance(ids, str) else ids
+    one, n = F.array(F.lit(1).cast("long")), F.size(c)
+    wide = F.transform(c, lambda x: x.cast("long"))
+    before = F.concat(one, F.slice(wide, 1, F.greatest(n - 1, F.lit(0))))
+    after = F.concat(F.slice(wide, 2, F.greatest(n - 1, F.lit(0))), one)
+
+    def places(other: Column, add: int) -> Column:
+        """Where a row is padding and the neighbour is not; whole arrays at a time, so linear."""
+        edge = F.zip_with(wide, other, lambda x, y: (x == 0) & (y != 0))
+        return F.filter(F.transform(edge, lambda e, i: F.when(e, i + add)), lambda i: i.isNotNull())
+
+    starts, stops = places(before, 0), places(after, 1)
+    return F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
+
+
+def mask_intervals(ids: str | Column) -> Column:
+    """R4 + R5 in linear size: ``struct<size, runs>``.
+
+    Row i of the combined mask is masked from column i + 1 on (R4) and in each
+    of ``runs`` (R3); ``combined_row`` expands one row where it is used.
+    """
+    c = F.col(ids) if isinstance(ids, str) else ids
+    return F.struct(F.size(c).alias("size"), padding_runs(c).alias("runs"))
+
+
+def combined_row(mask: Column, i: Column) -> Column:
+    """Row ``i`` of the combined mask from its intervals; R4 with empty ``runs``."""
+    idx = F.filter(F.sequence(F.lit(0), mask["size"]), lambda j: j < mask["size"])
+    return F.transform(idx, lambda j: F.when((j > i) | F.exists(mask["runs"], lambda r: (j >= r["start"]) & (j < r["stop"])), 1).otherwise(0))
+
+
+def masked_cells(mask: Column) -> Column:
+    """Masked cells of the whole matrix: above the diagonal, and padding columns on and below it."""
+    n = mask["size"].cast("long")
+    # column j is padding for the rows j, ..., n - 1: n - j cells on and below the diagonal
+    run = lambda r: (r["stop"] - r["start"]).cast("long") * (2 * n - r["start"] - r["stop"] + 1) / 2
+    return (n * (n - 1) / 2 + F.aggregate(mask["runs"], F.lit(0.0), lambda a, r: a + run(r))).cast("long")
+
+
 def weighted_sum(arr: str | Column) -> Column:
     """Checksum of an id array: sum of ``id * (position + 1)`` (compares whole arrays cheaply)."""
     c = F.col(arr) if isinstance(arr, str) else arr

@@ -74,48 +74,83 @@ def masked_token_metrics(df: DataFrame, group_cols, label_col: str = "label",
                  F.sum("_m").cast("long").alias("tokens")))
 
 
-_CONTRASTIVE_SCHEMA = T.StructType([
-    T.StructField("batch_id", T.LongType()), T.StructField("rows", T.LongType()),
-    T.StructField("loss", T.DoubleType())])
+#: Vectors of a batch that a task scores against each other; a larger batch is cut into pairs of blocks.
+BLOCK = 2048
+_PART = "batch_id bigint, way int, row bigint, most double, total double"
+_ANCHOR, _POSITIVE, _NEGATIVE = 0, 1, 2
+#: What a row of ``_PART`` is about: an anchor over candidates, a positive over anchors, an anchor's own score.
+_FORWARD, _BACKWARD, _OWN = 0, 1, 2
 
 
-def _ce(scores: np.ndarray) -> float:
-    m = scores.max(axis=1, keepdims=True)
-    lse = np.log(np.exp(scores - m).sum(axis=1)) + m[:, 0]
-    return float(np.mean(lse - scores[np.arange(len(scores)), np.arange(len(scores))]))
+def _tile(scale: float, symmetric: bool):
+    """Partial log-sum-exp (largest score, sum of exponentials below it) of one block of anchors over one of candidates."""
+    def unit(vectors) -> np.ndarray:
+        v = np.stack(vectors.to_numpy()).astype(np.float64)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
-
-def _contrastive(scale: float, has_negative: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row")
-        a = np.stack(pdf["anchor"].to_numpy()).astype(np.float64)
-        p = np.stack(pdf["positive"].to_numpy()).astype(np.float64)
-
-        def unit(v):
-            return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-
-        a, p = unit(a), unit(p)
-        if has_negative:
-            n = unit(np.stack(pdf["negative"].to_numpy()).astype(np.float64))
-            cands = np.concatenate([p, n])
-            loss = _ce(scale * a @ cands.T)
-        else:
-            s = scale * a @ p.T
-            loss = (_ce(s) + _ce(s.T)) / 2
-        return pd.DataFrame({"batch_id": [int(pdf["batch_id"].iloc[0])], "rows": [len(pdf)], "loss": [loss]})
+        a, c = pdf[pdf["kind"] == _ANCHOR], pdf[pdf["kind"] != _ANCHOR]
+        parts: list[tuple] = []
+
+        def add(way: int, rows, most, total) -> None:
+            parts.append((np.full(len(rows), way, np.int32), rows, most, total))
+
+        if len(a) and len(c):
+            s = scale * unit(a["vec"]) @ unit(c["vec"]).T
+            rows, cand = a["row"].to_numpy(np.int64), c["row"].to_numpy(np.int64)
+            most = s.max(axis=1)
+            add(_FORWARD, rows, most, np.exp(s - most[:, None]).sum(axis=1))
+            if symmetric:
+                most = s.max(axis=0)
+                add(_BACKWARD, cand, most, np.exp(s - most).sum(axis=0))
+            positive = np.flatnonzero(c["kind"].to_numpy() == _POSITIVE)
+            _, i, j = np.intersect1d(rows, cand[positive], return_indices=True)
+            add(_OWN, rows[i], s[i, positive[j]], np.zeros(len(i)))
+        way, row, most, total = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0),) * 4
+        return pd.DataFrame({"batch_id": np.full(len(way), int(pdf["batch_id"].iloc[0])), "way": way, "row": row, "most": most, "total": total})
     return run
 
 
 def in_batch_contrastive(df: DataFrame, batch_col: str = "batch_id", row_col: str = "row",
                          anchor: str = "anchor", positive: str = "positive", negative: str | None = None,
-                         scale: float = CONTRASTIVE_SCALE) -> DataFrame:
-    """A9 per batch: ``batch_id, rows, loss``."""
-    cols = [F.col(batch_col).cast("long").alias("batch_id"), F.col(row_col).alias("row"),
-            F.col(anchor).alias("anchor"), F.col(positive).alias("positive")]
-    if negative:
-        cols.append(F.col(negative).alias("negative"))
-    return df.select(*cols).groupBy("batch_id").applyInPandas(
-        _contrastive(float(scale), negative is not None), _CONTRASTIVE_SCHEMA)
+                         scale: float = CONTRASTIVE_SCALE, block: int = BLOCK) -> DataFrame:
+    """A9 per batch: ``batch_id, rows, loss``; ``row`` names a row of its batch.
+
+    Blocks of anchors meet blocks of candidates (``explode`` of block numbers,
+    no join of rows); each pair of blocks gives one partial log-sum-exp per row,
+    and these are merged by row.  No task holds more than two blocks, however
+    large a batch is.
+    """
+    rows = df.select(F.col(batch_col).cast("long").alias("batch_id"), F.col(row_col).cast("long").alias("row"),
+                     F.col(anchor).alias("a"), F.col(positive).alias("p"), *([F.col(negative).alias("n")] if negative else []))
+    # a row per batch that is larger than a block: at most rows / block
+    large = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
+    large = large.select("batch_id", F.ceil(F.col("size") / block).cast("int").alias("nb"))
+    rows = (rows.join(large, "batch_id", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+            .withColumn("blk", F.pmod(F.xxhash64("row"), F.col("nb")).cast("int")))
+
+    def copies(kind: int, vec: str):
+        def one(k):
+            i, j = (F.col("blk"), k) if kind == _ANCHOR else (k, F.col("blk"))
+            return F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"), F.col(vec).cast("array<double>").alias("vec"))
+        return F.transform(F.sequence(F.lit(0), F.col("nb") - 1), one)
+
+    sides = [copies(_ANCHOR, "a"), copies(_POSITIVE, "p"), *([copies(_NEGATIVE, "n")] if negative else [])]
+    spread = rows.select("batch_id", "row", F.explode(F.concat(*sides)).alias("x")).select("batch_id", "row", "x.i", "x.j", "x.kind", "x.vec")
+    parts = spread.groupBy("batch_id", "i", "j").applyInPandas(_tile(float(scale), negative is None), _PART)
+    # merge: one part per block of the other side
+    merged = parts.groupBy("batch_id", "way", "row").agg(F.collect_list(F.struct("most", "total")).alias("parts"))
+    top = F.array_max(F.transform("parts", lambda x: x["most"]))
+    merged = merged.withColumn("top", top).withColumn("lse", F.when(F.col("way") == _OWN, F.col("top")).otherwise(
+        F.col("top") + F.log(F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["total"] * F.exp(x["most"] - F.col("top"))))))
+    total = lambda way: F.sum(F.when(F.col("way") == way, F.col("lse")))
+    sums = merged.groupBy("batch_id").agg(F.count_if(F.col("way") == _FORWARD).alias("rows"), total(_FORWARD).alias("f"),
+                                          total(_BACKWARD).alias("b"), total(_OWN).alias("o"))
+    loss = (F.col("f") - F.col("o")) / F.col("rows")
+    if negative is None:
+        loss = (loss + (F.col("b") - F.col("o")) / F.col("rows")) / 2
+    return sums.select("batch_id", "rows", loss.alias("loss"))
+
 
 
 def learning_rate(step: str | Column, d_model: int = D_MODEL, warmup: int = WARMUP_STEPS) -> Column:

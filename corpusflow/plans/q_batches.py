@@ -125,6 +125,23 @@ def shift_mask(spark, sf_dir):
                     F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("inp_pad"))
 
 
+@register("mask_intervals", f"""WITH {_PAD_SQL},
+z AS (SELECT *, pad_len - 1 AS n, list_filter(list_transform(padded[1:pad_len - 1], lambda x, i: CASE WHEN x = 0 THEN i END),
+                                              lambda i: i IS NOT NULL) AS zeros FROM p2)
+SELECT batch_id, "row", doc_id, n AS size, n * (n - 1) // 2 AS ahead_cells,
+  CAST(n * (n - 1) // 2 + len(zeros) * (n + 1) - coalesce(list_sum(zeros), 0) AS BIGINT) AS masked_cells,
+  CAST(CASE WHEN len(zeros) > 0 THEN zeros[1] - 1 END AS BIGINT) AS first_padding
+FROM z""")
+def mask_intervals(spark, sf_dir):
+    """R4 + R5 over whole texts as intervals: cells masked ahead of each row, all masked cells, where padding starts."""
+    p = _padded(spark, sf_dir).withColumn("m", B.mask_intervals(B.shift("padded")[0]))
+    m = F.col("m")
+    ahead = B.masked_cells(F.struct(m["size"].alias("size"), F.slice(m["runs"], 1, 0).alias("runs")))
+    return p.select("batch_id", "row", "doc_id", m["size"].cast("long").alias("size"), ahead.alias("ahead_cells"),
+                    B.masked_cells(m).alias("masked_cells"),
+                    F.get(m["runs"], 0)["start"].cast("long").alias("first_padding"))
+
+
 @register("running_mean", f"""WITH e AS (
   SELECT CAST(ts AS DATE) AS epoch, value,
          row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS batch FROM events),

@@ -131,3 +131,68 @@ def test_masks(spark):
     assert r["la"] == [[0, 1, 1], [0, 0, 1], [0, 0, 0]]
     assert r["c"] == [[0, 1, 1], [0, 0, 1], [0, 0, 1]]
     assert r["i"] == [5, 3] and r["t"] == [3, 0]
+
+
+def test_mask_intervals_equal_the_matrices(spark):
+    from corpusflow.operators import batching as B
+    rows = [[5, 3, 0], [0, 0, 7, 0, 2, 0, 0], [1], [0], [], [4, 4, 4]]
+    df = spark.createDataFrame([(r,) for r in rows], "ids array<bigint>").withColumn("m", B.mask_intervals("ids"))
+    for r in df.select("ids", "m", B.masked_cells(F.col("m")).alias("cells")).collect():
+        n = len(r.ids)
+        whole = [[int(j > i or r.ids[j] == 0) for j in range(n)] for i in range(n)]
+        assert r.cells == sum(map(sum, whole)) and r.m["size"] == n
+        assert len(r.m["runs"]) <= (n + 1) // 2
+    one = df.where("size(ids) = 7")
+    matrix = one.select(B.combined_mask("ids")).first()[0]
+    assert [one.select(B.combined_row(F.col("m"), F.lit(i))).first()[0] for i in range(7)] == matrix
+
+
+def loss_of(a, p, n=None, scale=20.0):
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+    def ce(s):
+        m = s.max(axis=1)
+        return float(np.mean(np.log(np.exp(s - m[:, None]).sum(axis=1)) + m - s[np.arange(len(s)), np.arange(len(s))]))
+
+    if n is None:
+        s = scale * unit(a) @ unit(p).T
+        return (ce(s) + ce(s.T)) / 2
+    return ce(scale * unit(a) @ np.concatenate([unit(p), unit(n)]).T)
+
+
+def test_contrastive_blocks_merge_to_the_whole_loss(spark):
+    from corpusflow.operators import metrics as M
+    rng = np.random.default_rng(3)
+    a, p, n = (rng.normal(size=(70, 6)) for _ in range(3))
+    df = spark.createDataFrame([(k // 50, k, a[k].tolist(), p[k].tolist(), n[k].tolist()) for k in range(70)],
+                               "batch_id long, row long, anchor array<double>, positive array<double>, negative array<double>")
+    for block in (7, 2048):
+        for neg, scale in ((None, 20.0), ("negative", 20.0), (None, 900.0)):
+            got = {r.batch_id: (r.rows, r.loss) for r in M.in_batch_contrastive(df, negative=neg, scale=scale, block=block).collect()}
+            for b, part in ((0, slice(0, 50)), (1, slice(50, 70))):
+                want = loss_of(a[part], p[part], n[part] if neg else None, scale)
+                assert got[b][0] == part.stop - part.start and abs(got[b][1] - want) < 1e-9
+
+
+def test_contrastive_batch_of_fifty_thousand_rows(spark):
+    """One batch far larger than a task's block."""
+    from corpusflow.operators import metrics as M
+    rng = np.random.default_rng(4)
+    a, p = (rng.normal(size=(50_000, 2)).round(3) for _ in range(2))
+    import pandas as pd
+    df = spark.createDataFrame(pd.DataFrame({"batch_id": 0, "row": range(50_000), "anchor": a.tolist(), "positive": p.tolist()}),
+                               "batch_id long, row long, anchor array<double>, positive array<double>")
+    got = M.in_batch_contrastive(df.repartition(8), block=8192).collect()
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    ua, up = unit(a), unit(p)
+    own = 20 * (ua * up).sum(axis=1)
+    f = np.concatenate([np.log(np.exp(20 * ua[k:k + 2000] @ up.T - 20).sum(axis=1)) + 20 for k in range(0, 50_000, 2000)])
+    b = np.concatenate([np.log(np.exp(20 * up[k:k + 2000] @ ua.T - 20).sum(axis=1)) + 20 for k in range(0, 50_000, 2000)])
+    assert [r.rows for r in got] == [50_000] and abs(got[0].loss - ((f - own).mean() + (b - own).mean()) / 2) < 1e-8
+
+
+def test_an_all_padding_batch_has_no_metrics(spark):
+    from corpusflow.operators import metrics as M
+    df = spark.createDataFrame([(0, 0, [1.0, 2.0]), (0, 0, [0.5, 0.1]), (1, 1, [0.0, 3.0])], "b long, label long, logits array<double>")
+    got = {r.b: (r.loss, r.accuracy, r.tokens) for r in M.masked_token_metrics(df, ["b"]).collect()}
+    assert got[0] == (None, None, 0) and got[1][1:] == (1.0, 1)
