@@ -30,6 +30,7 @@ def load_all() -> None:
         q_batches,
         q_communities,
         q_mixture,
+        q_pages,
         q_sparse,
         q_store,
         q_stream,

@@ -94,3 +94,31 @@ def test_read_warc_isolates_a_damaged_archive(spark):
 def _source(spark, path):
     warc.register_warc(spark)
     return spark.read.format("warc").option("paths", path).load()
+
+
+LINKS = "".join(f"<li><a href='/{k}'>A long link text number {k}</a></li>" for k in range(20))
+
+
+def test_main_content_without_an_article_element():
+    story = [f"Paragraph {k} of the story, with some words in it." for k in range(6)]
+    page = ("<html><body><div><ul>" + LINKS + "</ul></div><div><div><p>Buy our paper.</p></div><div class=x>Lead without a paragraph"
+            + "".join(f"<p>{p}</p>" for p in story) + "<div><p>Last part, in a box of its own.</p></div></div><div><p>A comment.</p></div></div></body></html>")
+    assert article.parse_html(page)[1].split("\n\n") == ["Lead without a paragraph", *story, "Last part, in a box of its own."]
+    # paragraphs that are mostly links are left out, a link inside running text is not
+    page = "<body><p>Some words with <a href=x>a link</a> inside of a sentence.</p><p>More: <a href=y>a whole long list of links</a></p></body>"
+    assert article.parse_html(page)[1] == "Some words with a link inside of a sentence."
+    # end tags without start tags, start tags without end tags, very deep nesting
+    assert article.parse_html("</div><div><div><p>a b c d e</p></section></td>")[1] == "a b c d e"
+    assert article.parse_html("<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000)[1] == "deep"
+
+
+def test_linked_data_and_parse_errors():
+    ld = '{"@graph": [{"@type": "NewsArticle", "datePublished": "2022-05-06T01:00:00Z", "author": [{"name": "Ann Lee"}, "Bob Stone", {"name": " "}]}]}'
+    page = f'<html><head><script type="application/ld+json">{ld}</script><script type="application/ld+json">not json</script></head><body><p>x</p></body></html>'
+    r = article.parse_page(page)
+    assert r[2] == ["Ann Lee", "Bob Stone"] and r[3].startswith("2022-05-06") and r[8] is None
+    deep = '<script type="application/ld+json">' + '{"a":' * 50_000 + "</script><body><p>x</p></body>"
+    assert article.parse_page(deep)[1] == "x"
+    meta = page.replace("<head>", '<head><meta name="author" content="Cy Twombly"><meta name="date" content="2020-01-01">')
+    assert article.parse_page(meta)[2] == ["Cy Twombly", "Ann Lee", "Bob Stone"] and article.parse_page(meta)[3] == "2020-01-01"
+    assert article.parse_page(None)[8] is None and len(article.parse_page("<p>")) == 9
