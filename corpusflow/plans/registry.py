@@ -29,6 +29,7 @@ def load_all() -> None:
     from corpusflow.plans import (  # noqa: F401
         q_batches,
         q_communities,
+        q_files,
         q_mixture,
         q_pages,
         q_sparse,
