@@ -144,8 +144,12 @@ def read_allow_list(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.trim("v").startswith("["), F.from_json("v", "array<string>")).alias("subdomains"))
 
 
+#: Names of a rule or allow list that become literals of the plan; longer lists are joined.
+LITERALS = 50_000
+
+
 def suffix_sets(rules: DataFrame) -> dict[str, list[str]]:
-    """Rule names by kind.  The rule list is a parameter of the job (some ten thousand names at most), not data."""
+    """Rule names by kind, at most ``LITERALS`` (the caller has counted them)."""
     out: dict[str, list[str]] = {"plain": [], "wildcard": [], "exception": []}
     for r in rules.select("name", "kind").distinct().collect():
         out[r["kind"]].append(r["name"])
@@ -157,6 +161,30 @@ def _is_in(c: Column, names: list[str]) -> Column:
     return F.coalesce(c.isin(names), F.lit(False)) if names else F.lit(False)
 
 
+def _parts_of(labels: Column, n: Column, k: Column) -> Column:
+    """``subdomain, domain, suffix`` of ``n`` labels whose last ``k`` are the suffix; null without a suffix."""
+    return F.when(k > 0, F.struct(
+        F.array_join(F.slice(labels, 1, F.greatest(n - k - 1, F.lit(0))), ".").alias("subdomain"),
+        F.when(n > k, F.get(labels, n - k - 1)).otherwise("").alias("domain"),
+        F.array_join(F.slice(labels, n - k + 1, F.greatest(k, F.lit(0))), ".").alias("suffix")))
+
+
+def joined_host_parts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``host, _parts`` as ``host_parts`` gives them, by a join of each host's endings with a rule list of any length."""
+    labels = F.split("host", r"\.")
+    ends = (hosts.where("host <> ''").select("host", labels.alias("l")).withColumn("n", F.size("l"))
+            .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))))
+    name = lambda i: F.array_join(F.slice("l", i + 1, F.greatest(F.col("n") - i, F.lit(1))), ".")
+    left = F.col("n") - F.col("i")
+    tried = ends.select("host", F.explode(F.array(
+        F.struct(name(F.col("i")).alias("name"), F.lit("exception").alias("kind"), (left - 1 + 1_000_000).alias("score")),
+        F.struct(name(F.col("i")).alias("name"), F.lit("plain").alias("kind"), left.alias("score")),
+        F.struct(F.when(left > 1, name(F.col("i") + 1)).alias("name"), F.lit("wildcard").alias("kind"), left.alias("score")))).alias("t")).select("host", "t.*")
+    best = (tried.join(rules.select("name", "kind").distinct(), ["name", "kind"])
+            .groupBy("host").agg((F.max("score") % 1_000_000).cast("int").alias("k")))
+    return best.withColumn("l", labels).select("host", _parts_of(F.col("l"), F.size("l"), F.col("k")).alias("_parts"))
+
+
 def host_parts(host: Column, rules: DataFrame) -> Column:
     """J1 of one host as a struct ``subdomain, domain, suffix``; null if no rule matches.
 
@@ -180,10 +208,7 @@ def host_parts(host: Column, rules: DataFrame) -> Column:
         best = F.array_max(F.transform(F.sequence(F.lit(0), n - 1), score)) % 1_000_000
 
         def parts(k: Column) -> Column:
-            return F.when(k > 0, F.struct(
-                F.array_join(F.slice(labels, 1, F.greatest(n - k - 1, F.lit(0))), ".").alias("subdomain"),
-                F.when(n > k, F.get(labels, n - k - 1)).otherwise("").alias("domain"),
-                F.array_join(F.slice(labels, n - k + 1, F.greatest(k, F.lit(0))), ".").alias("suffix")))
+            return _parts_of(labels, n, k)
 
         return F.get(F.transform(F.array(best), parts), 0)
 
@@ -193,12 +218,18 @@ def host_parts(host: Column, rules: DataFrame) -> Column:
 
 def split_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """J1 / F4 on a table of ``host``: ``host, subdomain, domain, suffix`` (nulls: no rule matched)."""
+    if rules.count() > LITERALS:
+        return hosts.join(joined_host_parts(hosts.distinct(), rules), "host", "left").select("host", "_parts.*")
     return hosts.select("host", host_parts(F.col("host"), rules).alias("p")).select("host", "p.*")
 
 
 def url_parts(df: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """Add ``host, subdomain, domain, suffix, registered_domain`` to ``df`` (nulls: no rule matched)."""
-    out = df.withColumn("host", U.host(url_col)).withColumn("_parts", host_parts(F.col("host"), rules))
+    out = df.withColumn("host", U.host(url_col))
+    if rules.count() > LITERALS:
+        out = out.join(joined_host_parts(out.select("host").distinct(), rules), "host", "left")
+    else:
+        out = out.withColumn("_parts", host_parts(F.col("host"), rules))
     for c in ("subdomain", "domain", "suffix"):
         out = out.withColumn(c, F.col(f"_parts.{c}"))
     return out.drop("_parts").withColumn(
@@ -214,11 +245,19 @@ def url_gate(df: DataFrame, allow: DataFrame, rules: DataFrame, url_col: str = "
     test compares the dotted extension with undotted names and never fires.
     """
     parts = url_parts(df, rules, url_col)
-    entries = allow.select("domain", "all_subdomains", "subdomains").collect()  # the allow list is a parameter, too
-    open_ = [r["domain"] for r in entries if r["all_subdomains"]]
-    pairs = [f"{sub} {r['domain']}" for r in entries for sub in r["subdomains"] or []]
-    x = parts
-    allowed = _is_in(F.col("registered_domain"), open_) | _is_in(F.concat_ws(" ", "subdomain", "registered_domain"), pairs)
+    names = allow.agg(F.sum(F.greatest(F.lit(1), F.size(F.coalesce("subdomains", F.array().cast("array<string>")))))).first()[0] or 0
+    if names > LITERALS:
+        known = allow.groupBy(F.col("domain").alias("registered_domain")).agg(
+            F.max(F.coalesce("all_subdomains", F.lit(False))).alias("_open"), F.flatten(F.collect_list("subdomains")).alias("_subs"))
+        x = parts.join(known, "registered_domain", "left").select(
+            *parts.columns, (F.col("_open") | F.coalesce(F.array_contains("_subs", F.col("subdomain")), F.lit(False))).alias("_allowed"))
+        allowed = F.col("_allowed")
+    else:
+        entries = allow.select("domain", "all_subdomains", "subdomains").collect()  # LITERALS names at most
+        open_ = [r["domain"] for r in entries if r["all_subdomains"]]
+        pairs = [f"{sub} {r['domain']}" for r in entries for sub in r["subdomains"] or []]
+        x = parts
+        allowed = _is_in(F.col("registered_domain"), open_) | _is_in(F.concat_ws(" ", "subdomain", "registered_domain"), pairs)
     ext_banned = F.lit(False) if extension_mode == "reference" else \
         U.extension(url_col).isin(BANNED_EXTENSIONS)
     reason = (F.when(F.length(url_col) > U.MAX_URL_LENGTH, "length")
@@ -226,5 +265,5 @@ def url_gate(df: DataFrame, allow: DataFrame, rules: DataFrame, url_col: str = "
               .when(ext_banned, "extension")
               .when(U.endings_count(url_col) > 1, "endings")
               .when(F.col(url_col).rlike(BANNED_RE), "banned"))
-    return (x.withColumn("reject_reason", reason)
+    return (x.withColumn("reject_reason", reason).drop("_allowed")
             .withColumn("clean_url", U.clean_url(url_col)))

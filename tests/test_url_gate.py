@@ -74,3 +74,28 @@ def test_public_suffix_rules(spark):
 
 def test_banned_regex_escapes():
     assert U.escape_literal("admin.asp?") == r"admin\.asp\?"
+
+
+def test_long_lists_are_joined_with_the_same_result(spark, monkeypatch):
+    """A rule list and an allow list beyond the literals' bound: joins, equal rows."""
+    rules = G.suffix_rules_df(spark).unionByName(spark.createDataFrame(
+        [("ck", "wildcard"), ("www.ck", "exception"), ("kobe.jp", "wildcard"), ("city.kobe.jp", "exception"), ("uk", "plain"), ("co.uk", "plain")], "name string, kind string"))
+    urls = ["http://a.b.co.uk/x", "http://co.uk/", "http://www.ck/", "http://x.y.ck/a", "http://y.ck", "http://city.kobe.jp/", "http://a.c.kobe.jp/", "http://c.kobe.jp/",
+            "http://news.good.com/1", "http://good.com/1", "http://shop.good.com/1", "http://other.com/1", "http://nosuffix/", "not a url", "", None, "http://good.com/" + "x" * 300]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "k long, url string")
+    allow = G.allow_list_df(spark, {"good.com": ["news", ""], "b.co.uk": True, "www.ck": True, "x.y.ck": True})
+
+    def run():
+        return sorted(map(tuple, G.url_gate(df, allow, rules).select("k", "host", "subdomain", "domain", "suffix", "registered_domain", "reject_reason", "clean_url").collect()))
+
+    short = run()
+    monkeypatch.setattr(G, "LITERALS", 0)
+    assert run() == short and any(r[6] is None for r in short)
+
+
+def test_a_full_size_rule_list(spark):
+    rules = spark.range(12_000).selectExpr("concat('s', id, '.com') as name", "'plain' as kind").unionByName(
+        spark.createDataFrame([("com", "plain")], "name string, kind string"))
+    hosts = spark.createDataFrame([("a.b.s77.com",), ("x.s12001.com",), ("s5.com",)], "host string")
+    got = {r.host: (r.subdomain, r.domain, r.suffix) for r in G.split_hosts(hosts, rules).collect()}
+    assert got == {"a.b.s77.com": ("a", "b", "s77.com"), "x.s12001.com": ("x", "s12001", "com"), "s5.com": ("", "", "s5.com")}
