@@ -38,7 +38,8 @@ def _deduped(spark, sf_dir):
 
 
 def _edges(articles, kept):
-    own = articles.join(kept.select("id").distinct(), "id", "left_semi")
+    # only ids meet, so that no text is shuffled while they are few
+    own = articles.select("id", "text").join(text_join.small(cut_lineage(kept.select("id").distinct())), "id", "left_semi")
     return text_join.sparse_edges(text_join.text_vectors(own), kept, THRESHOLD)
 
 
