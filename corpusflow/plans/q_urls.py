@@ -108,7 +108,7 @@ def url_clean(spark, sf_dir):
 @register("url_domain_split", f"""WITH {_PARTS_SQL}
 SELECT page_id, host, subdomain, domain, suffix, registered_domain FROM split""")
 def url_domain_split(spark, sf_dir):
-    """Longest public suffix per distinct host, joined back to every page."""
+    """Longest public suffix of each page's host, as an expression over the row while the rule list is short."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return G.url_parts(pages, G.suffix_rules_df(spark)) \
         .select("page_id", "host", "subdomain", "domain", "suffix", "registered_domain")
