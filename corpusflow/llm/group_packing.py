@@ -33,6 +33,8 @@ END_ID = 2
 #: Documents a group holds on average; at most ``CAPACITY`` ids of 4 bytes each.
 GROUP = 4096
 SEED = 12
+#: Entries of a worker's two caches of encoded words (some 200 bytes each).
+CACHE_CHUNKS, CACHE_PARTS = 60_000, 600_000
 #: Places for the sequence numbers of a group, and the bit that marks sequences of one full piece.
 _PER_GROUP, _FULL, _PER_PART = 1 << 20, 1 << 62, 1 << 40
 
@@ -149,7 +151,7 @@ def token_rests(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = worker_ids(key, shared), TaskContext.get().partitionId()
+        encode, part = worker_ids(key, shared, CACHE_CHUNKS, CACHE_PARTS), TaskContext.get().partitionId()
         full = row = 0
         for batch in batches:
             for some in slices(batch, 4 << 20):
