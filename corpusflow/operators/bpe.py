@@ -109,6 +109,7 @@ def train_bpe(words: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int
     in each, and how often the pair counts were read in full.
     """
     spark = words.sparkSession
+    words = cut_lineage(words)  # the corpus is read and cut once
     vocab: list[str] = list(special_tokens)
     ids: dict[str, int] = {t: i for i, t in enumerate(vocab)}
     # initial alphabet: characters seen, in code point order (at most 256 in byte-level form)
@@ -120,9 +121,12 @@ def train_bpe(words: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int
         if c not in ids:
             ids[c] = len(vocab)
             vocab.append(c)
-    char_ids = F.create_map(*[x for c in chars if c in ids for x in (F.lit(c), F.lit(ids[c]))])
-    state = words.select(F.transform(F.split("word", ""), lambda c: F.element_at(char_ids, c)).alias("w"),
-                         F.col("n").cast("long").alias("n")).where(F.size("w") > 0)
+    by_point = [None] * (max(map(ord, chars), default=0) + 1)
+    for c in chars:
+        by_point[ord(c)] = ids.get(c)
+    char_ids = F.lit([-1 if x is None else x for x in by_point])
+    state = words.select(F.transform(F.split("word", ""), lambda c: F.nullif(F.get(char_ids, F.ascii(c)), F.lit(-1))).alias("w"),
+                         F.col("n").cast("long").alias("n")).where(F.length("word") > 0)
     state = cut_lineage(state.where(~F.exists("w", lambda x: x.isNull())))
     merges = merge_rounds(state, vocab, ids, vocab_size, min_frequency, top_k, words_per_partition, stats)
     vocab_df = spark.createDataFrame(list(enumerate(vocab)), "id long, token string")

@@ -1,11 +1,11 @@
 """B1: rounds of BPE merges that touch only the words holding a merged pair.
 
 The distinct words are dealt into chunks of a bounded size, one stored row per
-chunk.  A chunk's worker keeps its words and a posting table (pair -> words)
-from round to round; a round reads the postings of the merged pairs, rewrites
-those words alone and gives out how the pair counts changed.  A worker that
-has missed rounds catches up from the merge log, and one that has nothing
-rebuilds from the stored row, so a lost executor costs time and no result.
+chunk.  A chunk's worker keeps its words as one array of symbols from round to
+round; a round finds the merged pairs by numpy, rewrites them and gives out how
+the pair counts changed around them.  A worker that has missed rounds catches
+up from the merge log, and one that has nothing begins with the stored row, so
+a lost executor costs time and no result.
 
 The driver keeps the counts of the most frequent pairs (``Head``, at most
 ``HEAD`` of them) and adds the changes.  A pair outside is known to be below
@@ -31,10 +31,12 @@ from corpusflow.session import cut_lineage
 HEAD = 500_000
 #: Symbols of a chunk, beside its number of words.
 CHUNK_SYMBOLS = 500_000
-#: Symbols that a worker keeps over all its chunks (some 150 bytes each, with their postings); the chunk used longest ago
-#: goes first and is rebuilt if it comes back.
-KEPT_SYMBOLS = 2_000_000
-_SHIFT = 32  # token ids stay below 2^32: a << 32 | b names a pair
+#: Symbols that a worker keeps over all its chunks (some 10 bytes each); the chunk used longest ago goes first and is
+#: rebuilt if it comes back.
+KEPT_SYMBOLS = 20_000_000
+_SHIFT = 32  # token ids stay below 2^31: a << 32 | b names a pair
+_LOW = (1 << _SHIFT) - 1
+_END = -1  # after every word of a chunk
 
 #: Merges of a round: pair -> new token.
 Round = dict[int, int]
@@ -44,71 +46,104 @@ def pair(a: int, b: int) -> int:
     return a << _SHIFT | b
 
 
-def merge_word(word: list[int], merges: Round) -> list[int]:
-    """One left-to-right pass; the pairs of a round never overlap, so it equals one merge after the other."""
-    out, k, last = [], 0, len(word) - 1
-    while k < last:
-        t = merges.get(word[k] << _SHIFT | word[k + 1])
-        if t is None:
-            out.append(word[k])
-            k += 1
-        else:
-            out.append(t)
-            k += 2
-    if k == last:
-        out.append(word[k])
-    return out
-
-
 class Chunk:
-    """Words of one chunk after ``applied`` rounds, and the words of each pair."""
+    """Words of one chunk after ``applied`` rounds, as one array of symbols.
+
+    Every word is followed by ``_END``, so pairs never span two words.  A round
+    is some passes of numpy over the array, and the counts change only where a
+    merged symbol or its neighbour stands.
+    """
 
     def __init__(self, symbols: bytes, lengths: bytes, counts: bytes):
-        flat, at = np.frombuffer(symbols, "<i4").tolist(), 0
-        self.words: list[list[int]] = []
-        for n in np.frombuffer(lengths, "<i4").tolist():
-            self.words.append(flat[at:at + n])
-            at += n
-        self.counts = np.frombuffer(counts, "<i8").tolist()
+        flat, ends = np.frombuffer(symbols, "<i4"), np.cumsum(np.frombuffer(lengths, "<i4"), dtype=np.int64)
+        self.flat = np.insert(flat, ends, _END)
+        self.of = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0) + 1)
+        self.counts = np.frombuffer(counts, "<i8")
         self.symbols, self.applied, self.touched = len(flat), 0, 0
-        self.postings: dict[int, set[int]] = {}
-        for k, word in enumerate(self.words):
-            for a, b in zip(word, word[1:]):
-                self.postings.setdefault(a << _SHIFT | b, set()).add(k)
-        self.last: dict[int, int] = {}
-
-    def apply(self, merges: Round) -> None:
-        """Rewrite the words that hold a merged pair; ``last`` is how the pair counts changed."""
-        change: dict[int, int] = {}
-        hold: set[int] = set()
-        for p in merges:
-            hold |= self.postings.pop(p, set())
-        for k in hold:
-            old, n = self.words[k], self.counts[k]
-            new = merge_word(old, merges)
-            if len(new) == len(old):
-                continue  # an earlier round took the pair's place
-            self.words[k] = new
-            for a, b in zip(old, old[1:]):
-                p = a << _SHIFT | b
-                change[p] = change.get(p, 0) - n
-            for a, b in zip(new, new[1:]):
-                p = a << _SHIFT | b
-                change[p] = change.get(p, 0) + n
-                self.postings.setdefault(p, set()).add(k)
+        self.changed = _summed_pairs(np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def _pairs_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that begin at ``at`` inside a word, and how often each counts."""
+        x, y = self.flat[at], self.flat[at + 1]
+        inside = (x != _END) & (y != _END)
+        return x[inside].astype(np.int64) << _SHIFT | y[inside], self.counts[self.of[at[inside]]]
+
+    def _matches(self, keys: np.ndarray) -> np.ndarray:
+        """Where a pair of ``keys`` (sorted) is merged: of overlapping equals every second one, from the left."""
+        left, right = (np.zeros(max(int(self.flat.max(initial=0)), int((keys >> _SHIFT).max()), int((keys & _LOW).max())) + 2, bool) for _ in range(2))
+        left[keys >> _SHIFT], right[keys & _LOW] = True, True  # the last entry, which _END (-1) reads, stays False
+        at = np.flatnonzero(left[self.flat[:-1]] & right[self.flat[1:]])
+        p = self.flat[at].astype(np.int64) << _SHIFT | self.flat[at + 1]
+        at = at[keys[np.minimum(np.searchsorted(keys, p), len(keys) - 1)] == p]
+        if len(at):
+            starts = np.flatnonzero(np.diff(at, prepend=at[0] - 2) != 1)  # runs of places side by side
+            at = at[(np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0]
+        return at
+
+    def apply(self, merges: Round, changes: bool = True) -> None:
+        """Merge; ``changed`` is how the pair counts changed (not made without ``changes``)."""
+        keys = np.array(sorted(merges), np.int64)
+        made = np.array([merges[k] for k in keys.tolist()], np.int32)
+        at = self._matches(keys)
+        pairs: list[np.ndarray] = []
+        numbers: list[np.ndarray] = []
+
+        def around(places: np.ndarray, sign: int) -> None:
+            p, n = self._pairs_at(places)
+            pairs.append(p)
+            numbers.append(sign * n)
+
+        if changes:
+            self.touched = len(np.unique(self.of[at]))
+            old = np.unique(np.concatenate((at - 1, at, at + 1)))
+            around(old[old >= 0], -1)
+        self.flat = self.flat.copy()
+        self.flat[at] = made[np.searchsorted(keys, self.flat[at].astype(np.int64) << _SHIFT | self.flat[at + 1])]
+        keep = np.ones(len(self.flat), bool)
+        keep[at + 1] = False
+        self.flat, self.of = self.flat[keep], self.of[keep]
+        if changes:
+            new = at - np.arange(len(at))  # one symbol less for every match before
+            new = np.unique(np.concatenate((new - 1, new)))
+            around(new[new >= 0], 1)
+            self.changed = _summed_pairs(np.concatenate(pairs), np.concatenate(numbers))
         self.applied += 1
-        self.touched = len(hold)
-        self.last = {p: d for p, d in change.items() if d}
+
+    def pair_totals(self) -> tuple[np.ndarray, np.ndarray]:
+        return _summed_pairs(*self._pairs_at(np.arange(max(0, len(self.flat) - 1))))
+
+    @property
+    def last(self) -> dict[int, int]:
+        return dict(zip(*(x.tolist() for x in self.changed)))
 
     def totals(self) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for word, n in zip(self.words, self.counts):
+        return dict(zip(*(x.tolist() for x in self.pair_totals())))
+
+    @property
+    def words(self) -> list[list[int]]:
+        return [w[:-1].tolist() for w in np.split(self.flat, np.flatnonzero(self.flat == _END) + 1)[:-1]]
+
+    @property
+    def postings(self) -> dict[int, set[int]]:
+        """pair -> numbers of the words that hold it."""
+        out: dict[int, set[int]] = {}
+        for k, word in enumerate(self.words):
             for a, b in zip(word, word[1:]):
-                p = a << _SHIFT | b
-                out[p] = out.get(p, 0) + n
+                out.setdefault(pair(a, b), set()).add(k)
         return out
 
 
+def _summed_pairs(pairs: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once with its sum; pairs with the sum 0 are left out."""
+    if not len(pairs):
+        return pairs.astype(np.int64), numbers.astype(np.int64)
+    order = np.argsort(pairs, kind="stable")
+    p = pairs[order]
+    starts = np.flatnonzero(np.diff(p, prepend=p[0] - 1))
+    n = np.add.reduceat(numbers[order], starts)
+    return p[starts][n != 0], n[n != 0]
+
+
 #: What a Python worker keeps from round to round: (training, chunk) -> Chunk, least recently used first.
 _KEPT: OrderedDict[tuple[str, int], Chunk] = OrderedDict()
 
@@ -120,7 +155,7 @@ def chunk_at(training: str, number: int, row: tuple[bytes, bytes, bytes], log: l
     if chunk is None or chunk.applied > len(log):
         chunk = Chunk(*row)
     while chunk.applied < len(log):
-        chunk.apply(log[chunk.applied])
+        chunk.apply(log[chunk.applied], chunk.applied == len(log) - 1)
     for old in [k for k in _KEPT if k[0] != training]:
         del _KEPT[old]
     _KEPT[key] = chunk
@@ -158,14 +193,14 @@ class Chunks:
         self.stored, self.log, self.training = store_chunks(state, words_per_chunk), [], uuid.uuid4().hex
 
     def _summed(self, what) -> DataFrame:
-        """(pair, n) over all chunks; ``what(chunk)`` gives a dict and the words it touched, as pair -1."""
+        """(pair, n) over all chunks; ``what(chunk)`` gives both as arrays and the words it touched, as pair -1."""
         training, log = self.training, self.log
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for r in b.to_pylist():
-                    found, touched = what(chunk_at(training, r["chunk"], (r["symbols"], r["lengths"], r["counts"]), log))
-                    yield pa.RecordBatch.from_arrays([pa.array([-1, *found], pa.int64()), pa.array([touched, *found.values()], pa.int64())],
+                    (pairs, n), touched = what(chunk_at(training, r["chunk"], (r["symbols"], r["lengths"], r["counts"]), log))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.append(pairs, -1), pa.int64()), pa.array(np.append(n, touched), pa.int64())],
                                                      names=["pair", "n"])
 
         return self.stored.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -173,15 +208,15 @@ class Chunks:
     def merge(self, merges: Round) -> tuple[dict[int, int], int]:
         """(how the pair counts changed, words touched) of one more round."""
         self.log.append(merges)
-        found = self._summed(lambda c: (c.last, c.touched)).toArrow()
+        found = self._summed(lambda c: (c.changed, c.touched)).toArrow()
         change = dict(zip(found.column("pair").to_pylist(), found.column("n").to_pylist()))
         return change, change.pop(-1, 0)
 
     def most_frequent(self, size: int) -> tuple[dict[int, int], tuple[int, int] | None]:
         """The counts of the ``size`` most frequent pairs, and (-count, pair) of the next one (None: there is none)."""
-        rows = self._summed(lambda c: (c.totals(), 0)).where("pair >= 0 and n > 0").orderBy(F.desc("n"), "pair").limit(size + 1).collect()
-        counts = {r["pair"]: r["n"] for r in rows[:size]}
-        return counts, (-rows[size]["n"], rows[size]["pair"]) if len(rows) > size else None
+        rows = self._summed(lambda c: (c.pair_totals(), 0)).where("pair >= 0 and n > 0").orderBy(F.desc("n"), "pair").limit(size + 1).toArrow()
+        pairs, n = rows.column("pair").to_pylist(), rows.column("n").to_pylist()
+        return dict(zip(pairs[:size], n[:size])), (-n[size], pairs[size]) if len(pairs) > size else None
 
 
 class Head:

@@ -205,3 +205,24 @@ def test_long_words_encode_like_the_tokenizers_package(spark):
     got = {x["k"]: list(x["ids"]) for x in bpe.encode_texts(spark.createDataFrame(list(enumerate(long)), "k long, value string"), ["k"], "value", vocab, merges).collect()}
     assert time.time() - t0 < 60
     assert all(got[k] == tok.encode(t).ids for k, t in enumerate(long))
+
+
+def test_the_corpus_is_read_once_and_chunks_are_arrays(spark):
+    """Training cuts the corpus into words once, and a chunk holds some bytes a symbol, not a set of words per pair."""
+    import numpy as np
+
+    from corpusflow.operators.bpe_rounds import Chunk
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    words = spark.createDataFrame(list(random_words(3).items()), "word string, n long")
+    bpe.train_bpe(words.mapInArrow(count, words.schema), vocab_size=12)
+    assert seen.value == words.count()
+    flat = np.random.default_rng(1).integers(0, 50, 100_000)
+    chunk = Chunk(flat.astype("<i4").tobytes(), np.full(10_000, 10, "<i4").tobytes(), np.ones(10_000, "<i8").tobytes())
+    assert sum(x.nbytes for x in vars(chunk).values() if isinstance(x, np.ndarray)) < 12 * len(flat)
