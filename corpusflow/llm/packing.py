@@ -249,9 +249,7 @@ def balanced(counts: np.ndarray, capacity: int, split: int) -> list[Use]:
 def incumbents(counts: np.ndarray, capacity: int) -> Iterator[list[Use]]:
     """Best-fit decreasing, then ``balanced`` at splits over the lengths, finer around the best of them."""
     yield best_fit(counts, capacity)
-    lengths = np.flatnonzero(counts)
-    if len(lengths) > 2000 or counts.sum() == 0:
-        lengths = lengths[:: -(-len(lengths) // 2000)]
+    lengths = np.flatnonzero(counts)  # all of them: each round below tries some SPLITS, however many there are
     tried: dict[int, int] = {}
     a, b = 0, len(lengths) - 1
     while b >= a:

@@ -127,3 +127,13 @@ def test_sequences_of_long_middling_and_short_pieces():
             held[x] += u.times
     assert (held == np.bincount(lengths, minlength=4097)).all()
     assert sum(u.times for u in uses) <= 1127  # best-fit decreasing: 1188
+
+
+def test_first_solutions_may_split_at_every_length(monkeypatch):
+    """The splits are narrowed to neighbouring lengths, also with more than 2,000 of them."""
+    splits, real = [], K.balanced
+    monkeypatch.setattr(K, "balanced", lambda counts, capacity, split: splits.append(split) or real(counts, capacity, split))
+    counts = np.zeros(4097, np.int64)
+    counts[1:2501] = 1
+    assert all(sorted(x for u in found for x in u.lengths * u.times) == list(range(1, 2501)) for found in K.incumbents(counts, 4096))
+    assert {b - a for a, b in zip(sorted(splits), sorted(splits)[1:])} >= {1} and len(splits) < 100
