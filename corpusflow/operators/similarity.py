@@ -1,14 +1,15 @@
 """Exact cosine self-join inside windows, blocked so no task holds more than two blocks.
 
-A window with more than ``block_rows`` vectors is cut into cells: each vector
+A window with more than a block of vectors is cut into cells: each vector
 goes to the nearest of some pivots (rows of the window), and a cell that is
-still too large into blocks by a hash.  Two vectors of cells with pivots p and
+still too large into blocks by a hash.  Blocks grow with the window up to a
+bounded size, so that a row is part of a bounded number of pairs.  Two vectors of cells with pivots p and
 q are at an angle of at least angle(p, q) less the cells' radii, so block pairs
 whose least angle is over that of the threshold hold no pair and are never
 made.  Rows are replicated once per block pair that is left (a join with the
-table of block pairs).  One Arrow group = one block pair = at most ``2 *
-block_rows`` vectors; numpy computes the tile of dot products in float64 and
-emits only pairs at or above the threshold.
+table of block pairs).  One Arrow group = one block pair; numpy computes tiles
+of dot products and emits only pairs at or above the threshold, as float64 has
+them, or only counts them (:func:`neighbour_counts`).
 
 Vectors that lie in clusters skip most block pairs; where nothing can be
 skipped the work stays quadratic inside a window (the reference compares every
@@ -24,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,50 +40,86 @@ EDGE_SCHEMA = T.StructType([
     T.StructField("score", T.DoubleType()),
 ])
 
-_TILE = 1024  # rows per numpy tile inside one block pair
+_TILE = 1024, 2048  # rows and columns of a numpy tile inside one block pair
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length (no nulls) as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1 if len(column) else 0)
+
+
+def hits(left: np.ndarray, right: np.ndarray, threshold: float, scores: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(rows, columns, dot products) of the pairs at or above the threshold in double precision, tile by tile.
+
+    A product in single precision finds the pairs; those within its error of the
+    threshold, or all if their scores are asked for, are made again in double.
+    """
+    if not len(left) or not len(right):
+        return
+    with np.errstate(all="ignore"):
+        reach = np.fmax.reduce(np.linalg.norm(left, axis=1)) * np.fmax.reduce(np.linalg.norm(right, axis=1))
+    kind = np.float32 if np.isfinite(reach) and 1e-30 < reach < 1e30 else np.float64
+    error = 4 * (left.shape[1] + 4) * float(np.finfo(kind).eps) * (reach if np.isfinite(reach) else 0.0)
+    a, b = left.astype(kind), right.astype(kind)
+    for i in range(0, len(a), _TILE[0]):
+        for j in range(0, len(b), _TILE[1]):
+            tile = a[i:i + _TILE[0]] @ b[j:j + _TILE[1]].T
+            flat = np.flatnonzero(tile >= kind(threshold - error))
+            if not len(flat):
+                continue
+            rows, cols = np.divmod(flat, tile.shape[1])
+            again = np.arange(len(flat)) if scores else np.flatnonzero(tile.ravel()[flat] <= kind(threshold + error))
+            exact = np.empty(len(again))
+            for k in range(0, len(again), 1 << 16):
+                at = again[k:k + (1 << 16)]
+                exact[k:k + (1 << 16)] = np.einsum("ij,ij->i", left[rows[at] + i], right[cols[at] + j])
+            keep = np.ones(len(flat), bool)
+            keep[again] = exact >= threshold
+            yield rows[keep] + i, cols[keep] + j, exact[keep] if scores else None
+
+
+def _sides(table: pa.Table) -> tuple[int, bool, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Window, whether the pair is one block against itself, and (ids, numbers, vectors) of both blocks."""
+    window, lo, hi = (table.column(c)[0].as_py() for c in ("window_id", "b_lo", "b_hi"))
+    blk, ids, n = (table.column(c).to_numpy() for c in ("blk", "id", "n"))
+    vectors = matrix(table.column("vec"))
+    sides = [(ids[blk == k], n[blk == k], vectors[blk == k]) for k in ((lo,) if lo == hi else (lo, hi))]
+    return window, lo == hi, [sides[0], sides[-1]]
 
 
 def _block_pair_edges(threshold: float, include_self: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame({f.name: [] for f in EDGE_SCHEMA.fields})
-        window_id = int(pdf["window_id"].iloc[0])
-        b_lo, b_hi = int(pdf["b_lo"].iloc[0]), int(pdf["b_hi"].iloc[0])
-        left = pdf[pdf["blk"] == b_lo]
-        right = pdf[pdf["blk"] == b_hi] if b_hi != b_lo else left
-        li = left["id"].to_numpy(np.int64)
-        ri = right["id"].to_numpy(np.int64)
-        lv = np.stack(left["vec"].to_numpy()).astype(np.float64) if len(left) else np.zeros((0, 0))
-        rv = np.stack(right["vec"].to_numpy()).astype(np.float64) if len(right) else np.zeros((0, 0))
-        out_src, out_dst, out_score = [], [], []
-        same = b_hi == b_lo
-        for s in range(0, len(li), _TILE):
-            tile = lv[s:s + _TILE] @ rv.T
-            rows, cols = np.nonzero(tile >= threshold)
-            gi = rows + s
-            if same:
-                keep = gi < cols  # each unordered pair once, self handled below
-                rows, cols, gi = rows[keep], cols[keep], gi[keep]
-            sc = tile[rows, cols]
-            a, b = li[gi], ri[cols]
-            out_src += [a, b]
-            out_dst += [b, a]
-            out_score += [sc, sc]
-        if same and include_self and len(li):
-            self_scores = np.einsum("ij,ij->i", lv, lv)
-            keep = self_scores >= threshold
-            out_src.append(li[keep])
-            out_dst.append(li[keep])
-            out_score.append(self_scores[keep])
-        if not out_src:
-            return pd.DataFrame({f.name: [] for f in EDGE_SCHEMA.fields})
-        src = np.concatenate(out_src)
-        return pd.DataFrame({
-            "window_id": np.full(len(src), window_id, dtype=np.int64),
-            "src": src,
-            "dst": np.concatenate(out_dst),
-            "score": np.concatenate(out_score),
-        })
+    def run(table: pa.Table) -> pa.Table:
+        window, same, ((li, _, lv), (ri, _, rv)) = _sides(table)
+        out: list[tuple[np.ndarray, ...]] = []
+        for rows, cols, scores in hits(lv, rv, threshold):
+            if same and not include_self:
+                rows, cols, scores = (x[rows != cols] for x in (rows, cols, scores))
+            out.append((li[rows], ri[cols], scores))
+            if not same:
+                out.append((ri[cols], li[rows], scores))
+        src, dst, score = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"window_id": np.full(len(src), window, np.int64), "src": src, "dst": dst, "score": score})
+    return run
+
+
+def _block_pair_counts(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        window, same, ((li, ln, lv), (ri, rn, rv)) = _sides(table)
+        totals = [np.zeros((2, len(x)), np.int64) for x in (li, ri)]
+
+        def add(total: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+            total[0] += np.bincount(at, minlength=total.shape[1])
+            total[1] += np.bincount(at, weights=n, minlength=total.shape[1]).astype(np.int64)
+
+        for rows, cols, _ in hits(lv, rv, threshold, scores=False):
+            add(totals[0], rows, rn[cols])
+            if not same:
+                add(totals[1], cols, ln[rows])
+        found = [(li, totals[0])] if same else [(li, totals[0]), (ri, totals[1])]
+        ids, links, size = (np.concatenate(x) for x in zip(*[(i, t[0], t[1]) for i, t in found]))
+        return pa.table({"window_id": np.full(len(ids), window, np.int64), "id": ids, "links": links, "size": size}).filter(pa.array(links > 0))
     return run
 
 
@@ -103,15 +139,15 @@ def _assign(shared):
             norm = np.zeros(len(windows))
             for w in np.unique(windows):
                 at = np.flatnonzero(windows == w)
-                x = np.stack([np.asarray(v, np.float64) for v in vec.take(pa.array(at)).to_pylist()])
+                x = matrix(vec.take(pa.array(at)))
                 norm[at] = np.linalg.norm(x, axis=1)
                 pivots = shared.value.get(int(w))
                 if pivots is not None:
                     cos = (x @ pivots.T) / np.maximum(norm[at], 1e-300)[:, None]
                     cell[at] = cos.argmax(axis=1)
                     angle[at] = np.where(norm[at] > 0, np.arccos(np.clip(cos.max(axis=1), -1, 1)), 0.0)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("window_id", "id", "vec")), pa.array(cell), pa.array(angle), pa.array(norm)],
-                                             names=["window_id", "id", "vec", "cell", "angle", "norm"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("window_id", "id", "vec", "n")), pa.array(cell), pa.array(angle), pa.array(norm)],
+                                             names=["window_id", "id", "vec", "n", "cell", "angle", "norm"])
     return run
 
 
@@ -134,7 +170,7 @@ def _pivots(rows: DataFrame, sizes: DataFrame) -> dict[int, np.ndarray]:
     total = wanted.agg(F.sum("k").alias("k"), F.max("bytes").alias("bytes")).first()
     if not total["k"] or 4 * total["k"] * total["bytes"] > PIVOT_BYTES:
         return {}
-    chosen = (rows.join(F.broadcast(wanted), "window_id").where(F.pmod(F.xxhash64("id", F.lit(11)), F.col("n")) < 4 * F.col("k"))
+    chosen = (rows.drop("n").join(F.broadcast(wanted), "window_id").where(F.pmod(F.xxhash64("id", F.lit(11)), F.col("n")) < 4 * F.col("k"))
               .select("window_id", "id", "vec", "k").orderBy("window_id", "id").collect())  # PIVOT_BYTES at most
     out: dict[int, list[np.ndarray]] = {}
     number = {int(r["window_id"]): r["k"] for r in chosen}
@@ -173,41 +209,111 @@ def block_pairs(cells: DataFrame, pivots: dict[int, np.ndarray], threshold: floa
 BROADCAST_BLOCKS = 50_000
 
 
+#: Blocks that a window is cut into while they are at most so many rows or, beyond, so many bytes of vectors (in double).
+BLOCK_ROWS, BLOCKS, BLOCK_BYTES = 2048, 24, 32 << 20
+
+
+def _met_blocks(df: DataFrame, threshold: float, id_col: str, vec_col: str, window_col: str | None, block_rows: int | None,
+                stats: dict | None) -> DataFrame:
+    """``window_id, id, vec, n, blk, b_lo, b_hi``: each row once per pair of blocks that it is part of.
+
+    Without ``block_rows`` a window has at most some ``BLOCKS`` blocks until
+    they reach ``BLOCK_BYTES``, so rows are repeated a bounded number of times.
+    """
+    win = F.col(window_col).cast("long") if window_col else F.lit(0).cast("long")
+    rows = df.select(win.alias("window_id"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"),
+                     (F.col("n") if "n" in df.columns else F.lit(1)).cast("long").alias("n")).where("vec is not null")
+    # one row per window: its block count.  Bounded by the number of windows.
+    sizes = rows.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), (F.max(F.size("vec")) * 8).alias("bytes"))
+    if block_rows:
+        nb = F.ceil(F.col("n") / F.lit(block_rows))
+    else:
+        nb = F.least(F.ceil(F.col("n") / BLOCK_ROWS), F.greatest(F.lit(BLOCKS), F.ceil(F.col("n") * F.col("bytes") / BLOCK_BYTES)))
+    sizes = cut_lineage(sizes.withColumn("nb", nb.cast("int")))
+    if sizes.where("nb > 1").isEmpty():  # each window is one block
+        return rows.select("*", F.lit(0).alias("blk"), F.lit(0).alias("b_lo"), F.lit(0).alias("b_hi"))
+    pivots = _pivots(rows, sizes)
+    shared = df.sparkSession.sparkContext.broadcast(pivots)  # PIVOT_BYTES at most
+    schema = T.StructType(list(rows.schema.fields)).add("cell", T.IntegerType()).add("angle", T.DoubleType()).add("norm", T.DoubleType())
+    placed = cut_lineage(rows.mapInArrow(_assign(shared), schema))
+    share = F.lit(block_rows) if block_rows else F.ceil(F.col("all") / F.col("nb"))
+    cells = (placed.groupBy("window_id", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"), F.max("norm").alias("norm"))
+             .join(F.broadcast(sizes.select("window_id", F.col("n").alias("all"), "nb")), "window_id"))
+    cells = cut_lineage(cells.withColumn("k", F.ceil(F.col("n") / share).cast("int")).drop("all", "nb"))  # a row per pivot, or per window
+    pairs = cut_lineage(block_pairs(cells, pivots, threshold))
+    if stats is not None:
+        blocks = {r["window_id"]: r["k"] for r in cells.groupBy("window_id").agg(F.sum("k").alias("k")).collect()}
+        stats.update(made=pairs.count(), all=sum(k * (k + 1) // 2 for k in blocks.values()), blocks=blocks)
+    blk = (F.shiftleft((F.col("cell") + 1).cast("long"), 24) + F.pmod(F.xxhash64("id"), F.col("k"))).alias("blk")
+    own = placed.join(F.broadcast(cells.select("window_id", "cell", "k")), ["window_id", "cell"]).select("window_id", "id", "vec", "n", blk)
+    # each block once per pair that it is part of
+    of = pairs.select("window_id", F.explode(F.array_distinct(F.array("b_lo", "b_hi"))).alias("blk"), "b_lo", "b_hi")
+    return own.join(F.broadcast(of) if of.count() <= BROADCAST_BLOCKS else of, ["window_id", "blk"])
+
+
 def similarity_edges(df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "vector",
-                     window_col: str | None = "window_id", block_rows: int = 2048,
+                     window_col: str | None = "window_id", block_rows: int | None = None,
                      include_self: bool = True, stats: dict | None = None) -> DataFrame:
     """All pairs (both directions, plus self) inside each window with cosine >= threshold.
 
     Vectors are expected to be unit length (cosine = dot product), as the
-    encoder output is.  ``id_col`` must be unique within a window.  ``stats``
-    (optional dict) receives the block pairs that are made and that there are.
+    encoder output is; null vectors have no pair.  ``id_col`` must be unique
+    within a window.  ``stats`` (optional dict) receives the block pairs that
+    are made and that there are.
     """
-    win = F.col(window_col).cast("long") if window_col else F.lit(0).cast("long")
-    rows = df.select(win.alias("window_id"), F.col(id_col).cast("long").alias("id"),
-                     F.col(vec_col).alias("vec"))
-    # one row per window: its block count.  Bounded by the number of windows.
-    sizes = cut_lineage(rows.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), (F.max(F.size("vec")) * 8).alias("bytes"))
-                        .withColumn("nb", F.ceil(F.col("n") / F.lit(block_rows)).cast("int")))
-    if sizes.where("nb > 1").isEmpty():  # each window is one block
-        tagged = rows.select("*", F.lit(0).alias("blk"), F.lit(0).alias("b_lo"), F.lit(0).alias("b_hi"))
-    else:
-        pivots = _pivots(rows, sizes)
-        shared = df.sparkSession.sparkContext.broadcast(pivots)  # PIVOT_BYTES at most
-        schema = T.StructType(list(rows.schema.fields)).add("cell", T.IntegerType()).add("angle", T.DoubleType()).add("norm", T.DoubleType())
-        placed = cut_lineage(rows.mapInArrow(_assign(shared), schema))
-        cells = cut_lineage(placed.groupBy("window_id", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"), F.max("norm").alias("norm"))
-                            .withColumn("k", F.ceil(F.col("n") / F.lit(block_rows)).cast("int")))  # a row per pivot, or per window
-        pairs = cut_lineage(block_pairs(cells, pivots, threshold))
-        if stats is not None:
-            blocks = {r["window_id"]: r["k"] for r in cells.groupBy("window_id").agg(F.sum("k").alias("k")).collect()}
-            stats.update(made=pairs.count(), all=sum(k * (k + 1) // 2 for k in blocks.values()))
-        blk = (F.shiftleft((F.col("cell") + 1).cast("long"), 24) + F.pmod(F.xxhash64("id"), F.col("k"))).alias("blk")
-        own = placed.join(F.broadcast(cells.select("window_id", "cell", "k")), ["window_id", "cell"]).select("window_id", "id", "vec", blk)
-        # each block once per pair that it is part of
-        of = pairs.select("window_id", F.explode(F.array_distinct(F.array("b_lo", "b_hi"))).alias("blk"), "b_lo", "b_hi")
-        tagged = own.join(of, ["window_id", "blk"])
-    return (tagged.groupBy("window_id", "b_lo", "b_hi")
-            .applyInPandas(_block_pair_edges(float(threshold), include_self), EDGE_SCHEMA))
+    tagged = _met_blocks(df, threshold, id_col, vec_col, window_col, block_rows, stats)
+    return tagged.groupBy("window_id", "b_lo", "b_hi").applyInArrow(_block_pair_edges(float(threshold), include_self), EDGE_SCHEMA)
+
+
+def neighbour_counts(df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "vector",
+                     window_col: str | None = "window_id", block_rows: int | None = None) -> DataFrame:
+    """``window_id, id, links, size`` of the same join without its edges: neighbours of each row, and their sum of ``n`` (a column, else 1)."""
+    tagged = _met_blocks(df, threshold, id_col, vec_col, window_col, block_rows, None)
+    parts = tagged.groupBy("window_id", "b_lo", "b_hi").applyInArrow(_block_pair_counts(float(threshold)), "window_id bigint, id bigint, links bigint, size bigint")
+    return parts.groupBy("window_id", "id").agg(F.sum("links").alias("links"), F.sum("size").alias("size"))
+
+
+def by_window(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """window -> (ids, vectors) of a bounded table ``window_id, id, vector``."""
+    windows, ids, vectors = rows.column("window_id").to_numpy(), rows.column("id").to_numpy(), matrix(rows.column("vector"))
+    return {int(w): (ids[windows == w], vectors[windows == w]) for w in np.unique(windows)}
+
+
+def edges_from(some: pa.Table, rows: DataFrame, threshold: float) -> DataFrame:
+    """``window_id, src, dst, score, n`` from ``some`` rows (a bounded table, broadcast) to ``rows`` (``window_id, id, vector, n``)."""
+    shared = rows.sparkSession.sparkContext.broadcast(by_window(some))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            windows, ids, n = (b.column(c).to_numpy() for c in ("window_id", "id", "n"))
+            vectors = matrix(b.column("vector"))
+            for w in np.unique(windows):
+                if w in shared.value:
+                    at = np.flatnonzero(windows == w)
+                    src, left = shared.value[int(w)]
+                    for i, j, score in hits(left, vectors[at], threshold):
+                        yield pa.RecordBatch.from_pydict({"window_id": np.full(len(i), w), "src": src[i], "dst": ids[at][j], "score": score, "n": n[at][j]})
+
+    return rows.select("window_id", "id", "vector", "n").mapInArrow(run, "window_id bigint, src bigint, dst bigint, score double, n bigint")
+
+
+def near_any(rows: DataFrame, some: pa.Table, threshold: float, near: bool) -> DataFrame:
+    """Those ``rows`` (with ``window_id, vector``) that have (or do not have) one of ``some`` at the threshold."""
+    shared = rows.sparkSession.sparkContext.broadcast(by_window(some))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            windows, vectors = b.column("window_id").to_numpy(), matrix(b.column("vector"))
+            found = np.zeros(len(windows), bool)
+            for w in np.unique(windows):
+                right = shared.value.get(int(w), (None, np.empty((0, 0))))[1]
+                for k in range(0, len(right), _TILE[1]):  # rows with a neighbour are not compared any more
+                    at = np.flatnonzero((windows == w) & ~found)
+                    for i, _, _ in hits(vectors[at], right[k:k + _TILE[1]], threshold, scores=False):
+                        found[at[i]] = True
+            yield b.filter(pa.array(found == near))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def lsh_edges(df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "vector",

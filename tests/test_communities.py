@@ -163,3 +163,34 @@ def test_twenty_thousand_copies_cost_as_many_rows(spark):
     assert {(r.cluster_no, r.center, r.n) for r in got.groupBy("cluster_no", "center").agg(F.count("*").alias("n")).collect()} == {(0, 0, 20_000), (1, 30_000, 5)}
     whole = community.communities_of_vectors(df, 0.9, 3)
     assert whole.groupBy("center").count().collect()[0][1] == 20_005
+
+
+def test_dense_cover_needs_no_table_of_links(spark, monkeypatch):
+    """Heads of a few candidates, slabs of a few rows: the same cover, and windows are cut into a bounded number of blocks."""
+    rng = np.random.default_rng(15)
+    base = unit(rng.normal(size=(160, 4))).astype(np.float32)
+    pick = np.concatenate((np.arange(160), rng.integers(0, 160, 60)))
+    rows = [(int(k % 2), 500 + int(k), base[p].tolist()) for k, p in enumerate(pick)] + [(1, 9999, None)]
+    df = spark.createDataFrame(rows, "window_id long, id long, vector array<float>")
+    key = lambda r: (r.window_id, r.cluster_no, r.member_no, r.center, r.id, round(r.score, 9))
+    v = base[pick].astype(np.float64)
+    for t, least in ((0.8, 3), (0.95, 1)):
+        want = set()
+        for w in (0, 1):
+            own = [k for k in range(len(pick)) if k % 2 == w]
+            nbrs = {500 + a: {500 + b for b in own if v[a] @ v[b] >= t} for a in own}
+            want |= {(w, c) for c, _ in sequential_greedy(nbrs, least)}
+        plain = sorted(map(key, community.communities_of_vectors(df, t, least).collect()))
+        assert {(r[0], r[3]) for r in plain} == want
+        with monkeypatch.context() as m:
+            m.setattr(community, "FEW_LINKS", 0)
+            m.setattr(community, "LINKS_PER_NODE", 0)
+            m.setattr(community, "HEAD_ROWS", 7)
+            m.setattr(community, "SLAB_BYTES", 32 * 9)
+            assert sorted(map(key, community.communities_of_vectors(df, t, least).collect())) == plain
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(similarity, "BLOCKS", 4)
+    stats = {}
+    got = {(r.window_id, r.src, r.dst) for r in similarity.similarity_edges(df, 0.8, stats=stats).collect()}
+    assert got == {(int(a % 2), 500 + int(a), 500 + int(b)) for a, b in zip(*np.nonzero(v @ v.T >= 0.8)) if a % 2 == b % 2}
+    assert max(stats["blocks"].values()) <= 8
