@@ -121,8 +121,21 @@ def combined_mask(ids: str | Column) -> Column:
 
 
 def padding_runs(ids: str | Column) -> Column:
-    """R3 as intervals: ``array<struct<start, stop>>`` of the maximal runs of padding, ``stop`` exclusive."""
+    """R3 as intervals: ``array<struct<start, stop>>`` of the maximal runs of padding, ``stop`` exclusive.
+
+    Padding at the end alone is found by whole-array built-ins; a row with
+    padding elsewhere is looked at element by element.
+    """
     c = F.col(ids) if isinstance(ids, str) else ids
+    zero = F.lit(0).cast("long")
+    first = F.array_position(c, zero).cast("int")
+    run = F.struct((first - 1).alias("start"), F.size(c).alias("stop"))
+    none = F.filter(F.array(run), lambda r: r["start"] >= 0)
+    tail = F.slice(c, F.greatest(first, F.lit(1)), F.size(c))
+    return F.when(first == 0, none).when(F.size(F.array_remove(tail, zero)) == 0, F.array(run)).otherwise(_any_padding_runs(c))
+
+
+def _any_padding_runs(c: Column) -> Column:
     one, n = F.array(F.lit(1).cast("long")), F.size(c)
     wide = F.transform(c, lambda x: x.cast("long"))
     before = F.concat(one, F.slice(wide, 1, F.greatest(n - 1, F.lit(0))))
