@@ -129,10 +129,13 @@ def in_batch_contrastive(df: DataFrame, batch_col: str = "batch_id", row_col: st
     rows = (rows.join(large, "batch_id", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
             .withColumn("blk", F.pmod(F.xxhash64("row"), F.col("nb")).cast("int")))
 
+    kinds = dict(rows.dtypes)
+    kept = "array<float>" if all(kinds[c] == "array<float>" for c in "apn" if c in kinds) else "array<double>"  # _tile widens them
+
     def copies(kind: int, vec: str):
         def one(k):
             i, j = (F.col("blk"), k) if kind == _ANCHOR else (k, F.col("blk"))
-            return F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"), F.col(vec).cast("array<double>").alias("vec"))
+            return F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"), F.col(vec).cast(kept).alias("vec"))
         return F.transform(F.sequence(F.lit(0), F.col("nb") - 1), one)
 
     sides = [copies(_ANCHOR, "a"), copies(_POSITIVE, "p"), *([copies(_NEGATIVE, "n")] if negative else [])]

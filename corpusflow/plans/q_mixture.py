@@ -165,7 +165,7 @@ def in_batch_contrastive(spark, sf_dir):
     ua, _ = _exchanges(spark, sf_dir)
     pairs = ua.select(F.xxhash64("conv_id", "turn").alias("pair_id"), "u", "a")
     model = encoder.fit_encoder(pairs.select(F.col("u").alias("t")).unionByName(pairs.select(F.col("a").alias("t"))), "t")
-    enc = encoder.encode(model, pairs.withColumnRenamed("u", "t"), "t", "anchor").withColumnRenamed("t", "u")
-    enc = encoder.encode(model, enc.withColumnRenamed("a", "t"), "t", "positive")
-    batches = batching.shuffled_batches(enc, "pair_id", SEED)
-    return metrics.in_batch_contrastive(batches, "batch_id", "row", "anchor", "positive")
+    batches = batching.shuffled_batches(pairs, "pair_id", SEED)  # texts move, and are encoded where they are batched
+    enc = encoder.encode(model, batches.withColumnRenamed("u", "t"), "t", "anchor").drop("t")
+    enc = encoder.encode(model, enc.withColumnRenamed("a", "t"), "t", "positive").drop("t")
+    return metrics.in_batch_contrastive(enc, "batch_id", "row", "anchor", "positive")
