@@ -38,10 +38,20 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+#: Rows of an Arrow batch at most: a Python worker holds a batch of whole texts and what it makes of them.
+BATCH_ROWS = 1000
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the workers as a zip, once per Spark context (they may start in any folder)."""
+    """Send this package to the workers as a zip, once per Spark context (they may start in any folder).
+
+    Arrow batches of the session are cut to ``BATCH_ROWS``.
+    """
     import zipfile
 
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_corpusflow_shipped", False):
         return
