@@ -40,7 +40,9 @@ def _deduped(spark, sf_dir):
 def _edges(articles, kept):
     # only ids meet, so that no text is shuffled while they are few
     own = articles.select("id", "text").join(text_join.small(cut_lineage(kept.select("id").distinct())), "id", "left_semi")
-    return text_join.sparse_edges(text_join.text_vectors(own), kept, THRESHOLD)
+    seldom = {1: 0, text_join.BLOCK_ROWS: 0}
+    vectors = text_join.text_vectors(own, seldom=seldom)
+    return text_join.sparse_edges(vectors, kept, THRESHOLD, seldom=seldom)
 
 
 @register("text_sister_edges", f"""WITH RECURSIVE {_TEXT_SQL}
