@@ -8,6 +8,8 @@ number of articles.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,16 +86,19 @@ def key_title(key: str | Column) -> Column:
 
 
 def window_dedup(rows: DataFrame, id_col: str = "id", date_col: str = "publish_date",
-                 title_col: str = "title", text_col: str = "text", text_chars: int | None = None) -> DataFrame:
+                 title_col: str = "title", text_col: str = "text", text_chars: int | None = None,
+                 keep: Sequence[str] | None = None) -> DataFrame:
     """One article per (window, dedup key): the earliest date, then the smallest id.
 
     Rows with a null title or text are dropped (the reference aborts the whole
     window on them).  ``min_by`` is a partial aggregation: a key repeated in a
     third of the rows is reduced map-side.  Adds ``dedup_key`` and ``copies``.
+    ``keep`` names the columns that are carried along (all of them by default);
+    without the text among them, no text is shuffled.
     """
     ok = rows.where(F.col(title_col).isNotNull() & F.col(text_col).isNotNull())
     keyed = ok.withColumn("dedup_key", dedup_key(title_col, text_col, text_chars))
-    others = [c for c in keyed.columns if c not in ("window_id", "dedup_key")]
+    others = [c for c in (keyed.columns if keep is None else keep) if c not in ("window_id", "dedup_key")]
     return (keyed.groupBy("window_id", "dedup_key")
             .agg(F.min_by(F.struct(*others), F.struct(date_col, id_col)).alias("_r"),
                  F.count(F.lit(1)).alias("copies"))

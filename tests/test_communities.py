@@ -194,3 +194,40 @@ def test_dense_cover_needs_no_table_of_links(spark, monkeypatch):
     got = {(r.window_id, r.src, r.dst) for r in similarity.similarity_edges(df, 0.8, stats=stats).collect()}
     assert got == {(int(a % 2), 500 + int(a), 500 + int(b)) for a, b in zip(*np.nonzero(v @ v.T >= 0.8)) if a % 2 == b % 2}
     assert max(stats["blocks"].values()) <= 8
+
+
+def test_windowed_pairs_need_no_table_of_links(spark, monkeypatch):
+    """The windowed chain with every window covered by its first candidates gives the rows of the whole link tables."""
+    from corpusflow.plans import q_windows
+
+    key = lambda r: (r.window_id, r.input_text, r.output_text, round(r.output_text_score, 5), r.file_path)
+    data = "/root/testdata/sf0.01"
+    plain = sorted(map(key, q_windows.windowed_sister_pairs(spark, data).collect()))
+    assert plain
+
+    def refused(*_, **__):
+        raise AssertionError("a table of all links")
+
+    monkeypatch.setattr(similarity, "similarity_edges", refused)
+    monkeypatch.setattr(community, "similarity_edges", refused)
+    monkeypatch.setattr(community, "FEW_LINKS", 0)
+    monkeypatch.setattr(community, "LINKS_PER_NODE", 0)
+    assert sorted(map(key, q_windows.windowed_sister_pairs(spark, data).collect())) == plain
+
+
+def test_a_round_looks_at_the_first_candidates_of_each_window(spark):
+    rows = [(w, 100 * w + i, 10 * w + i % 3) for w in range(4) for i in range(9)]
+    left = spark.createDataFrame(rows, "window_id long, id long, size long")
+    got = community._first_candidates(left, 4, 8).collect()
+    want = [(w, i) for w in range(4) for _, i in sorted((-s, i) for v, i, s in rows if v == w)[:2]]
+    assert sorted((r.window_id, r.id) for r in got) == sorted(want)
+
+
+def test_dedup_carries_no_text_that_is_not_kept(spark):
+    from corpusflow.operators import calendar
+
+    rows = [(0, 2, "t", "x", "2024-01-01"), (0, 1, "t", "x", "2024-01-01"), (0, 3, "t", "y", "2024-01-02"), (1, 4, "t", "x", "2023-01-01"), (1, 5, None, "x", "2023-01-01")]
+    df = spark.createDataFrame(rows, "window_id long, id long, title string, text string, publish_date string")
+    kept = calendar.window_dedup(df, keep=["id"])
+    assert sorted((r.window_id, r.id, r.copies) for r in kept.collect()) == [(0, 1, 2), (0, 3, 1), (1, 4, 1)]
+    assert kept.columns == ["window_id", "dedup_key", "id", "copies"]
