@@ -1,7 +1,8 @@
 """Corpus pipeline: documents to packed training sequences, in five stages.
 
 Each stage reads what its predecessor kept; ``run`` writes every stage's result
-as Parquet into the shared checkpoint folder and reads it again.
+as Parquet into the shared checkpoint folder and reads it again.  A stage may be
+called by itself, so each one sees to the session's Arrow batches (``ship_package``).
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from corpusflow.llm import decontaminate, packing, quality_fm, secrets, simhash
 from corpusflow.llm.common import positional
 from corpusflow.llm.queries import vocabulary
-from corpusflow.session import ensure_checkpoint_dir
+from corpusflow.session import ensure_checkpoint_dir, ship_package
+
+#: Parts of words that a worker's encoder keeps: it shares an executor's memory with what the other stages left in the JVM.
+CACHED_PARTS = 100_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +28,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     repeated rows stay or go together.  Without training labels of both classes
     all documents stay.  No documents: none.
     """
+    ship_package(spark)
     return quality_fm.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -33,6 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are one group; rows without an id link like others and
     come last in their group; of repeated rows one stays.  No documents: none.
     """
+    ship_package(spark)
     return simhash.keep_first(docs)
 
 
@@ -42,6 +48,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts contain none and stay; rows are told apart by their
     text, so null and repeated ids cost no clean row.  No items: all stay.
     """
+    ship_package(spark)
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -51,6 +58,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts stay null (``n_chars`` too); columns are found by exact name, so
     others may differ in case alone.  Repeated rows stay.  No documents: none.
     """
+    ship_package(spark)
     clean, names = secrets.redact(docs), docs.columns
     if "n_chars" not in names:
         return clean
@@ -64,7 +72,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts are one end token; null ids pass through; repeated rows
     are packed each.  No documents: no pieces.
     """
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    ship_package(spark)
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), cached_parts=CACHED_PARTS)
 
 
 STAGES = [

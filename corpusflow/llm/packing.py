@@ -128,7 +128,7 @@ def worker_ids(key: tuple, shared, chunks: int = CACHE_CHUNKS, parts: int = CACH
 PIECES = ("id {id}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint")
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, cached_parts: int = CACHE_PARTS) -> DataFrame:
     """One row per piece: (id, piece, start, length, ids_crc32, part, rank).
 
     ``part`` numbers the task and ``rank`` the pieces of this length in it, so
@@ -146,7 +146,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = worker_ids(key, shared)
+        encode = worker_ids(key, shared, parts=cached_parts)
         part = TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         for batch in batches:
@@ -479,15 +479,15 @@ def slots(uses: list[Use]) -> np.ndarray:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text",
-         capacity: int = CAPACITY, end_id: int = END_ID, steps: int = STEPS) -> DataFrame:
+         capacity: int = CAPACITY, end_id: int = END_ID, steps: int = STEPS, cached_parts: int = CACHE_PARTS) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's ids are its text's ids and ``end_id``; only longer ones are cut
     into pieces of ``capacity`` ids.  Null and empty texts are the end id alone.
     Null ids pass through; repeated rows are packed each; an empty table gives
-    an empty result.
+    an empty result.  ``cached_parts`` bounds a worker's cache and changes no result.
     """
-    pieces = checkpoint(token_pieces(pick(docs, id=id_col, text=text_col), tokenizer_path, capacity, end_id))
+    pieces = checkpoint(token_pieces(pick(docs, id=id_col, text=text_col), tokenizer_path, capacity, end_id, cached_parts))
     by_part = checkpoint(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in by_part.groupBy("length").agg(F.sum("n")).collect():  # at most `capacity` rows

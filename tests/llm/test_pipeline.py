@@ -94,3 +94,30 @@ def test_stages_on_odd_rows(spark):
     assert sum(r.piece == 0 for r in packed) == rows
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs.limit(0), SF).collect()
+
+
+def test_stages_called_alone_bound_the_arrow_batches(spark):
+    docs = documents(spark, [(k, f"some words of text {k}") for k in range(40)])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(key, 10_000)
+            stage(spark, docs, SF).collect()
+            assert int(spark.conf.get(key)) <= 1000, name
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_packing_keeps_few_words_in_a_worker(spark):
+    def largest(batches):
+        from corpusflow.llm.common import _KEPT
+
+        sizes = [x.parts.size for x in _KEPT.values() if hasattr(x, "parts")]
+        for b in batches:
+            yield b.from_pydict({"n": [min(sizes, default=0)]})
+
+    docs = documents(spark, [(k, f"some words of text {k}") for k in range(40)])
+    corpus_pipeline.best_fit_packing(spark, docs, SF).collect()
+    kept = [r.n for r in spark.range(40).mapInArrow(largest, "n bigint").collect() if r.n]
+    assert kept and min(kept) <= 50_000
