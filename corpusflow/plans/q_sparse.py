@@ -30,19 +30,20 @@ edges AS (
 
 
 def _deduped(spark, sf_dir):
-    """A2 -> W3 -> J2 -> W2: the articles of each window, one per title and text."""
+    """A2 -> W3 -> J2 -> W2: ``id, text`` of the articles of the windows, one per title and text, and ``window_id, id``."""
     articles = standins.articles(spark, sf_dir).select("id", "title", "text", "publish_date")
     windows = cut_lineage(C.date_windows(C.qualifying_dates(articles)))
-    kept = cut_lineage(C.window_dedup(C.window_articles(articles, windows)).select("window_id", "id"))
-    return articles, kept
+    inside = C.window_articles(articles, windows)
+    kept = cut_lineage(C.window_dedup(inside, keep=["id"]).select("window_id", "id"))
+    # only ids meet, and those of the copies are few, so that no text is shuffled
+    copies = cut_lineage(inside.select("id").join(kept.select("id"), "id", "left_anti"))
+    return inside.select("id", "text").join(text_join.small(copies), "id", "left_anti"), kept
 
 
-def _edges(articles, kept):
-    # only ids meet, so that no text is shuffled while they are few
-    own = articles.select("id", "text").join(text_join.small(cut_lineage(kept.select("id").distinct())), "id", "left_semi")
-    seldom = {1: 0, text_join.BLOCK_ROWS: 0}
-    vectors = text_join.text_vectors(own, seldom=seldom)
-    return text_join.sparse_edges(vectors, kept, THRESHOLD, seldom=seldom)
+def _edges(own, kept):
+    steps = {}
+    vectors = text_join.text_vectors(own, steps=steps)
+    return text_join.sparse_edges(vectors, kept, THRESHOLD, steps=steps)
 
 
 @register("text_sister_edges", f"""WITH RECURSIVE {_TEXT_SQL}
